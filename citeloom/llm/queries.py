@@ -7,18 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id
+from . import byte_bpe, decontaminate, language_id, secrets, toxicity
 from .common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold_of(F.col("doc_id"), 5) != 0)
+    model = toxicity.fit(docs.where(~F.col("held_out")), labels)
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"))
     model = language_id.fit(docs.where(~F.col("held_out")))
     return language_id.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.scan_documents(docs).drop("text")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,7 +45,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_language_id": op3_language_id, "op8_byte_bpe": op8_byte_bpe}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op3_language_id": op3_language_id,
+        "op6_secret_scan": op6_secret_scan,
+        "op7_decontamination": op7_decontamination,
+        "op8_byte_bpe": op8_byte_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
