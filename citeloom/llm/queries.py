@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, secrets, toxicity
+from . import byte_bpe, decontaminate, language_id, pii, secrets, toxicity
 from .common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN, digests).select("doc_id", *digests)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -51,6 +55,7 @@ def queries() -> dict[str, Query]:
         "op6_secret_scan": op6_secret_scan,
         "op7_decontamination": op7_decontamination,
         "op8_byte_bpe": op8_byte_bpe,
+        "op10_pii": op10_pii,
     }
 
 
