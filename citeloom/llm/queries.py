@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, pii, secrets, toxicity
+from . import byte_bpe, decontaminate, language_id, pii, quality_rules, secrets, toxicity
 from .common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, rules).select("doc_id", *quality_rules.BASE, "base_failed", "kept")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.scan_documents(docs).drop("text")
@@ -52,6 +58,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
         "op3_language_id": op3_language_id,
+        "op5_quality_rules": op5_quality_rules,
         "op6_secret_scan": op6_secret_scan,
         "op7_decontamination": op7_decontamination,
         "op8_byte_bpe": op8_byte_bpe,
