@@ -6,9 +6,6 @@ those six characters, and in UTF-8 no other character contains one of their byte
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,22 +30,6 @@ def hash_share(doc_id: Column, seed: int = 17) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's ``spark.checkpoint.dir``, else a local folder as in tests."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(
-            configured or os.path.join(tempfile.gettempdir(), "citeloom-checkpoints")
-        )
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and go on from those files."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def input_parts(spark: SparkSession, least: int = 1) -> int:
     """Number of partitions for shuffles; follows the session, which the cluster sizes to the input."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

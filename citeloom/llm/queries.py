@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, pii, quality_rules, secrets, toxicity
+from . import byte_bpe, decontaminate, language_id, ngram_join, pii, quality_rules, secrets, toxicity
 from .common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN, digests).select("doc_id", *digests)
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Query]:
         "op6_secret_scan": op6_secret_scan,
         "op7_decontamination": op7_decontamination,
         "op8_byte_bpe": op8_byte_bpe,
+        "op9_ngram_join": op9_ngram_join,
         "op10_pii": op10_pii,
     }
 
