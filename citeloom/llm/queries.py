@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, ngram_join, pii, quality_rules, secrets, toxicity
+from . import byte_bpe, decontaminate, language_id, ngram_join, pii, quality_rules, secrets, substring_dedup, toxicity
 from .common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"))
     model = language_id.fit(docs.where(~F.col("held_out")))
@@ -61,6 +65,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_language_id": op3_language_id,
         "op5_quality_rules": op5_quality_rules,
         "op6_secret_scan": op6_secret_scan,
