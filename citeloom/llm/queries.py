@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, ngram_join, pii, quality_rules, secrets, substring_dedup, toxicity
+from . import byte_bpe, decontaminate, importance_sampling, language_id, ngram_join, pii, quality_rules, secrets, substring_dedup, toxicity
 from .common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_sampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
@@ -67,6 +71,7 @@ def queries() -> dict[str, Query]:
         "op1_toxicity": op1_toxicity,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_language_id": op3_language_id,
+        "op4_importance_resampling": op4_importance_resampling,
         "op5_quality_rules": op5_quality_rules,
         "op6_secret_scan": op6_secret_scan,
         "op7_decontamination": op7_decontamination,
