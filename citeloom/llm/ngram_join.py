@@ -10,9 +10,10 @@ whole sequence).  Two documents link when the sets' Jaccard similarity is at lea
    travel as packed arrays, one row for each tile and task.  A tile keeps the shingles of two classes or more.
 3. In each tile, each class is paired with the first one of its size band and shingle, which is linear
    in the tile.  Bitmaps (as wide as the size band asks) bound a pair's overlap from above by bit counts;
-   pairs that pass are verified by intersecting the sorted shingle arrays.  Verified links form components.
-4. The pairs of a tile that are still in different components, size permitting, are checked in the same
-   way; the components of all links together are exact.
+   pairs that pass make families of classes that may be alike.  A family's sets meet in one block, or in
+   pairs of blocks when it is large, where exact intersections of the sorted arrays decide every link.
+4. Pairs of different families that share a prefix shingle, size permitting, pass the same bitmap bound
+   and are verified one by one.  The components of all links together are exact.
 
 Defined results: null, empty or blank text has no shingles, links with nothing and is its own component.
 Copies share a component.  Ids must be unique; only id and text are read.
@@ -35,9 +36,11 @@ from .common import chained, hash_share, mix64, slices, to_bytes, words_of
 WORDS = 5
 THRESHOLD = 0.75
 #: Documents sampled to find common shingles, and in how many of them a shingle is common.
-SAMPLE_ROWS, COMMON_ROWS = 4096, 6
-#: Prefix shingles of a tile, and of a task before it sends them off.
-TILE, FLUSH = 1_000_000, 1_500_000
+SAMPLE_ROWS, COMMON_ROWS = 32_768, 5
+#: Share of the hash range in which the sample counts shingles; prefixes rarely reach beyond it.
+COMMON_RANGE = 0.32
+#: Prefix shingles of a tile, and of a task before it sends them off; shingles of a block of a family.
+TILE, FLUSH, BLOCK = 1_000_000, 1_500_000, 400_000
 
 
 def shingle_sets(texts: list[bytes]):
@@ -119,28 +122,29 @@ def _sets(batches):
 
 def _common(batches):
     for batch in batches:
-        values = [np.asarray(s) for s in shingle_sets(to_bytes(batch.column(0)))]
+        values = [s[: np.searchsorted(s, np.uint64(int(COMMON_RANGE * 2**64)))] for s in shingle_sets(to_bytes(batch.column(0)))]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*values, np.empty(0, np.uint64)]).view(np.int64))], ["s"])
 
 
 def _prefixes(tiles: int, common):
-    """Rows (tile, packed shingles, packed classes); a class is sent once by a task."""
+    """Rows (tile, 32 bits of each shingle, the place of its class, classes); a task sends a class once."""
 
     def run(batches):
         held, known = [], set()
 
         def send():
-            tokens = np.concatenate([t for t, _ in held])
+            tokens = mix64(np.concatenate([t for t, _ in held]))
             classes = np.repeat(np.array([c for _, c in held], np.int64), [len(t) for t, _ in held])
-            tile = (mix64(tokens) % np.uint64(tiles)).astype(np.int64)
+            tile = ((tokens >> np.uint64(32)) % np.uint64(tiles)).astype(np.int64)
             order = np.argsort(tile, kind="stable")
-            tokens, classes, tile = tokens[order], classes[order], tile[order]
+            tokens, classes, tile = tokens[order].astype(np.uint32), classes[order], tile[order]
             edge = np.concatenate(([0], np.flatnonzero(tile[1:] != tile[:-1]) + 1, [len(tile)]))
-            rows = range(len(edge) - 1)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(tile[edge[:-1]], pa.int64()), pa.array([tokens[edge[i] : edge[i + 1]].tobytes() for i in rows], pa.binary()), pa.array([classes[edge[i] : edge[i + 1]].tobytes() for i in rows], pa.binary())],
-                ["tile", "tokens", "classes"],
-            )
+            out = []
+            for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                own, place = np.unique(classes[x:y], return_inverse=True)
+                kind = np.uint16 if len(own) < 1 << 16 else np.uint32
+                out.append((int(tile[x]), tokens[x:y].tobytes(), place.astype(kind).tobytes(), own.tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64() if k == 0 else pa.binary()) for k in range(4)], ["tile", "tokens", "places", "classes"])
 
         size = 0
         for batch in batches:
@@ -160,9 +164,16 @@ def _prefixes(tiles: int, common):
 
 
 def _shared(group: pa.Table) -> pa.Table:
-    """The shingles of a tile that two classes or more have: (token, k1)."""
-    tokens = np.frombuffer(b"".join(group.column("tokens").to_pylist()), np.uint64)
-    classes = np.frombuffer(b"".join(group.column("classes").to_pylist()), np.int64)
+    """The shingles of a tile that two classes or more have: (token, k1).
+
+    Different shingles can meet in 32 bits; that makes a pair more to check, and loses none."""
+    tokens, classes = [], []
+    for tile, t, p, c in zip(*(group.column(k).to_pylist() for k in range(4))):
+        token = np.frombuffer(t, np.uint32)
+        place = np.frombuffer(p, np.uint16 if len(p) == 2 * len(token) else np.uint32)
+        tokens.append(token.astype(np.int64) | tile << 32)
+        classes.append(np.frombuffer(c, np.int64)[place])
+    tokens, classes = np.concatenate(tokens), np.concatenate(classes)
     order = np.lexsort((classes, tokens))
     tokens, classes = tokens[order], classes[order]
     fresh = np.ones(len(tokens), bool)
@@ -172,7 +183,7 @@ def _shared(group: pa.Table) -> pa.Table:
     many = np.zeros(len(tokens), bool)
     many[1:] |= same
     many[:-1] |= same
-    return pa.table({"token": tokens[many].view(np.int64), "k1": classes[many]})
+    return pa.table({"token": tokens[many], "k1": classes[many]})
 
 
 def _bounded(batches):
@@ -195,12 +206,15 @@ def _side(classes: DataFrame, side: str) -> DataFrame:
     return classes.select(F.col("k1").alias(f"{side}_k"), F.col("rep").alias(side), F.col("n").alias(f"{side}_n"), F.col("bits").alias(f"{side}_bits"))
 
 
-def _check(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Checkpointed links (a, b: smallest ids of two classes) among candidate pairs (a_k, b_k)."""
-    id_type = rows.schema["doc_id"].dataType.simpleString()
+def _possible(pairs: DataFrame, classes: DataFrame, id_type: str) -> DataFrame:
+    """Checkpointed (a, b), the smallest ids of the classes of those pairs (a_k, b_k) that bitmaps leave possible."""
     both = pairs.join(_side(classes, "a"), "a_k").join(_side(classes, "b"), "b_k")
     both = both.where("100 * least(a_n, b_n) >= 75 * greatest(a_n, b_n)").select("a", "b", "a_n", "b_n", "a_bits", "b_bits")
-    possible = cut(both.mapInArrow(_bounded, f"a {id_type}, b {id_type}"))
+    return cut(both.mapInArrow(_bounded, f"a {id_type}, b {id_type}"))
+
+
+def _verify(possible: DataFrame, rows: DataFrame, id_type: str) -> DataFrame:
+    """Checkpointed links among pairs of ids, each checked on its two texts."""
     needed = possible.select(F.col("a").alias("doc_id")).unionAll(possible.select(F.col("b").alias("doc_id"))).distinct()
     texts = rows.join(needed, "doc_id", "left_semi")
     with_a = possible.join(texts.select(F.col("doc_id").alias("a"), F.col("t").alias("a_text")), "a")
@@ -208,6 +222,66 @@ def _check(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
     return cut(with_b.select("a", "b", "a_text", "b_text").mapInArrow(_verified, f"a {id_type}, b {id_type}"))
 
 
+def block_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links among sorted sets, enough to connect what is connected: (later, first of its group).
+
+    Each set is marked in a table over the block's shingles, and one sum over all sets gives its overlaps.
+    """
+    size = np.array([len(s) for s in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.concatenate(([0], np.cumsum(size)))
+    mark, root = np.zeros(int(ids.max(initial=-1)) + 1, np.int32), list(range(len(sets)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x in range(1, len(sets)):
+        own = ids[start[x] : start[x + 1]]
+        mark[own] = 1
+        shared = np.add.reduceat(mark[ids[: start[x]]], start[:x])
+        mark[own] = 0
+        for y in np.flatnonzero(100 * shared >= 75 * (size[:x] + size[x] - shared)).tolist():
+            p, q = find(x), find(y)
+            root[max(p, q)] = min(p, q)
+    return [(x, find(x)) for x in range(len(sets)) if find(x) != x]
+
+
+def _family_links(group: pa.Table) -> pa.Table:
+    family, i, j, rep = (group.column(n).to_pylist() for n in ("family", "i", "j", "rep"))
+    blocks: dict = {}
+    for k, key in enumerate(zip(family, i, j)):
+        blocks.setdefault(key, []).append(k)
+    held, out = group.column("s"), []
+    for rows in blocks.values():
+        sets = [np.frombuffer(held[k].as_py(), np.uint64) for k in rows]
+        out += [(rep[rows[x]], rep[rows[y]]) for x, y in block_links(sets)]
+    kind = group.schema.field("rep").type
+    return pa.table({"a": pa.array([x for x, _ in out], kind), "b": pa.array([y for _, y in out], kind)})
+
+
+def _sorted_sets(batches):
+    for batch in batches:
+        sets = [s.tobytes() for s in shingle_sets(to_bytes(batch.column("t")))]
+        yield batch.drop_columns(["t"]).append_column("s", pa.array(sets, pa.binary()))
+
+
+def _within(families: DataFrame, classes: DataFrame, rows: DataFrame, id_type: str) -> DataFrame:
+    """Checkpointed links inside the families (node, component)."""
+    members = families.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(classes.select("rep", "n"), "rep")
+    sizes = cut(members.groupBy("family").agg(F.sum("n").alias("total")).withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int")))
+    small = sizes.where("blocks = 1").agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    buckets = max(1, math.ceil(small / BLOCK))
+    placed = members.join(sizes.select("family", "blocks"), "family").select("rep", "family", "blocks", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("own"))
+    sets = rows.join(placed, F.col("doc_id") == F.col("rep")).select("rep", "family", "blocks", "own", "t")
+    sets = sets.mapInArrow(_sorted_sets, f"rep {id_type}, family {id_type}, blocks int, own int, s binary")
+    met = sets.select("rep", "family", "blocks", "own", "s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    met = met.select("rep", "family", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "s", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(buckets))).otherwise(-1 - F.pmod(F.xxhash64("family", F.least("own", "k"), F.greatest("own", "k")), F.lit(1 << 40))).alias("tile"))
+    return cut(met.groupBy("tile").applyInArrow(_family_links, f"a {id_type}, b {id_type}"))
+
+
 def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document: the smallest id reachable by links."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
@@ -222,23 +296,22 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     common = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["s"] for r in often], np.int64).view(np.uint64)))
 
     tiles = max(1, math.ceil(totals["s"] * (1 - THRESHOLD) / TILE))
-    packed = rows.select("t").mapInArrow(_prefixes(tiles, common), "tile long, tokens binary, classes binary")
+    packed = rows.select("t").mapInArrow(_prefixes(tiles, common), "tile long, tokens binary, places binary, classes binary")
     shared = cut(packed.groupBy("tile").applyInArrow(_shared, "token long, k1 long").join(classes.select("k1", F.col("n"), F.col("rep")), "k1"))
 
     banded = shared.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(1 / THRESHOLD) + 1e-9))
     first = banded.groupBy("token", "band").agg(F.min(F.struct("rep", "k1")).alias("x"))
     star = banded.join(first, ["token", "band"]).select(F.col("k1").alias("a_k"), F.col("x.k1").alias("b_k")).where("a_k <> b_k").distinct()
-    near = _check(star, classes, rows)
-    found = connected_components(near, "a", "b")
+    families = connected_components(_possible(star, classes, id_type), "a", "b")
+    near = _within(families, classes, rows, id_type)
 
-    placed = shared.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("token", "k1", "n", F.coalesce("component", "rep").alias("c"))
+    placed = shared.join(families.select(F.col("node").alias("rep"), "component"), "rep", "left").select("token", "k1", "n", F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
     open_ = placed.join(mixed, "token")
     left = open_.select("token", F.col("k1").alias("a_k"), F.col("n").alias("x"), F.col("c").alias("p"))
     right = open_.select("token", F.col("k1").alias("b_k"), F.col("n").alias("y"), F.col("c").alias("q"))
     across = left.join(right, "token").where("p < q and 100 * least(x, y) >= 75 * greatest(x, y)").select("a_k", "b_k").distinct()
-    tried = star.select("a_k", "b_k").unionAll(star.select(F.col("b_k").alias("a_k"), F.col("a_k").alias("b_k")))
-    far = _check(across.join(tried, ["a_k", "b_k"], "left_anti"), classes, rows)
+    far = _verify(_possible(across, classes, id_type), rows, id_type)
 
     every = connected_components(near.unionAll(far), "a", "b").select(F.col("node").alias("rep"), "component")
     of_class = classes.select("k1", "k2", "rep").join(every, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
