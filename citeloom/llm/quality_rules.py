@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.plans.checkpoint import cut
+
 from .common import WORD_BREAK, hash_share
 
 WINDOW = 5
@@ -185,24 +187,26 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     share = TRAIN_ROWS / max(1, y.count())
     y = y.where(hash_share(F.col("i"), 29) < share).groupBy("i").agg(F.max("y").alias("y"))
     rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("text")).join(F.broadcast(y), "i")
-    held = features(rows).persist()  # also keeps the filter from being pushed into the statistics
-    try:
-        stats = held.where(~base_failed()).select("i", "y", *[F.expr(e).alias(n) for n, e in RATIOS.items()])
-        names = list(RATIOS)
-        shares = [k / BINS for k in range(1, BINS)] + [0.98, 0.99]
-        found = stats.agg(*[F.percentile_approx(n, shares, 10_000).alias(n) for n in names]).first()
-        if found[0] is None:
-            return []
-        cuts = {n: sorted(set(found[n])) for n in names}
-        binned = [sum([(F.col(n) > c).cast("int") for c in cuts[n]], F.lit(0)).alias(n) for n in names]
-        prune = F.pmod(F.xxhash64("i", F.lit(31)), F.lit(3)) == 0
-        counts = stats.select(prune.alias("prune"), "y", *binned).groupBy(*names).agg(
-            F.count_if(~F.col("prune") & (F.col("y") == 0)), F.count_if(~F.col("prune") & (F.col("y") > 0)), F.count_if(F.col("prune") & (F.col("y") == 0)), F.count_if(F.col("prune") & (F.col("y") > 0))
-        )
-        k = len(names)
-        return _cover(names, cuts, sorted((tuple(r)[:k], r[k], r[k + 1], r[k + 2], r[k + 3]) for r in counts.collect()))
-    finally:
-        held.unpersist()
+    held = cut(features(rows).select("i", "y", "n_words", "n_repeat_words", *[F.expr(e).alias(f"r_{n}") for n, e in RATIOS.items()]))
+    stats = held.where(~base_failed()).select("i", "y", *[F.col(f"r_{n}").alias(n) for n in RATIOS])
+    names = list(RATIOS)
+    shares = [k / BINS for k in range(1, BINS)] + [0.98, 0.99]
+    found = stats.agg(*[F.percentile_approx(n, shares, 10_000).alias(n) for n in names]).first()
+    if found[0] is None:
+        return []
+    cuts = {n: sorted(set(found[n])) for n in names}
+    binned = [_bin(n, cuts[n]).alias(n) for n in names]
+    prune = F.pmod(F.xxhash64("i", F.lit(31)), F.lit(3)) == 0
+    counts = stats.select(prune.alias("prune"), "y", *binned).groupBy(*names).agg(
+        F.count_if(~F.col("prune") & (F.col("y") == 0)), F.count_if(~F.col("prune") & (F.col("y") > 0)), F.count_if(F.col("prune") & (F.col("y") == 0)), F.count_if(F.col("prune") & (F.col("y") > 0))
+    )
+    k = len(names)
+    return _cover(names, cuts, sorted((tuple(r)[:k], r[k], r[k + 1], r[k + 2], r[k + 3]) for r in counts.collect()))
+
+
+def _bin(name: str, cuts: list[float]) -> Column:
+    """Number of thresholds below a value."""
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(name)))
 
 
 def verdict(rules: list[Rule]) -> Column:
