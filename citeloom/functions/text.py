@@ -9,6 +9,7 @@ from datetime import date, timedelta
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DOI_URL = "https://doi.org/"
 WORK_URL = "https://openalex.org/"
@@ -29,16 +30,11 @@ def fold_text(text: str) -> str:
     return " ".join("".join(c for c in decomposed if unicodedata.category(c) != "Mn").split())
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _folded_lists(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else [None if x is None else fold_text(x) for x in v])
 
 
-def _folded_column(values: Column) -> Column:
-    return _folded_lists(values)
-
-
-#: Latin letters whose base letter needs no decomposition table: used where ASCII suffices.
 def normalize_list(values: Column) -> Column:
     """Each element folded; null and empty lists become null.
 
@@ -47,7 +43,7 @@ def normalize_list(values: Column) -> Column:
     """
     ascii_only = F.transform(values, lambda x: F.regexp_replace(F.lower(stripped(x)), r"\s+", " "))
     plain = ~F.exists(values, lambda x: F.coalesce(x.rlike(r"[^\x00-\x7f]"), F.lit(False)))
-    beyond = _folded_column(F.when(plain, F.lit(None)).otherwise(values))
+    beyond = _folded_lists(F.when(plain, F.lit(None)).otherwise(values))
     return F.when(F.coalesce(F.size(values), F.lit(0)) > 0, F.when(plain, ascii_only).otherwise(beyond))
 
 

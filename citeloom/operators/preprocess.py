@@ -8,6 +8,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeloom.functions.text import fold_text, normalize_language, normalize_list, token_sort_ratio
 from citeloom.operators.aggregates import document_frequency
@@ -56,7 +57,7 @@ def thesaurus_coverage(corpus: DataFrame, lookup: DataFrame) -> DataFrame:
     return terms.join(_bounded(lookup), F.col("term") == F.col("alias"), "left").agg(F.count("*").alias("total"), F.count("alias").alias("mapped"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_sort_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
