@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Pieces whose ids each worker remembers; a full cache takes no more.
-CACHE = 400_000
+CACHE = 250_000
 #: Marks that the pattern makes a pre-token of their own after letters.
 _MARKS = frozenset(".,;:!?")
 #: White space beside a space, and white space outside ASCII (with the separators that Python counts).

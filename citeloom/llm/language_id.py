@@ -26,7 +26,7 @@ ORDERS = (1, 2, 3)
 #: Training uses at most about this many rows of each language, chosen by a hash of the id.
 ROWS_PER_LANGUAGE = 4000
 MAX_LANGUAGES = 1000
-_CHUNK = 1 << 19
+_CHUNK = 1 << 18
 
 
 @dataclass
@@ -44,6 +44,18 @@ def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, owner
 
 
+def _runs(texts: list[str], most: int = 1 << 20):
+    """Runs (first, last) of consecutive texts with about ``most`` characters, which bound the arrays' size."""
+    first, held = 0, 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > most:
+            yield first, i
+            first, held = i, 0
+        held += len(t) + 2
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def _grams(codes: np.ndarray, owner: np.ndarray):
     """Chunk by chunk, for each order: (bucket of each n-gram, its text, whether it stays within it)."""
     longest = ORDERS[-1] - 1
@@ -72,9 +84,10 @@ def _count(languages: list[str]):
             if not texts:
                 continue
             of = np.array([index[x] for x in batch.column(1).to_pylist()])
-            for bucket, owner, within in _grams(*_code_points(texts)):
-                cell = of[owner[within]] * BUCKETS + bucket[within]
-                counts += np.bincount(cell, minlength=len(counts))
+            for a, b in _runs(texts):
+                for bucket, owner, within in _grams(*_code_points(texts[a:b])):
+                    cell = of[a + owner[within]] * BUCKETS + bucket[within]
+                    counts += np.bincount(cell, minlength=len(counts))
         cell = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(counts[cell], pa.int64())], ["cell", "n"])
 
@@ -107,12 +120,13 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
 
 def _score(texts: list[str], model: LanguageModel) -> np.ndarray:
     out = np.tile(model.log_prior, (len(texts), 1))
-    for bucket, owner, within in _grams(*_code_points(texts)):
-        if len(owner):
-            first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-            part = model.log_prob[bucket]
-            part[~within] = 0
-            out[owner[first]] += np.add.reduceat(part, first, axis=0, dtype=np.float64)
+    for a, b in _runs(texts):
+        for bucket, owner, within in _grams(*_code_points(texts[a:b])):
+            if len(owner):
+                first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+                part = model.log_prob[bucket]
+                part[~within] = 0
+                out[a + owner[first]] += np.add.reduceat(part, first, axis=0, dtype=np.float64)
     return out
 
 
