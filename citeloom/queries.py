@@ -214,17 +214,16 @@ def backward_scent(spark, d):
     return scent.backward_scent(_citing(spark, d))
 
 
-@query(f"WITH {REFS}, {OUTSIDE} SELECT CAST(paper AS VARCHAR) AS id, count(*) AS scent FROM refs JOIN own USING (part) GROUP BY 1 ")
+@query(f"WITH {REFS}, {OUTSIDE} SELECT 'o' || paper AS id, count(*) AS scent FROM refs JOIN own USING (part) JOIN orders ON o_orderkey = paper GROUP BY 1")
 def forward_scent(spark, d):
     held = conform(star.table(spark, d, "part").where("p_partkey % 3 = 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_partkey").cast("string").alias("source_id")))
-    return scent.forward_scent(held, star.papers(spark, d).select("id", "references_id"))
+    return scent.forward_scent(held, star.papers(spark, d).select(F.concat(F.lit("o"), "id").alias("id"), "references_id"))
 
 
-@query(f"WITH {REFS}, {OUTSIDE}, s AS (SELECT 'p' || part AS id, count(*) AS scent FROM refs WHERE part NOT IN (SELECT part FROM own) GROUP BY 1 UNION ALL SELECT 'o' || paper, count(*) FROM refs JOIN own USING (part) GROUP BY 1) SELECT id, CAST(sum(scent) AS BIGINT) AS scent FROM s GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
+@query(f"WITH {REFS}, {OUTSIDE}, s AS (SELECT 'p' || part AS id, count(*) AS scent FROM refs WHERE part NOT IN (SELECT part FROM own) GROUP BY 1 UNION ALL SELECT 'o' || paper, count(*) FROM refs JOIN own USING (part) JOIN orders ON o_orderkey = paper GROUP BY 1) SELECT id, CAST(sum(scent) AS BIGINT) AS scent FROM s GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
 def combined_ranking_topk(spark, d):
     back = backward_scent(spark, d).withColumn("id", F.concat(F.lit("p"), "id"))
-    fore = forward_scent(spark, d).withColumn("id", F.concat(F.lit("o"), "id"))
-    return scent.ranked(scent.combined(back, fore), 50)
+    return scent.ranked(scent.combined(back, forward_scent(spark, d)), 50)
 
 
 @query(f"WITH {REFS}, {OUTSIDE} SELECT (SELECT count(DISTINCT part) FROM refs WHERE part NOT IN (SELECT part FROM own)) AS backward, CAST(0 AS BIGINT) AS forward, (SELECT count(*) FROM own) AS seeds, false AS has_cited_by")
