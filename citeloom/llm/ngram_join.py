@@ -8,9 +8,9 @@ whole sequence).  Two documents link when the sets' Jaccard similarity is at lea
    shingle; linked sets share a prefix shingle, so nothing is lost.  The order is by hash, with shingles
    that a bounded sample shows to be common put last, so that they fall out of the prefixes.  Prefixes
    travel as packed arrays, one row for each tile and task.  A tile keeps the shingles of two classes or more.
-3. In each tile, each class is paired with the first one of its size band and shingle, which is linear
-   in the tile.  Bitmaps (as wide as the size band asks) bound a pair's overlap from above by bit counts;
-   pairs that pass make families of classes that may be alike.  A family's sets meet in one block, or in
+3. In each tile, each class is paired with the first and the last one of its size band and shingle,
+   which is linear in the tile.  Bitmaps (as wide as the size band asks) bound a pair's overlap from above by bit counts;
+   pairs that pass, and pairs with much of their prefixes in common, make families of classes.  A family's sets meet in one block, or in
    pairs of blocks when it is large, where exact intersections of the sorted arrays decide every link.
 4. Pairs of different families that share a prefix shingle, size permitting, pass the same bitmap bound
    and are verified one by one.  The components of all links together are exact.
@@ -36,11 +36,11 @@ from .common import chained, hash_share, mix64, slices, to_bytes, words_of
 WORDS = 5
 THRESHOLD = 0.75
 #: Documents sampled to find common shingles, and in how many of them a shingle is common.
-SAMPLE_ROWS, COMMON_ROWS = 32_768, 5
-#: Share of the hash range in which the sample counts shingles; prefixes rarely reach beyond it.
-COMMON_RANGE = 0.32
+SAMPLE_ROWS, COMMON_ROWS = 32_768, 4
 #: Prefix shingles of a tile, and of a task before it sends them off; shingles of a block of a family.
 TILE, FLUSH, BLOCK = 1_000_000, 1_500_000, 400_000
+#: Share of a class's prefix that it has in common with another one to be put into its family unseen.
+FAMILY = 0.1
 
 
 def shingle_sets(texts: list[bytes]):
@@ -122,7 +122,7 @@ def _sets(batches):
 
 def _common(batches):
     for batch in batches:
-        values = [s[: np.searchsorted(s, np.uint64(int(COMMON_RANGE * 2**64)))] for s in shingle_sets(to_bytes(batch.column(0)))]
+        values = list(shingle_sets(to_bytes(batch.column(0))))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*values, np.empty(0, np.uint64)]).view(np.int64))], ["s"])
 
 
@@ -300,9 +300,13 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     shared = cut(packed.groupBy("tile").applyInArrow(_shared, "token long, k1 long").join(classes.select("k1", F.col("n"), F.col("rep")), "k1"))
 
     banded = shared.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(1 / THRESHOLD) + 1e-9))
-    first = banded.groupBy("token", "band").agg(F.min(F.struct("rep", "k1")).alias("x"))
-    star = banded.join(first, ["token", "band"]).select(F.col("k1").alias("a_k"), F.col("x.k1").alias("b_k")).where("a_k <> b_k").distinct()
-    families = connected_components(_possible(star, classes, id_type), "a", "b")
+    ends = banded.groupBy("token", "band").agg(F.min(F.struct("rep", "k1")).alias("lo"), F.max(F.struct("rep", "k1")).alias("hi"))
+    first = ends.select("token", "band", F.explode(F.array("lo", "hi")).alias("x"))
+    star = banded.join(first, ["token", "band"]).select(F.col("k1").alias("a_k"), F.col("x.k1").alias("b_k"), F.col("rep").alias("a"), F.col("x.rep").alias("b"), "n").where("a_k <> b_k")
+    star = cut(star.groupBy("a_k", "b_k", "a", "b", "n").agg(F.count("*").alias("met")))
+    close = F.col("met") >= FAMILY * (1 - THRESHOLD) * F.col("n") + 1
+    alike = star.where(close).select("a", "b").unionAll(_possible(star.where(~close).select("a_k", "b_k"), classes, id_type))
+    families = cut(connected_components(alike, "a", "b"))
     near = _within(families, classes, rows, id_type)
 
     placed = shared.join(families.select(F.col("node").alias("rep"), "component"), "rep", "left").select("token", "k1", "n", F.coalesce("component", "rep").alias("c"))
