@@ -171,7 +171,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", least_z: float = LEAST_Z) -> ToxicityModel:
     """Learn lexicon, exceptions and curve from about TRAIN_ROWS labelled rows at most.
 
     The driver gets the best-scored candidate entries, at most MOST_EXCEPTIONS phrases and four numbers a
@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
             rows.mapInArrow(_candidates, summed).groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
             .where(F.col("pos") >= LEAST_ROWS).withColumn("weight", odds("pos", n1) - odds("neg", n0))
             .withColumn("z", F.col("weight") / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5)))
-            .where((F.col("z") >= LEAST_Z) & (F.col("weight") >= LEAST_LOG_ODDS))
+            .where((F.col("z") >= least_z) & (F.col("weight") >= LEAST_LOG_ODDS))
             .orderBy(F.desc("z"), "entry").limit(5 * MOST_ENTRIES).collect()
         )
         model = ToxicityModel()
