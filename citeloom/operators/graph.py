@@ -103,7 +103,7 @@ def community_composition(communities: DataFrame, nodes: DataFrame, attribute: s
     return full.select("community", "category", (F.coalesce("n", F.lit(0)) / F.col("size")).alias("fraction"))
 
 
-def label_propagation(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
+def label_propagation(edges: DataFrame, most_rounds: int = 12) -> DataFrame:
     """(node, community): every node takes the label most common among its neighbours; ties go to the own
     label, then the smallest.  Odd and even nodes (by hash) move in turn, so labels cannot swap forever.
     Communities are numbered by their smallest node.
