@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm import byte_bpe, decontaminate, language_id, ngram_join, secrets
-from citeloom.llm.common import fold_of, table
+from citeloom.llm.common import fold_of, small_batches, table
 from citeloom.plans.checkpoint import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,6 +24,7 @@ REDACTED = "[SECRET]"
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: no letter in them, or no language with a probability of LEAST_SURE."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     model = language_id.fit(docs.where(fold_of(F.col("doc_id"), 4) != 2))
     sure = language_id.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SURE))
@@ -32,6 +33,7 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     first = ngram_join.components(docs).where("doc_id = component_id").select("doc_id")
     return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
@@ -39,17 +41,20 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def stage_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
+    small_batches(spark)
     return decontaminate.remove_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are blanked out; every document stays."""
+    small_batches(spark)
     clean = secrets.scan_documents(docs.select(*COLUMNS), redact=REDACTED)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with their count and digests."""
+    small_batches(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     outputs = ["n_tokens", "ids", "ids_sha256", "decoded_sha256"]
     encoded = byte_bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN, outputs)
