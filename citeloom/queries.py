@@ -501,7 +501,7 @@ def abstract_rebuild(spark, d):
     """Texts turned into inverted indexes and back."""
     from citeloom.sources.works_json import abstract
 
-    words = F.filter(F.split(F.left("text", F.lit(400)), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     rows = star.table(spark, d, "documents").select("doc_id", F.posexplode(words).alias("p", "w")).groupBy("doc_id", "w").agg(F.array_sort(F.collect_list("p")).alias("ps"))
     index = rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("ix"))
     return index.select("doc_id", abstract(F.col("ix")).alias("abstract"))
