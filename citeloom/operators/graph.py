@@ -13,6 +13,8 @@ from citeloom.plans.checkpoint import cut
 
 #: Algorithms that hold a whole network in one process refuse more edges than this.
 MOST_LOCAL_EDGES = 2_000_000
+#: Rounds of label propagation in which any half of the nodes may move; later only nodes apart from each other.
+FREE_ROUNDS = 24
 
 
 class NetworkTooLarge(RuntimeError):
@@ -103,22 +105,35 @@ def community_composition(communities: DataFrame, nodes: DataFrame, attribute: s
     return full.select("community", "category", (F.coalesce("n", F.lit(0)) / F.col("size")).alias("fraction"))
 
 
-def label_propagation(edges: DataFrame, most_rounds: int = 12) -> DataFrame:
-    """(node, community): every node takes the label most common among its neighbours; ties go to the own
-    label, then the smallest.  Odd and even nodes (by hash) move in turn, so labels cannot swap forever.
-    Communities are numbered by their smallest node.
+def label_propagation(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """(node, community): every node ends with a label most common among its neighbours; ties go to the own
+    label, then the smallest.  Communities are numbered by their smallest node.
+
+    In the first rounds a fresh half of the nodes (by hash) moves, so labels cannot swap for ever in step.
+    After those, of neighbours that want to move only the one of smallest hash does: each move then adds to
+    the edges inside communities, so the rounds come to an end.
     """
     links = cut(both_ways(edges).select("a", "b"))
-    labels = cut(links.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
+    labels = links.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
     for i in range(most_rounds):
         votes = links.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a", "label").agg(F.count("*").alias("n"))
         own = labels.select(F.col("node").alias("a"), F.col("label").alias("own"))
         best = votes.join(own, "a").groupBy("a", "own").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label") != F.col("own"), "label")).alias("label"))
-        turn = F.pmod(F.xxhash64("a"), F.lit(2)) == i % 2
-        moved = cut(best.select(F.col("a").alias("node"), F.when(turn, F.col("label")).otherwise(F.col("own")).alias("label"), (turn & (F.col("label") != F.col("own"))).alias("moved"), (F.col("label") != F.col("own")).alias("open")))
-        labels = moved.select("node", "label")
-        if not moved.where("open").take(1):
+        state = cut(best.withColumn("open", F.col("label") != F.col("own")))
+        if not state.where("open").take(1):
             break
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(i)), F.col(c))  # noqa: B023, E731
+        if i < FREE_ROUNDS:
+            turn = F.pmod(F.xxhash64("a", F.lit(i)), F.lit(2)) == 0
+        else:
+            wants = state.where("open").select("a")
+            near = links.join(wants, "a").join(wants.withColumnRenamed("a", "b"), "b")
+            waits = near.where(rank("b") < rank("a")).select("a").distinct().withColumn("waits", F.lit(True))
+            state, turn = state.join(waits, "a", "left"), F.col("waits").isNull()
+        labels = state.select(F.col("a").alias("node"), F.when(turn, F.col("label")).otherwise(F.col("own")).alias("label"))
+    else:
+        raise RuntimeError(f"labels did not settle in {most_rounds} rounds")
+    labels = state.select(F.col("a").alias("node"), "label")
     first = labels.groupBy("label").agg(F.min("node").alias("first"))
     return labels.join(first, "label").select("node", F.col("first").alias("community"))
 

@@ -1,6 +1,7 @@
 """Networks and measures on graphs small enough to work out by hand."""
 
 import math
+from collections import Counter
 
 import pytest
 
@@ -78,6 +79,33 @@ def test_two_cliques_are_two_communities(spark, method):
     assert found == {r["node"]: r["community"] for r in graph.detect_communities(edges, method, seed=3).collect()}
 
 
+def settled(pairs, found):
+    """Whether every node holds a label most common among its neighbours, counted in plain Python."""
+    near = {n: [b if a == n else a for a, b in pairs if n in (a, b)] for n in found}
+    count = {n: Counter(found[m] for m in ms) for n, ms in near.items()}
+    return all(count[n][found[n]] == max(count[n].values()) for n in found)
+
+
+def test_labels_settle(spark):
+    pairs = [(2 * i, 2 * i + 1) for i in range(20)]  # each is one community, whatever the hashes
+    found = {r["node"]: r["community"] for r in graph.label_propagation(graph_of(spark, pairs)).collect()}
+    assert found == {n: n - n % 2 for n in range(40)}
+    clique = [(a, b) for a in range(7) for b in range(a + 1, 7)]
+    path = [(i, i + 1) for i in range(100, 130)]
+    mixed = [(a, b) for a in range(200, 240) for b in range(a + 1, 240) if (a * a + 7 * b + a * b) % 6 == 0]
+    found = {r["node"]: r["community"] for r in graph.label_propagation(graph_of(spark, clique + path + mixed)).collect()}
+    assert settled(clique + path + mixed, found) and {found[n] for n in range(7)} == {0}
+
+
+def test_labels_settle_where_only_nodes_apart_move(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FREE_ROUNDS", 0)
+    pairs = [(0, 1), (2, 3), (4, 5), (5, 6), (6, 4)]
+    found = {r["node"]: r["community"] for r in graph.label_propagation(graph_of(spark, pairs)).collect()}
+    assert found == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4, 6: 4}
+    with pytest.raises(RuntimeError, match="settle"):
+        graph.label_propagation(graph_of(spark, pairs), most_rounds=1)
+
+
 def test_components_of_a_long_chain_a_loop_and_nothing(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (200, 201), (None, 3)], "src long, dst long")
     found = {r["node"]: r["component"] for r in connected_components(chain).collect()}
