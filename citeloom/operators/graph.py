@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import defaultdict, deque
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.operators.components import connected_components
@@ -301,6 +301,16 @@ def _numbered(member: dict) -> dict:
     return {v: first[c] for v, c in member.items()}
 
 
+def _numbers(found: DataFrame) -> DataFrame:
+    """(community, n): communities numbered from 0 in their order, over range partitions and their counts."""
+    ranged = found.select("community").distinct().repartitionByRange("community")
+    placed = cut(ranged.withColumn("part", F.spark_partition_id()))
+    counts = placed.groupBy("part").agg(F.count("*").alias("held"))
+    before = counts.select(F.col("part").alias("p"), "held").join(counts.select("part"), F.col("p") < F.col("part"), "right").groupBy("part").agg(F.coalesce(F.sum("held"), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("community"))
+    return placed.join(before, "part").select("community", (F.col("before") + place - 1).alias("n"))
+
+
 METHODS = ("louvain", "label_prop", "greedy_modularity")
 
 
@@ -309,9 +319,7 @@ def detect_communities(edges: DataFrame, method: str = "louvain", resolution: fl
     kind = edges.schema["src"].dataType.simpleString()
     if method == "label_prop":
         found = label_propagation(edges)
-        number = found.select("community").distinct().orderBy("community").limit(MOST_LOCAL_EDGES).collect()
-        numbers = edges.sparkSession.createDataFrame([(r[0], i) for i, r in enumerate(number)], f"community {kind}, n long")
-        return found.join(numbers, "community").select("node", F.col("n").alias("community"))
+        return found.join(_numbers(found), "community").select("node", F.col("n").alias("community"))
     if method == "louvain":
         found = louvain(edges, resolution, seed)
     elif method == "greedy_modularity":

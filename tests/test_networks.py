@@ -106,6 +106,13 @@ def test_labels_settle_where_only_nodes_apart_move(spark, monkeypatch):
         graph.label_propagation(graph_of(spark, pairs), most_rounds=1)
 
 
+def test_every_community_is_numbered(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MOST_LOCAL_EDGES", 3)
+    edges = graph_of(spark, [(2 * i, 2 * i + 1) for i in range(30)])
+    found = {r["node"]: r["community"] for r in graph.detect_communities(edges, "label_prop").collect()}
+    assert found == {n: n // 2 for n in range(60)}
+
+
 def test_components_of_a_long_chain_a_loop_and_nothing(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (200, 201), (None, 3)], "src long, dst long")
     found = {r["node"]: r["component"] for r in connected_components(chain).collect()}
