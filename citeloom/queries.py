@@ -138,7 +138,7 @@ def network_density(spark, d):
 corners AS (SELECT a AS node FROM tri UNION ALL SELECT b FROM tri UNION ALL SELECT c FROM tri), t AS (SELECT node, count(*) AS triangles FROM corners GROUP BY 1)
 SELECT node, coalesce(triangles, 0) AS triangles, round(CASE WHEN degree > 1 THEN 2.0 * coalesce(triangles, 0) / (degree * (degree - 1)) ELSE 0 END, 6) AS clustering FROM deg LEFT JOIN t USING (node)""")
 def clustering_coefficients(spark, d):
-    return graph.clustering(networks.project(star.authors(spark, d), 25)).withColumn("clustering", F.round("clustering", 6))
+    return graph.clustering(networks.project(star.authors(spark, d))).withColumn("clustering", F.round("clustering", 6))
 
 
 @query(f"""WITH {edges_cte('keywords')}, {BOTH}, tri AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM edges x JOIN edges y ON x.dst = y.src JOIN edges z ON z.src = x.src AND z.dst = y.dst),

@@ -1,5 +1,10 @@
 """Queries on tables small enough to work out in plain Python: nothing of their input may be left out."""
 
+from datetime import datetime
+from itertools import combinations
+
+import pytest
+
 from citeloom import queries
 
 
@@ -10,8 +15,42 @@ def tables(spark, folder, **rows):
     return str(folder)
 
 
+def star_tables(spark, folder, lines, names=None, **more):
+    """The star schema around order lines (order, part, supplier); parts are named by ``names``."""
+    orders, parts, suppliers = ({x[k] for x in lines} for k in range(3))
+    return tables(
+        spark, folder, **more,
+        lineitem=("l_orderkey long, l_partkey long, l_suppkey long", lines),
+        orders=("o_orderkey long, o_orderstatus string, o_orderdate timestamp, o_orderpriority string", [(o, "F", datetime(2000, 1, 1), "5-LOW") for o in sorted(orders)]),
+        part=("p_partkey long, p_name string, p_brand string", [(p, (names or {}).get(p, "none"), "Brand#1") for p in sorted(parts)]),
+        supplier=("s_suppkey long, s_nationkey int", [(s, 1) for s in sorted(suppliers)]),
+    )
+
+
+#: Suppliers that meet in few orders, and parts that meet in one.
+LINES = [(o, 100 + (o * 3 + k * k) % 11, s) for o in range(14) for k, s in enumerate(((o * o) % 7, (o * 3 + 1) % 8, (o + 4) % 9))]
+
+
+def neighbours(lines, k):
+    """{node: neighbours} of the whole network in which orders link their parts (k = 1) or suppliers (k = 2)."""
+    near = {}
+    for o in {x[0] for x in lines}:
+        for a, b in combinations(sorted({x[k] for x in lines if x[0] == o}), 2):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    return near
+
+
 def test_abstracts_are_rebuilt_whole(spark, tmp_path):
     long = " ".join(f"w{i % 700}" for i in range(3000))
     d = tables(spark, tmp_path, documents=("doc_id long, text string", [(1, f"  a\tb \n a {long} the end "), (2, " \n"), (3, "x" * 900)]))
     found = {r["doc_id"]: r["abstract"] for r in queries.abstract_rebuild(spark, d).collect()}
     assert found == {1: f"a b a {long} the end", 3: "x" * 900}
+
+
+def test_clustering_of_the_whole_author_network(spark, tmp_path):
+    near = neighbours(LINES, 2)
+    found = {r["node"]: (r["triangles"], r["clustering"]) for r in queries.clustering_coefficients(spark, star_tables(spark, tmp_path, LINES)).collect()}
+    closed = {n: sum(b in near[a] for a, b in combinations(ms, 2)) for n, ms in near.items()}
+    assert any(closed.values())
+    assert found == {n: (t, pytest.approx(2 * t / max(1, len(near[n]) * (len(near[n]) - 1)), abs=1e-6)) for n, t in closed.items()}
