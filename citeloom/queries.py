@@ -313,7 +313,7 @@ def insert_new_anti(spark, d):
 
 @query(f"WITH {HEADS}, q AS (SELECT DISTINCT CASE user_id % 3 WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN 'https://doi.org/10.5/A' || user_id ELSE 'W' || user_id END AS ident, user_id FROM events) SELECT ident, h.id FROM q LEFT JOIN heads h ON h.k = user_id AND h.k < 60")
 def resolve_ident(spark, d):
-    corpus = conform(star.heads(spark, d).where("cast(id as long) < 60").withColumn("doi", F.concat(F.lit("10.5/a"), "id")).withColumn("source_id", F.concat(F.lit("W"), "id")))
+    corpus = conform(star.heads(spark, d).withColumn("doi", F.concat(F.lit("10.5/a"), "id")).withColumn("source_id", F.concat(F.lit("W"), "id")))
     u = F.col("user_id")
     q = star.table(spark, d, "events").select(F.when(u % 3 == 0, u.cast("string")).when(u % 3 == 1, F.concat(F.lit("https://doi.org/10.5/A"), u.cast("string"))).otherwise(F.concat(F.lit("W"), u.cast("string"))).alias("ident"))
     return merging.resolve(corpus, q)

@@ -54,3 +54,10 @@ def test_clustering_of_the_whole_author_network(spark, tmp_path):
     closed = {n: sum(b in near[a] for a, b in combinations(ms, 2)) for n, ms in near.items()}
     assert any(closed.values())
     assert found == {n: (t, pytest.approx(2 * t / max(1, len(near[n]) * (len(near[n]) - 1)), abs=1e-6)) for n, t in closed.items()}
+
+
+def test_identifiers_resolve_in_all_orders(spark, tmp_path):
+    users = [3, 58, 59, 60, 61, 62, 199, 200, 201]
+    d = star_tables(spark, tmp_path, [(o, 1, 1) for o in range(200)], events=("user_id long", [(u,) for u in users]))
+    ident = lambda u: (str(u), f"https://doi.org/10.5/A{u}", f"W{u}")[u % 3]
+    assert {r["ident"]: r["id"] for r in queries.resolve_ident(spark, d).collect()} == {ident(u): str(u) if u < 200 else None for u in users}
