@@ -61,3 +61,9 @@ def test_identifiers_resolve_in_all_orders(spark, tmp_path):
     d = star_tables(spark, tmp_path, [(o, 1, 1) for o in range(200)], events=("user_id long", [(u,) for u in users]))
     ident = lambda u: (str(u), f"https://doi.org/10.5/A{u}", f"W{u}")[u % 3]
     assert {r["ident"]: r["id"] for r in queries.resolve_ident(spark, d).collect()} == {ident(u): str(u) if u < 200 else None for u in users}
+
+
+def test_every_part_has_its_citers(spark, tmp_path):
+    lines = [(o, p, 1) for p in range(1, 8) for o in range(2 * p)]
+    found = {r["target"]: r["citers"] for r in queries.citers_capped(spark, star_tables(spark, tmp_path, lines)).collect()}
+    assert found == {str(p): ",".join(sorted(str(o) for o in range(2 * p))[:10]) for p in range(1, 8)}
