@@ -512,22 +512,22 @@ def abstract_rebuild(spark, d):
 
 @query()
 def louvain(spark, d):
-    return graph.detect_communities(networks.project(star.cocitation(spark, d), 2), "louvain")
+    return graph.detect_communities(networks.project(star.cocitation(spark, d)), "louvain")
 
 
 @query()
 def label_propagation(spark, d):
-    return graph.label_propagation(networks.project(star.cocitation(spark, d), 2))
+    return graph.label_propagation(networks.project(star.cocitation(spark, d)))
 
 
 @query()
 def greedy_modularity(spark, d):
-    return graph.detect_communities(networks.project(star.cocitation(spark, d), 3), "greedy_modularity")
+    return graph.detect_communities(networks.project(star.authors(spark, d)), "greedy_modularity")
 
 
 @query()
 def betweenness(spark, d):
-    return graph.betweenness(networks.project(star.cocitation(spark, d), 3))
+    return graph.betweenness(networks.project(star.authors(spark, d)))
 
 
 @query()

@@ -67,3 +67,25 @@ def test_every_part_has_its_citers(spark, tmp_path):
     lines = [(o, p, 1) for p in range(1, 8) for o in range(2 * p)]
     found = {r["target"]: r["citers"] for r in queries.citers_capped(spark, star_tables(spark, tmp_path, lines)).collect()}
     assert found == {str(p): ",".join(sorted(str(o) for o in range(2 * p))[:10]) for p in range(1, 8)}
+
+
+def paths(near, a, b):
+    """All shortest paths from a to b, by trying lengths one after the other."""
+    found, now = [], [[a]]
+    while now and not found:
+        now = [[*p, n] for p in now for n in near[p[-1]] if n not in p]
+        found = [p for p in now if p[-1] == b]
+    return found
+
+
+def test_measures_see_whole_networks(spark, tmp_path):
+    d, authors, parts = star_tables(spark, tmp_path, LINES), neighbours(LINES, 2), neighbours(LINES, 1)
+    expected = dict.fromkeys(authors, 0.0)
+    for a, b in combinations(authors, 2):
+        between = paths(authors, a, b)
+        for n in (n for p in between for n in p[1:-1]):
+            expected[n] += 2 / len(between) / ((len(authors) - 1) * (len(authors) - 2))
+    assert {r["node"]: r["betweenness"] for r in queries.betweenness(spark, d).collect()} == pytest.approx(expected) and any(expected.values())
+    nodes = lambda df: sorted(r["node"] for r in df.select("node").collect())
+    assert nodes(queries.greedy_modularity(spark, d)) == sorted(authors)
+    assert nodes(queries.louvain(spark, d)) == nodes(queries.label_propagation(spark, d)) == sorted(parts)
