@@ -490,9 +490,10 @@ def normalize_names(spark, d):
 
 @query("""WITH w AS (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN p_name LIKE 'red %' THEN 'colour_red' WHEN p_name LIKE 'blue %' THEN 'colour_blue' ELSE p_name END AS v FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey) SELECT id, string_agg(v, ',' ORDER BY v) AS words FROM w GROUP BY 1""")
 def thesaurus_map(spark, d):
-    names = sorted(r[0] for r in star.table(spark, d, "part").select("p_name").distinct().limit(1000).collect())
-    entries = {f"colour_{c}": {"en": [n.upper() for n in names if n.startswith(c + " ")]} for c in ("red", "blue")}
-    out = preprocess.apply_thesaurus(star.papers(spark, d), preprocess.thesaurus(spark, entries)).where("keywords_raw is not null")
+    names = star.table(spark, d, "part").where(F.startswith("p_name", F.lit("red ")) | F.startswith("p_name", F.lit("blue ")))
+    alias = F.get(text.normalize_list(F.array(F.upper("p_name"))), F.lit(0)).alias("alias")
+    lookup = names.select(alias, F.concat(F.lit("colour_"), F.substring_index("p_name", " ", 1)).alias("canonical")).distinct()
+    out = preprocess.apply_thesaurus(star.papers(spark, d), lookup).where("keywords_raw is not null")
     return out.select("id", F.array_join(F.array_sort("keywords_id"), ",").alias("words"))
 
 

@@ -89,3 +89,10 @@ def test_measures_see_whole_networks(spark, tmp_path):
     nodes = lambda df: sorted(r["node"] for r in df.select("node").collect())
     assert nodes(queries.greedy_modularity(spark, d)) == sorted(authors)
     assert nodes(queries.louvain(spark, d)) == nodes(queries.label_propagation(spark, d)) == sorted(parts)
+
+
+def test_every_name_is_in_the_thesaurus(spark, tmp_path):
+    names = {p: f"{('red', 'blue', 'green')[p % 3]} thing{p}" for p in range(1500)}
+    d = star_tables(spark, tmp_path, [(p // 3, p, 1) for p in names], names)
+    found = {r["id"]: r["words"] for r in queries.thesaurus_map(spark, d).collect()}
+    assert found == {str(o): f"colour_blue,colour_red,green thing{3 * o + 2}" for o in range(500)}
