@@ -4,19 +4,36 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's ``spark.checkpoint.dir``, else a local folder as in tests."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
+def shared_folder(spark: SparkSession) -> str:
+    """Make checkpoint() usable and name its folder: the cluster's ``spark.checkpoint.dir``.
+
+    Only on a local master, as in tests, a temporary folder stands in for an unset one; elsewhere that would
+    put files where other machines can't read them, so it is an error.
+    """
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), "citeloom-checkpoints"))
+        if not configured and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), "citeloom-checkpoints"))
+        held = context._jsc.sc().getCheckpointDir()
+    return held.get()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder and go on from those files, which outlive executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared folder: like :func:`cut`, but later readers take only the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
