@@ -3,44 +3,54 @@
 A document's set holds its distinct 5-word shingles (words lower-cased in A-Z; fewer than five words: the
 whole sequence).  Two documents link when the sets' Jaccard similarity is at least ``THRESHOLD``.
 
-1. Equal sets collapse into a class, named by a 128-bit hash and stood for by its smallest id.
-2. Every set sends its prefix, the first ``n - ceil(0.75 n) + 1`` shingles in a global order, to tiles by
-   shingle; linked sets share a prefix shingle, so nothing is lost.  The order is by hash, with shingles
-   that a bounded sample shows to be common put last, so that they fall out of the prefixes.  Prefixes
-   travel as packed arrays, one row for each tile and task.  A tile keeps the shingles of two classes or more.
-3. In each tile, each class is paired with the first and the last one of its size band and shingle,
-   which is linear in the tile.  Bitmaps (as wide as the size band asks) bound a pair's overlap from above by bit counts;
-   pairs that pass, and pairs with much of their prefixes in common, make families of classes.  A family's sets meet in one block, or in
-   pairs of blocks when it is large, where exact intersections of the sorted arrays decide every link.
-4. Pairs of different families that share a prefix shingle, size permitting, pass the same bitmap bound
-   and are verified one by one.  The components of all links together are exact.
+1. Equal sets collapse into a class, named by a hash of the set.
+2. Every class sends its prefix, the first ``n - ceil(0.75 n) + 1`` shingles in one global order, to tiles
+   by shingle; linked sets share a prefix shingle, so nothing is lost.  The order puts shingles that a
+   bounded sample shows to be frequent last, the most frequent very last, so that passages and lines that
+   many documents hold fall out of the prefixes.  Prefixes travel as packed arrays; a shingle that a task
+   sees in several classes goes on at once with a marker in the tile, so that a tile's size follows its
+   different shingles and not the size of a group of near copies.
+3. A shingle's place in the two orders bounds the overlap from above: of two linked sets the smaller one
+   holds their first common shingle in its first seventh.  Only pairs that satisfy this are ever formed.
+4. Rounds of pivots: for each shingle, the classes that no chain of links joins yet are compared with a
+   few pivots of it, which is linear in the index.  Groups of near copies fall together in these rounds.
+5. What is still apart after the rounds meets in tiles by shingle and size band (the smaller set in its
+   own band, the larger one in its own and the next smaller band), all pairs of different components.
+6. Every pair, from 4 or from 5, first passes the bit counts of two hashed bitmaps, which bound its overlap
+   from above, and is then decided by exact intersection of the two sorted arrays.
+
+Pairs within one component are left out, since they change no answer; links between components are all
+found.  Sets are named by 64-bit hashes of hashed shingles: two of N sets share one with probability N^2 / 2^65.
 
 Defined results: null, empty or blank text has no shingles, links with nothing and is its own component.
-Copies share a component.  Ids must be unique; only id and text are read.
+Copies share a component.  Rows with a null id link like others but are never a component's smallest id; a
+component of null ids only has a null ``component_id``.  Ids may repeat: each row has the component of its
+own text, and nothing links by id.  Only id and text are read.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.operators.components import connected_components
-from citeloom.plans.checkpoint import cut
+from citeloom.plans.checkpoint import cut, written
 
 from .common import chained, hash_share, mix64, slices, to_bytes, words_of
 
 WORDS = 5
 THRESHOLD = 0.75
-#: Documents sampled to find common shingles, and in how many of them a shingle is common.
-SAMPLE_ROWS, COMMON_ROWS = 32_768, 4
-#: Prefix shingles of a tile, and of a task before it sends them off; shingles of a block of a family.
-TILE, FLUSH, BLOCK = 1_000_000, 1_500_000, 400_000
-#: Share of a class's prefix that it has in common with another one to be put into its family unseen.
-FAMILY = 0.1
+#: Bounds of the sample that orders the shingles: classes, and their shingles; a shingle in COMMON_ROWS of them is frequent.
+SAMPLE_ROWS, SAMPLE_SHINGLES, COMMON_ROWS = 32_768, 1 << 24, 4
+#: Prefix shingles of a tile, and of a task before it sends them off.
+TILE, FLUSH = 1_000_000, 1_500_000
+#: Pivots of a shingle in a round; rounds at most before the rest is compared; how many times the index the rest may be before another round.
+PIVOTS, ROUNDS, REST = 4, 6, 2
 
 
 def shingle_sets(texts: list[bytes]):
@@ -56,16 +66,14 @@ def shingle_sets(texts: list[bytes]):
                 yield chained(h[s:e], e - s) if e > s else np.empty(0, np.uint64)
 
 
-def class_key(shingles: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit sums over a set; with wrap-around, so the order doesn't matter."""
-    x = mix64(shingles)
-    y = mix64(x ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    return int(x.sum(dtype=np.uint64).astype(np.int64)), int(y.sum(dtype=np.uint64).astype(np.int64))
+def class_key(shingles: np.ndarray) -> int:
+    """A 64-bit hash of a set: a wrapping sum, so the order doesn't matter."""
+    return int((mix64(mix64(shingles) ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) + np.uint64(len(shingles))).astype(np.int64))
 
 
-def band(n: int) -> int:
+def band(n: Column) -> Column:
     """Size band: sets that link are in the same band or in neighbouring ones."""
-    return int(math.log(n) / math.log(1 / THRESHOLD) + 1e-9) if n else -1
+    return F.floor(F.log(n.cast("double")) / math.log(1 / THRESHOLD) + 1e-9).cast("int")
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -93,8 +101,8 @@ def links(n_a: int, n_b: int, shared: int) -> bool:
     return 100 * shared >= 75 * (n_a + n_b - shared)
 
 
-def prefix(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The shingles by which a set is found; ``common`` is sorted and comes last in the order."""
+def prefix(shingles: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The shingles by which a set is found, in the global order: by hash, but the sorted ``common`` ones last, by ``often``."""
     n = len(shingles)
     if not n:
         return shingles
@@ -103,21 +111,17 @@ def prefix(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
         at = np.searchsorted(common, shingles)
         at[at == len(common)] = 0
         late = common[at] == shingles
-        shingles = np.concatenate((shingles[~late], shingles[late]))
+        if late.any():
+            last = shingles[late][np.argsort(often[at[late]], kind="stable")]
+            shingles = np.concatenate((shingles[~late], last))
     return shingles[:size]
 
 
 def _sets(batches):
-    """(doc_id, n, k1, k2, bits) of each document."""
+    """The number of shingles and the class of each document, for its text."""
     for batch in batches:
-        n, k1, k2, bits = [], [], [], []
-        for s in shingle_sets(to_bytes(batch.column(1))):
-            a, b = class_key(s)
-            n.append(len(s))
-            k1.append(a)
-            k2.append(b)
-            bits.append(bitmap(s))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "n", "k1", "k2", "bits"])
+        found = [(len(s), class_key(s)) for s in shingle_sets(to_bytes(batch.column("t")))]
+        yield batch.drop_columns(["t"]).append_column("n", pa.array([n for n, _ in found], pa.int64())).append_column("k", pa.array([k for _, k in found], pa.int64()))
 
 
 def _common(batches):
@@ -126,64 +130,108 @@ def _common(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*values, np.empty(0, np.uint64)]).view(np.int64))], ["s"])
 
 
+_PACKED = "tile long, tokens binary, at binary, places binary, classes binary, sizes binary"
+
+
 def _prefixes(tiles: int, common):
-    """Rows (tile, 32 bits of each shingle, the place of its class, classes); a task sends a class once."""
+    """Packed entries (32 bits of a shingle, its place in the order, its class and the class's size) by tile.
+
+    Tiles below zero hold entries of shingles that this task has seen in several classes; for those the
+    shingle's own tile gets one entry and a second one of no class (size 0) that marks it as shared.
+    """
+
+    def pack(tile, tokens, at, keys, sizes, out):
+        edge = np.concatenate(([0], np.flatnonzero(tile[1:] != tile[:-1]) + 1, [len(tile)]))
+        for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            if x == y:
+                continue
+            own, first, place = np.unique(keys[x:y], return_index=True, return_inverse=True)
+            kind = np.uint16 if len(own) < 1 << 16 else np.uint32
+            spot = np.uint16 if at[x:y].max() < 1 << 16 else np.uint32
+            out.append((int(tile[x]), tokens[x:y].tobytes(), at[x:y].astype(spot).tobytes(), place.astype(kind).tobytes(), own.tobytes(), sizes[x:y][first].astype(np.int32).tobytes()))
+
+    def send(held):
+        tokens = mix64(np.concatenate([t for t, _, _ in held]))
+        lengths = [len(t) for t, _, _ in held]
+        keys, sizes = np.repeat(np.array([k for _, k, _ in held], np.int64), lengths), np.repeat(np.array([n for _, _, n in held], np.int64), lengths)
+        at = np.concatenate([np.arange(x) for x in lengths])
+        order = np.argsort(tokens, kind="stable")
+        tokens, keys, sizes, at = tokens[order], keys[order], sizes[order], at[order]
+        same = tokens[1:] == tokens[:-1]
+        many, first = np.zeros(len(tokens), bool), np.ones(len(tokens), bool)
+        many[1:] |= same
+        many[:-1] |= same
+        first[1:] = ~same
+        tile = ((tokens >> np.uint64(32)) % np.uint64(tiles)).astype(np.int64)
+        low = tokens.astype(np.uint32)
+        mark = many & first
+        out: list = []
+        to_tile = np.concatenate((tile[first & ~many], tile[mark]))
+        by_tile = np.argsort(to_tile, kind="stable")
+        blank = np.zeros(int(mark.sum()), np.int64)
+        pack(to_tile[by_tile], *(x[by_tile] for x in (np.concatenate((low[first & ~many], low[mark])), np.concatenate((at[first & ~many], blank)), np.concatenate((keys[first & ~many], blank)), np.concatenate((sizes[first & ~many], blank)))), out)
+        if many.any():
+            whole = low[many].astype(np.int64) | tile[many] << 32
+            spread = -1 - zlib.crc32(whole.tobytes()) % (1 << 20)
+            pack(np.full(len(whole), spread), whole, at[many], keys[many], sizes[many], out)
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64() if k == 0 else pa.binary()) for k in range(6)], ["tile", "tokens", "at", "places", "classes", "sizes"])
 
     def run(batches):
-        held, known = [], set()
-
-        def send():
-            tokens = mix64(np.concatenate([t for t, _ in held]))
-            classes = np.repeat(np.array([c for _, c in held], np.int64), [len(t) for t, _ in held])
-            tile = ((tokens >> np.uint64(32)) % np.uint64(tiles)).astype(np.int64)
-            order = np.argsort(tile, kind="stable")
-            tokens, classes, tile = tokens[order].astype(np.uint32), classes[order], tile[order]
-            edge = np.concatenate(([0], np.flatnonzero(tile[1:] != tile[:-1]) + 1, [len(tile)]))
-            out = []
-            for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                own, place = np.unique(classes[x:y], return_inverse=True)
-                kind = np.uint16 if len(own) < 1 << 16 else np.uint32
-                out.append((int(tile[x]), tokens[x:y].tobytes(), place.astype(kind).tobytes(), own.tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64() if k == 0 else pa.binary()) for k in range(4)], ["tile", "tokens", "places", "classes"])
-
-        size = 0
+        held, known, size = [], set(), 0
+        often, levels = common.value
         for batch in batches:
             for s in shingle_sets(to_bytes(batch.column(0))):
                 key = class_key(s)
                 if len(s) and key not in known:
                     known.add(key)
-                    held.append((prefix(s, common.value), key[0]))
+                    held.append((prefix(s, often, levels), key, len(s)))
                     size += len(held[-1][0])
                     if size > FLUSH:
-                        yield send()
+                        yield send(held)
                         held, size = [], 0
         if held:
-            yield send()
+            yield send(held)
 
     return run
 
 
 def _shared(group: pa.Table) -> pa.Table:
-    """The shingles of a tile that two classes or more have: (token, k1).
+    """The entries of a tile whose shingle two classes or more have: (token, k, n, at).
 
-    Different shingles can meet in 32 bits; that makes a pair more to check, and loses none."""
-    tokens, classes = [], []
-    for tile, t, p, c in zip(*(group.column(k).to_pylist() for k in range(4))):
-        token = np.frombuffer(t, np.uint32)
+    Different shingles can meet in 32 bits; that makes a pair more to check, and loses none.
+    """
+    parts: list[list[np.ndarray]] = [[], [], [], []]
+    direct = group.column("tile")[0].as_py() < 0
+    for tile, t, a, p, c, n in zip(*(group.column(k).to_pylist() for k in range(6))):
+        token = np.frombuffer(t, np.int64) if direct else np.frombuffer(t, np.uint32).astype(np.int64) | tile << 32
         place = np.frombuffer(p, np.uint16 if len(p) == 2 * len(token) else np.uint32)
-        tokens.append(token.astype(np.int64) | tile << 32)
-        classes.append(np.frombuffer(c, np.int64)[place])
-    tokens, classes = np.concatenate(tokens), np.concatenate(classes)
-    order = np.lexsort((classes, tokens))
-    tokens, classes = tokens[order], classes[order]
-    fresh = np.ones(len(tokens), bool)
-    fresh[1:] = (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])
-    tokens, classes = tokens[fresh], classes[fresh]
-    same = tokens[1:] == tokens[:-1]
-    many = np.zeros(len(tokens), bool)
-    many[1:] |= same
-    many[:-1] |= same
-    return pa.table({"token": tokens[many], "k1": classes[many]})
+        at = np.frombuffer(a, np.uint16 if len(a) == 2 * len(token) else np.uint32).astype(np.int32)
+        for held, x in zip(parts, (token, np.frombuffer(c, np.int64)[place], np.frombuffer(n, np.int32)[place], at)):
+            held.append(x)
+    token, key, n, at = (np.concatenate(x) for x in parts)
+    if not direct:
+        order = np.lexsort((at, key, n > 0, token))
+        token, key, n, at = token[order], key[order], n[order], at[order]
+        fresh = np.ones(len(token), bool)
+        fresh[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1]) | ((n[1:] > 0) != (n[:-1] > 0))
+        token, key, n, at = token[fresh], key[fresh], n[fresh], at[fresh]
+        same = token[1:] == token[:-1]
+        many = np.zeros(len(token), bool)
+        many[1:] |= same
+        many[:-1] |= same
+        many &= n > 0
+        token, key, n, at = token[many], key[many], n[many], at[many]
+    return pa.table({"token": token, "k": key, "n": n, "at": at})
+
+
+def _signed(batches):
+    """(k, n, bits, s) of each class from the text of one of its documents."""
+    for batch in batches:
+        keys, rows = batch.column("k").to_pylist(), []
+        for key, s in zip(keys, shingle_sets(to_bytes(batch.column("t")))):
+            if class_key(s) == key:
+                rows.append((key, len(s), bitmap(s), s.tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["k", "n", "bits", "s"])
 
 
 def _bounded(batches):
@@ -191,133 +239,144 @@ def _bounded(batches):
     for batch in batches:
         c = {n: batch.column(n).to_pylist() for n in ("a_bits", "b_bits", "a_n", "b_n")}
         keep = [links(n, m, overlap_bound(x, n, y, m)) for x, y, n, m in zip(c["a_bits"], c["b_bits"], c["a_n"], c["b_n"])]
-        kept = batch.filter(pa.array(keep, pa.bool_()))
-        yield kept.select(["a", "b"])
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b", "a_c", "b_c"])
 
 
-def _verified(batches):
+def _intersected(batches):
+    """Pairs that link, by the exact intersection of their sorted arrays."""
     for batch in batches:
-        a, b = shingle_sets(to_bytes(batch.column("a_text"))), shingle_sets(to_bytes(batch.column("b_text")))
+        a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(side).to_pylist()] for side in ("a_s", "b_s"))
         keep = [links(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))) for x, y in zip(a, b)]
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["a_c", "b_c"])
 
 
-def _side(classes: DataFrame, side: str) -> DataFrame:
-    return classes.select(F.col("k1").alias(f"{side}_k"), F.col("rep").alias(side), F.col("n").alias(f"{side}_n"), F.col("bits").alias(f"{side}_bits"))
+def _decided(pairs: DataFrame, pool: DataFrame) -> DataFrame:
+    """(a_c, b_c): the components of those pairs (a, b, a_c, b_c) that link."""
+    signs = pool.select("k", "n", "bits")
+    both = pairs.join(signs.toDF("a", "a_n", "a_bits"), "a").join(signs.toDF("b", "b_n", "b_bits"), "b")
+    possible = cut(both.mapInArrow(_bounded, "a long, b long, a_c long, b_c long"))
+    sets = pool.select("k", "s")
+    met = possible.join(sets.toDF("a", "a_s"), "a").join(sets.toDF("b", "b_s"), "b")
+    return met.select("a_c", "b_c", "a_s", "b_s").mapInArrow(_intersected, "a_c long, b_c long").distinct()
 
 
-def _possible(pairs: DataFrame, classes: DataFrame, id_type: str) -> DataFrame:
-    """Checkpointed (a, b), the smallest ids of the classes of those pairs (a_k, b_k) that bitmaps leave possible."""
-    both = pairs.join(_side(classes, "a"), "a_k").join(_side(classes, "b"), "b_k")
-    both = both.where("100 * least(a_n, b_n) >= 75 * greatest(a_n, b_n)").select("a", "b", "a_n", "b_n", "a_bits", "b_bits")
-    return cut(both.mapInArrow(_bounded, f"a {id_type}, b {id_type}"))
+def _feasible(a: str, b: str) -> Column:
+    """What a shingle's places leave possible: sizes, and the shingles from it on, of entries ``a`` and ``b``."""
+    x, y = (F.col(f"{s}_n") for s in (a, b))
+    rest = F.least(x - F.col(f"{a}_at"), y - F.col(f"{b}_at"))
+    return (4 * F.least(x, y) >= 3 * F.greatest(x, y)) & (7 * rest >= 3 * (x + y))
 
 
-def _verify(possible: DataFrame, rows: DataFrame, id_type: str) -> DataFrame:
-    """Checkpointed links among pairs of ids, each checked on its two texts."""
-    needed = possible.select(F.col("a").alias("doc_id")).unionAll(possible.select(F.col("b").alias("doc_id"))).distinct()
-    texts = rows.join(needed, "doc_id", "left_semi")
-    with_a = possible.join(texts.select(F.col("doc_id").alias("a"), F.col("t").alias("a_text")), "a")
-    with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("t").alias("b_text")), "b")
-    return cut(with_b.select("a", "b", "a_text", "b_text").mapInArrow(_verified, f"a {id_type}, b {id_type}"))
+#: An entry in the first seventh of its set: the smaller one of a linked pair holds their first common shingle there.
+_EARLY = "7 * at <= n"
 
 
-def block_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links among sorted sets, enough to connect what is connected: (later, first of its group).
+def _side(entries: DataFrame, side: str) -> DataFrame:
+    return entries.select("token", *(F.col(c).alias(f"{side}{e}") for c, e in (("k", ""), ("n", "_n"), ("at", "_at"), ("c", "_c"))))
 
-    Each set is marked in a table over the block's shingles, and one sum over all sets gives its overlaps.
-    """
-    size = np.array([len(s) for s in sets])
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    start = np.concatenate(([0], np.cumsum(size)))
-    mark, root = np.zeros(int(ids.max(initial=-1)) + 1, np.int32), list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for x in range(1, len(sets)):
-        own = ids[start[x] : start[x + 1]]
-        mark[own] = 1
-        shared = np.add.reduceat(mark[ids[: start[x]]], start[:x])
-        mark[own] = 0
-        for y in np.flatnonzero(100 * shared >= 75 * (size[:x] + size[x] - shared)).tolist():
-            p, q = find(x), find(y)
-            root[max(p, q)] = min(p, q)
-    return [(x, find(x)) for x in range(len(sets)) if find(x) != x]
-
-
-def _family_links(group: pa.Table) -> pa.Table:
-    family, i, j, rep = (group.column(n).to_pylist() for n in ("family", "i", "j", "rep"))
-    blocks: dict = {}
-    for k, key in enumerate(zip(family, i, j)):
-        blocks.setdefault(key, []).append(k)
-    held, out = group.column("s"), []
-    for rows in blocks.values():
-        sets = [np.frombuffer(held[k].as_py(), np.uint64) for k in rows]
-        out += [(rep[rows[x]], rep[rows[y]]) for x, y in block_links(sets)]
-    kind = group.schema.field("rep").type
-    return pa.table({"a": pa.array([x for x, _ in out], kind), "b": pa.array([y for _, y in out], kind)})
-
-
-def _sorted_sets(batches):
-    for batch in batches:
-        sets = [s.tobytes() for s in shingle_sets(to_bytes(batch.column("t")))]
-        yield batch.drop_columns(["t"]).append_column("s", pa.array(sets, pa.binary()))
-
-
-def _within(families: DataFrame, classes: DataFrame, rows: DataFrame, id_type: str) -> DataFrame:
-    """Checkpointed links inside the families (node, component)."""
-    members = families.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(classes.select("rep", "n"), "rep")
-    sizes = cut(members.groupBy("family").agg(F.sum("n").alias("total")).withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int")))
-    small = sizes.where("blocks = 1").agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
-    buckets = max(1, math.ceil(small / BLOCK))
-    placed = members.join(sizes.select("family", "blocks"), "family").select("rep", "family", "blocks", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("own"))
-    sets = rows.join(placed, F.col("doc_id") == F.col("rep")).select("rep", "family", "blocks", "own", "t")
-    sets = sets.mapInArrow(_sorted_sets, f"rep {id_type}, family {id_type}, blocks int, own int, s binary")
-    met = sets.select("rep", "family", "blocks", "own", "s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
-    met = met.select("rep", "family", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "s", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(buckets))).otherwise(-1 - F.pmod(F.xxhash64("family", F.least("own", "k"), F.greatest("own", "k")), F.lit(1 << 40))).alias("tile"))
-    return cut(met.groupBy("tile").applyInArrow(_family_links, f"a {id_type}, b {id_type}"))
-
-
-def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each document: the smallest id reachable by links."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    members = cut(rows.mapInArrow(_sets, f"doc_id {id_type}, n long, k1 long, k2 long, bits binary"))
-    classes = cut(members.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "bits")).alias("x")).select("k1", "k2", F.col("x.doc_id").alias("rep"), F.col("x.n").alias("n"), F.col("x.bits").alias("bits")))
+
+def _ordered(met: DataFrame) -> DataFrame:
+    """Different pairs, the smaller name first."""
+    swap = F.col("a") > F.col("b")
+    return met.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("a_c", "b_c"), ("b_c", "a_c")))).distinct()
+
+
+def _pivot_pairs(entries: DataFrame, turn: int) -> DataFrame:
+    """Pairs of an entry with the pivots of its shingle, where another component holds them."""
+    drawn = entries.where(_EARLY).withColumn("draw", F.xxhash64("k", F.lit(turn)))
+    pivots = drawn.groupBy("token", F.pmod("draw", F.lit(PIVOTS)).alias("bucket")).agg(F.min(F.struct("draw", "k", "n", "at", "c")).alias("p"))
+    right = pivots.select("token", F.col("p.k").alias("b"), F.col("p.n").alias("b_n"), F.col("p.at").alias("b_at"), F.col("p.c").alias("b_c"))
+    return _ordered(_side(entries, "a").join(right, "token").where((F.col("a_c") != F.col("b_c")) & _feasible("a", "b")))
+
+
+def _all_pairs(entries: DataFrame) -> DataFrame:
+    """All pairs of different components that a shingle leaves possible, in tiles by shingle and size band."""
+    small = _side(entries.where(_EARLY), "a").withColumn("band", band(F.col("a_n")))
+    large = _side(entries, "b").withColumn("band", F.explode(F.array(band(F.col("b_n")), band(F.col("b_n")) - 1)))
+    order = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") < F.col("b")))
+    return _ordered(small.join(large, ["token", "band"]).where((F.col("a_c") != F.col("b_c")) & order & _feasible("a", "b")))
+
+
+def _apart(entries: DataFrame) -> DataFrame:
+    """The entries of shingles that different components hold, with how many pairs those make at most."""
+    of_part = entries.groupBy("token", "c").agg(F.count("*").alias("all"), F.count_if(F.expr(_EARLY)).alias("early"))
+    mixed = of_part.groupBy("token").agg(F.sum("all").alias("all"), F.sum("early").alias("early"), F.sum(F.col("all") * F.col("early").cast("double")).alias("own"), F.count("*").alias("parts")).where("parts > 1 and early > 0")
+    return entries.join(mixed.select("token", (F.col("early") * F.col("all").cast("double") - F.col("own")).alias("pairs")), "token")
+
+
+def _joined(parts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(k, c) after the components of ``parts`` have been joined along ``edges``."""
+    merged = connected_components(edges, "a_c", "b_c").select(F.col("node").alias("c"), "component")
+    return cut(parts.join(merged, "c", "left").select("k", F.coalesce("component", "c").alias("c")))
+
+
+def _parts(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(k, c) for each class that shares a prefix shingle with another: the class and its component."""
+    classes = cut(members.where("n > 0").groupBy("k").agg(F.min("row").alias("row"), F.min("n").alias("n")))
     totals = classes.agg(F.count("*").alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()
 
-    share = SAMPLE_ROWS / max(1, totals["c"])
-    sample = rows.join(F.broadcast(classes.where(hash_share(F.col("rep"), 41) < share).select(F.col("rep").alias("doc_id"))), "doc_id").select("t")
-    often = sample.mapInArrow(_common, "s long").groupBy("s").count().where(F.col("count") >= COMMON_ROWS).select("s").collect()
-    common = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["s"] for r in often], np.int64).view(np.uint64)))
+    share = min(SAMPLE_ROWS / max(1, totals["c"]), SAMPLE_SHINGLES / max(1, totals["s"]))
+    sample = rows.join(F.broadcast(classes.where(hash_share(F.col("k"), 41) < share).select("row")), "row").dropDuplicates(["row"]).select("t")
+    often = sample.mapInArrow(_common, "s long").groupBy("s").count().where(F.col("count") >= COMMON_ROWS).toArrow()
+    s, count = often.column("s").to_numpy().view(np.uint64), often.column("count").to_numpy()
+    order = np.argsort(s)
+    common = rows.sparkSession.sparkContext.broadcast((s[order], count[order].astype(np.uint16)))
 
     tiles = max(1, math.ceil(totals["s"] * (1 - THRESHOLD) / TILE))
-    packed = rows.select("t").mapInArrow(_prefixes(tiles, common), "tile long, tokens binary, places binary, classes binary")
-    shared = cut(packed.groupBy("tile").applyInArrow(_shared, "token long, k1 long").join(classes.select("k1", F.col("n"), F.col("rep")), "k1"))
-
-    banded = shared.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(1 / THRESHOLD) + 1e-9))
-    ends = banded.groupBy("token", "band").agg(F.min(F.struct("rep", "k1")).alias("lo"), F.max(F.struct("rep", "k1")).alias("hi"))
-    first = ends.select("token", "band", F.explode(F.array("lo", "hi")).alias("x"))
-    star = banded.join(first, ["token", "band"]).select(F.col("k1").alias("a_k"), F.col("x.k1").alias("b_k"), F.col("rep").alias("a"), F.col("x.rep").alias("b"), "n").where("a_k <> b_k")
-    star = cut(star.groupBy("a_k", "b_k", "a", "b", "n").agg(F.count("*").alias("met")))
-    close = F.col("met") >= FAMILY * (1 - THRESHOLD) * F.col("n") + 1
-    alike = star.where(close).select("a", "b").unionAll(_possible(star.where(~close).select("a_k", "b_k"), classes, id_type))
-    families = cut(connected_components(alike, "a", "b"))
-    near = _within(families, classes, rows, id_type)
-
-    placed = shared.join(families.select(F.col("node").alias("rep"), "component"), "rep", "left").select("token", "k1", "n", F.coalesce("component", "rep").alias("c"))
-    mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-    open_ = placed.join(mixed, "token")
-    left = open_.select("token", F.col("k1").alias("a_k"), F.col("n").alias("x"), F.col("c").alias("p"))
-    right = open_.select("token", F.col("k1").alias("b_k"), F.col("n").alias("y"), F.col("c").alias("q"))
-    across = left.join(right, "token").where("p < q and 100 * least(x, y) >= 75 * greatest(x, y)").select("a_k", "b_k").distinct()
-    far = _verify(_possible(across, classes, id_type), rows, id_type)
-
-    every = connected_components(near.unionAll(far), "a", "b").select(F.col("node").alias("rep"), "component")
-    of_class = classes.select("k1", "k2", "rep").join(every, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    out = members.drop("bits").join(of_class, ["k1", "k2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    packed = rows.select("t").mapInArrow(_prefixes(tiles, common), _PACKED)
+    entries = packed.groupBy("tile").applyInArrow(_shared, "token long, k long, n int, at int")
+    entries = cut(entries.groupBy("token", "k").agg(F.min("n").alias("n"), F.min("at").alias("at")))
+    parts = cut(entries.select("k").distinct().withColumn("c", F.col("k")))
+    needed = parts.join(classes, "k").select("k", "row")
+    pool = written(rows.join(needed, "row").select("k", "t").mapInArrow(_signed, "k long, n int, bits binary, s binary"))
+    if pool.count() > needed.count():  # the same row several times
+        pool = written(pool.dropDuplicates(["k"]))
+
+    for turn in range(ROUNDS + 1):
+        apart = cut(_apart(entries.join(parts, "k")))
+        rest = apart.agg(F.count("*").alias("entries"), F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("x")).first()
+        if not rest["entries"]:
+            break
+        open_pairs = apart.select("token", "pairs").distinct().agg(F.sum("pairs")).first()[0]
+        last = turn == ROUNDS or open_pairs <= REST * rest["entries"]
+        pairs = _all_pairs(apart) if last else _pivot_pairs(apart, turn)
+        parts = _joined(parts, cut(_decided(pairs, pool)))
+        if last:
+            break
+    return parts
+
+
+def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep_row: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each document: the smallest id reachable by links.
+
+    With ``keep_row`` also ``row``, a hash of id and text, and ``part``, a name of the component (null without shingles).
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.xxhash64(doc_id, text).alias("row"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    members = cut(rows.mapInArrow(_sets, f"doc_id {id_type}, row long, n long, k long"))
+    smallest = members.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("rep"))
+    placed = cut(smallest.join(_parts(rows.select("row", "t"), members), "k", "left").select("k", "rep", F.coalesce("c", "k").alias("c")))
+    named = placed.join(placed.groupBy("c").agg(F.min("rep").alias("component")), "c").select("k", "c", "component")
+    out = members.join(named, "k", "left")
+    linked = F.col("n") > 0
+    extra = [F.col("row"), F.when(linked, F.col("c")).alias("part")] if keep_row else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), *extra)
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row with its smallest id stays.
+
+    A row with a null id stays only where its component has no other; of rows with the same id, the one
+    with the smallest hash of id and text; of rows equal in id and text, one.  Rows without shingles all
+    stay.  All columns are kept.
+    """
+    found = cut(components(docs, text, doc_id, keep_row=True).where("part is not null").select("doc_id", "row", "part"))
+    best = found.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("x"))
+    chosen = found.select("doc_id", "row", "part").join(best.select("part", F.col("x.row").alias("row")), ["part", "row"]).groupBy("row").agg(F.count("*").alias("times"))
+    chosen = cut(chosen)
+    gone = cut(found.select("row").distinct().join(chosen, "row", "left").select("row", F.coalesce("times", F.lit(0)).alias("times")).where("times <> 1"))
+    marked = docs.withColumn("_row", F.xxhash64(doc_id, text)).join(gone.select(F.col("row").alias("_row"), "times"), "_row", "left")
+    kept = marked.where("times is null").drop("_row", "times")
+    if gone.where("times > 1").isEmpty():
+        return kept
+    return kept.unionByName(marked.where("times > 1").dropDuplicates(["_row"]).drop("_row", "times"))

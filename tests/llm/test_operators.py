@@ -114,11 +114,37 @@ def components(texts):
 def test_ngram_join(docs, texts, empty, monkeypatch):
     want = components(texts)
     assert {k: (r["n_shingles"], r["component_id"]) for k, r in by_id(ngram_join.components(docs)).items()} == want
-    monkeypatch.setattr(ngram_join, "BLOCK", 150)  # families in several blocks
+    for name, value in (("FLUSH", 150), ("TILE", 100), ("ROUNDS", 1), ("PIVOTS", 1)):  # many tiles, direct entries, a rest
+        monkeypatch.setattr(ngram_join, name, value)
     assert {k: (r["n_shingles"], r["component_id"]) for k, r in by_id(ngram_join.components(docs)).items()} == want
     assert ngram_join.components(empty).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_ngram_join_with_a_line_in_all_documents_and_chains(spark, rounds, monkeypatch):
+    r = random.Random(9)
+    line, base = sentences(1, 20, "abcdefgh"), sentences(2, 45, "abcdefgh").split()
+    texts = {k: f"{line}\n{sentences(100 + k, r.randint(5, 40), 'abcdefgh')}" for k in range(60)}
+    for k in range(60, 150):  # one changed word each: similar only where the changes are close, the base is not there
+        words = list(base)
+        words[r.randrange(45)] = f"w{k}"
+        texts[k] = line + " " + " ".join(words) if k % 4 == 0 else " ".join(words)
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    out = by_id(ngram_join.components(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)))
+    assert {k: (x["n_shingles"], x["component_id"]) for k, x in out.items()} == components(texts)
+
+
+def test_ngram_join_null_and_repeated_ids(spark):
+    t, near, other = (sentences(k, 60, "abcdefgh") for k in (1, 1, 3))
+    near = " ".join(near.split()[:-2] + ["x", "y"])
+    rows = [(None, t, 1), (7, t, 2), (2, near, 3), (2, near, 3), (2, other, 4), (None, other, 5), (None, "only this has no id at all", 6), (None, None, 7), (9, "", 8), (9, "", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long").repartition(3)
+    out = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in ngram_join.components(docs).collect())
+    assert out == sorted([(0, 56, 2), (7, 56, 2), (2, 56, 2), (2, 56, 2), (2, 56, 2), (0, 56, 2), (0, 3, 0), (0, 0, 0), (9, 0, 9), (9, 0, 9)])
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r["row"] for r in kept.collect()) == [3, 4, 6, 7, 8, 8]
+
+
 def test_overlap_bound_is_never_too_low():
     import numpy as np
 
