@@ -32,11 +32,9 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
+    """Of each group of linked documents the one with the smallest id stays (a null id only in a group without another)."""
     small_batches(spark)
-    docs = docs.select(*COLUMNS)
-    first = ngram_join.components(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    return ngram_join.one_of_each(docs.select(*COLUMNS))
 
 
 def stage_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
