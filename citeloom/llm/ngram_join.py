@@ -49,8 +49,12 @@ THRESHOLD = 0.75
 SAMPLE_ROWS, SAMPLE_SHINGLES, COMMON_ROWS = 32_768, 1 << 24, 4
 #: Prefix shingles of a tile, and of a task before it sends them off.
 TILE, FLUSH = 1_000_000, 1_500_000
-#: Pivots of a shingle in a round; rounds at most before the rest is compared; how many times the index the rest may be before another round.
-PIVOTS, ROUNDS, REST = 4, 6, 2
+#: Pivots of a shingle in a round; rounds at most before the rest is compared.
+PIVOTS, ROUNDS = 4, 8
+#: The rest is compared when it makes this many pairs for an entry, or when a round has joined less than this share of what was apart.
+REST, GAIN = 2, 0.02
+#: Most keys that are broadcast, 8 MB of them; beyond it the texts are shuffled to them.
+BROADCAST_KEYS = 1 << 20
 
 
 def shingle_sets(texts: list[bytes]):
@@ -118,10 +122,13 @@ def prefix(shingles: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.nd
 
 
 def _sets(batches):
-    """The number of shingles and the class of each document, for its text."""
+    """The number of shingles, the class and the bitmap of each document, for its text."""
     for batch in batches:
-        found = [(len(s), class_key(s)) for s in shingle_sets(to_bytes(batch.column("t")))]
-        yield batch.drop_columns(["t"]).append_column("n", pa.array([n for n, _ in found], pa.int64())).append_column("k", pa.array([k for _, k in found], pa.int64()))
+        found = [(len(s), class_key(s), bitmap(s)) for s in shingle_sets(to_bytes(batch.column("t")))]
+        out = batch.drop_columns(["t"])
+        for k, (name, kind) in enumerate((("n", pa.int64()), ("k", pa.int64()), ("bits", pa.binary()))):
+            out = out.append_column(name, pa.array([f[k] for f in found], kind))
+        yield out
 
 
 def _common(batches):
@@ -224,14 +231,11 @@ def _shared(group: pa.Table) -> pa.Table:
     return pa.table({"token": token, "k": key, "n": n, "at": at})
 
 
-def _signed(batches):
-    """(k, n, bits, s) of each class from the text of one of its documents."""
+def _sorted_sets(batches):
+    """(k, s): the sorted shingles of each class from the text of one of its documents."""
     for batch in batches:
-        keys, rows = batch.column("k").to_pylist(), []
-        for key, s in zip(keys, shingle_sets(to_bytes(batch.column("t")))):
-            if class_key(s) == key:
-                rows.append((key, len(s), bitmap(s), s.tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["k", "n", "bits", "s"])
+        rows = [(key, s.tobytes()) for key, s in zip(batch.column("k").to_pylist(), shingle_sets(to_bytes(batch.column("t")))) if class_key(s) == key]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], ["k", "s"])
 
 
 def _bounded(batches):
@@ -250,14 +254,16 @@ def _intersected(batches):
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a_c", "b_c"])
 
 
-def _decided(pairs: DataFrame, pool: DataFrame) -> DataFrame:
-    """(a_c, b_c): the components of those pairs (a, b, a_c, b_c) that link."""
-    signs = pool.select("k", "n", "bits")
+def _decided(pairs: DataFrame, signs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Checkpointed (a_c, b_c): the components of those pairs (a, b, a_c, b_c) that link."""
     both = pairs.join(signs.toDF("a", "a_n", "a_bits"), "a").join(signs.toDF("b", "b_n", "b_bits"), "b")
     possible = cut(both.mapInArrow(_bounded, "a long, b long, a_c long, b_c long"))
-    sets = pool.select("k", "s")
+    needed = possible.select(F.col("a").alias("k")).unionAll(possible.select(F.col("b").alias("k"))).distinct()
+    needed = cut(needed.join(classes, "k").select("k", "row"))
+    texts = rows.join(F.broadcast(needed) if needed.count() <= BROADCAST_KEYS else needed, "row").select("k", "t")
+    sets = texts.mapInArrow(_sorted_sets, "k long, s binary").dropDuplicates(["k"])
     met = possible.join(sets.toDF("a", "a_s"), "a").join(sets.toDF("b", "b_s"), "b")
-    return met.select("a_c", "b_c", "a_s", "b_s").mapInArrow(_intersected, "a_c long, b_c long").distinct()
+    return cut(met.select("a_c", "b_c", "a_s", "b_s").mapInArrow(_intersected, "a_c long, b_c long").distinct())
 
 
 def _feasible(a: str, b: str) -> Column:
@@ -298,10 +304,10 @@ def _all_pairs(entries: DataFrame) -> DataFrame:
 
 
 def _apart(entries: DataFrame) -> DataFrame:
-    """The entries of shingles that different components hold, with how many pairs those make at most."""
+    """The entries of shingles that different components hold, with their number and how many pairs they make at most."""
     of_part = entries.groupBy("token", "c").agg(F.count("*").alias("all"), F.count_if(F.expr(_EARLY)).alias("early"))
     mixed = of_part.groupBy("token").agg(F.sum("all").alias("all"), F.sum("early").alias("early"), F.sum(F.col("all") * F.col("early").cast("double")).alias("own"), F.count("*").alias("parts")).where("parts > 1 and early > 0")
-    return entries.join(mixed.select("token", (F.col("early") * F.col("all").cast("double") - F.col("own")).alias("pairs")), "token")
+    return entries.join(mixed.select("token", F.col("all").alias("held"), (F.col("early") * F.col("all").cast("double") - F.col("own")).alias("pairs")), "token")
 
 
 def _joined(parts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -311,7 +317,9 @@ def _joined(parts: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _parts(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """(k, c) for each class that shares a prefix shingle with another: the class and its component."""
+    """(k, c) for each class that shares a prefix shingle with another: the class and its component.
+
+    ``rows`` are (row, t), ``members`` (row, n, k, bits)."""
     classes = cut(members.where("n > 0").groupBy("k").agg(F.min("row").alias("row"), F.min("n").alias("n")))
     totals = classes.agg(F.count("*").alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()
 
@@ -327,22 +335,21 @@ def _parts(rows: DataFrame, members: DataFrame) -> DataFrame:
     entries = packed.groupBy("tile").applyInArrow(_shared, "token long, k long, n int, at int")
     entries = cut(entries.groupBy("token", "k").agg(F.min("n").alias("n"), F.min("at").alias("at")))
     parts = cut(entries.select("k").distinct().withColumn("c", F.col("k")))
-    needed = parts.join(classes, "k").select("k", "row")
-    pool = written(rows.join(needed, "row").select("k", "t").mapInArrow(_signed, "k long, n int, bits binary, s binary"))
-    if pool.count() > needed.count():  # the same row several times
-        pool = written(pool.dropDuplicates(["k"]))
+    signs = members.select("k", "n", "bits").dropDuplicates(["k"]).join(parts.select("k"), "k")
+    signs = cut(signs.select("k", F.col("n").cast("int").alias("n"), "bits"))
 
+    gain = 1.0
     for turn in range(ROUNDS + 1):
-        apart = cut(_apart(entries.join(parts, "k")))
-        rest = apart.agg(F.count("*").alias("entries"), F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("x")).first()
-        if not rest["entries"]:
+        entries = cut(_apart(entries.select("token", "k", "n", "at").join(parts, "k")))
+        rest = entries.agg(F.count("*").alias("all"), F.coalesce(F.sum(F.col("pairs") / F.col("held")), F.lit(0.0)).alias("pairs"), F.count_distinct("c").alias("parts")).first()
+        if not rest["all"]:
             break
-        open_pairs = apart.select("token", "pairs").distinct().agg(F.sum("pairs")).first()[0]
-        last = turn == ROUNDS or open_pairs <= REST * rest["entries"]
-        pairs = _all_pairs(apart) if last else _pivot_pairs(apart, turn)
-        parts = _joined(parts, cut(_decided(pairs, pool)))
+        last = turn == ROUNDS or gain < GAIN or rest["pairs"] <= REST * rest["all"]
+        edges = _decided(_all_pairs(entries) if last else _pivot_pairs(entries, turn), signs, rows, classes)
+        parts = _joined(parts, edges)
         if last:
             break
+        gain = edges.count() / rest["parts"]
     return parts
 
 
@@ -353,11 +360,11 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.xxhash64(doc_id, text).alias("row"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    members = cut(rows.mapInArrow(_sets, f"doc_id {id_type}, row long, n long, k long"))
+    members = written(rows.mapInArrow(_sets, f"doc_id {id_type}, row long, n long, k long, bits binary"))
     smallest = members.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("rep"))
     placed = cut(smallest.join(_parts(rows.select("row", "t"), members), "k", "left").select("k", "rep", F.coalesce("c", "k").alias("c")))
     named = placed.join(placed.groupBy("c").agg(F.min("rep").alias("component")), "c").select("k", "c", "component")
-    out = members.join(named, "k", "left")
+    out = members.select("doc_id", "row", "n", "k").join(named, "k", "left")
     linked = F.col("n") > 0
     extra = [F.col("row"), F.when(linked, F.col("c")).alias("part")] if keep_row else []
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), *extra)
