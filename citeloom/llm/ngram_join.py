@@ -10,13 +10,17 @@ whole sequence).  Two documents link when the sets' Jaccard similarity is at lea
    many documents hold fall out of the prefixes.  Prefixes travel as packed arrays; a shingle that a task
    sees in several classes goes on at once with a marker in the tile, so that a tile's size follows its
    different shingles and not the size of a group of near copies.
-3. A shingle's place in the two orders bounds the overlap from above: of two linked sets the smaller one
+3. Prefixes are longer by ``spare(n)`` shingles than they must be, so that linked sets share that many more,
+   and each class forgets as many as its smallest partner has to spare: those that most classes hold,
+   counted exactly.  The least frequent one that two linked sets share is then still known to both.
+4. A shingle's place in the two orders bounds the overlap from above: of two linked sets the smaller one
    holds their first common shingle in its first seventh.  Only pairs that satisfy this are ever formed.
-4. Rounds of pivots: for each shingle, the classes that no chain of links joins yet are compared with a
-   few pivots of it, which is linear in the index.  Groups of near copies fall together in these rounds.
-5. What is still apart after the rounds meets in tiles by shingle and size band (the smaller set in its
+5. Rounds of pivots: for each shingle, the classes that no chain of links joins yet are compared with a
+   few pivots of it, those that hold it earliest, which are the ones with the fewest shingles of their own.
+   That is linear in the index, and groups of near copies fall together in it.
+6. What is still apart after the rounds meets in tiles by shingle and size band (the smaller set in its
    own band, the larger one in its own and the next smaller band), all pairs of different components.
-6. Every pair, from 4 or from 5, first passes the bit counts of two hashed bitmaps, which bound its overlap
+7. Every pair, from 5 or from 6, first passes the bit counts of two hashed bitmaps, which bound its overlap
    from above, and is then decided by exact intersection of the two sorted arrays.
 
 Pairs within one component are left out, since they change no answer; links between components are all
@@ -35,7 +39,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.operators.components import connected_components
@@ -46,9 +50,11 @@ from .common import chained, hash_share, mix64, slices, to_bytes, words_of
 WORDS = 5
 THRESHOLD = 0.75
 #: Bounds of the sample that orders the shingles: classes, and their shingles; a shingle in COMMON_ROWS of them is frequent.
-SAMPLE_ROWS, SAMPLE_SHINGLES, COMMON_ROWS = 32_768, 1 << 24, 4
+SAMPLE_ROWS, SAMPLE_SHINGLES, COMMON_ROWS = 32_768, 1 << 24, 2
 #: Prefix shingles of a tile, and of a task before it sends them off.
 TILE, FLUSH = 1_000_000, 1_500_000
+#: A set's prefix is longer by a shingle for each SPARE shingles of the set.
+SPARE = 8
 #: Pivots of a shingle in a round; rounds at most before the rest is compared.
 PIVOTS, ROUNDS = 4, 8
 #: The rest is compared when it makes this many pairs for an entry, or when a round has joined less than this share of what was apart.
@@ -105,12 +111,17 @@ def links(n_a: int, n_b: int, shared: int) -> bool:
     return 100 * shared >= 75 * (n_a + n_b - shared)
 
 
+def spare(n: int) -> int:
+    """How many shingles a set's prefix holds beyond what it must."""
+    return n // SPARE
+
+
 def prefix(shingles: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
     """The shingles by which a set is found, in the global order: by hash, but the sorted ``common`` ones last, by ``often``."""
     n = len(shingles)
     if not n:
         return shingles
-    size = n - math.ceil(THRESHOLD * n) + 1
+    size = n - math.ceil(THRESHOLD * n) + 1 + spare(n)
     if len(common):
         at = np.searchsorted(common, shingles)
         at[at == len(common)] = 0
@@ -267,18 +278,22 @@ def _decided(pairs: DataFrame, signs: DataFrame, rows: DataFrame, classes: DataF
 
 
 def _feasible(a: str, b: str) -> Column:
-    """What a shingle's places leave possible: sizes, and the shingles from it on, of entries ``a`` and ``b``."""
+    """What a shingle's places leave possible: sizes, and the shingles from it on, of entries ``a`` and ``b``.
+
+    Common shingles before it can only be forgotten ones.  Both sets forget in one order, so all of those
+    that they share are among the forgotten ones of one of the two.
+    """
     x, y = (F.col(f"{s}_n") for s in (a, b))
-    rest = F.least(x - F.col(f"{a}_at"), y - F.col(f"{b}_at"))
+    rest = F.least(x - F.col(f"{a}_at"), y - F.col(f"{b}_at")) + F.greatest(f"{a}_lost", f"{b}_lost")
     return (4 * F.least(x, y) >= 3 * F.greatest(x, y)) & (7 * rest >= 3 * (x + y))
 
 
-#: An entry in the first seventh of its set: the smaller one of a linked pair holds their first common shingle there.
-_EARLY = "7 * at <= n"
+#: An entry in the first seventh of its set, but for the spare ones: the smaller of two linked sets holds a common shingle there.
+_EARLY = f"7 * (at - floor(n / {SPARE})) <= n"
 
 
 def _side(entries: DataFrame, side: str) -> DataFrame:
-    return entries.select("token", *(F.col(c).alias(f"{side}{e}") for c, e in (("k", ""), ("n", "_n"), ("at", "_at"), ("c", "_c"))))
+    return entries.select("token", *(F.col(c).alias(f"{side}{e}") for c, e in (("k", ""), ("n", "_n"), ("at", "_at"), ("lost", "_lost"), ("c", "_c"))))
 
 
 def _ordered(met: DataFrame) -> DataFrame:
@@ -290,8 +305,8 @@ def _ordered(met: DataFrame) -> DataFrame:
 def _pivot_pairs(entries: DataFrame, turn: int) -> DataFrame:
     """Pairs of an entry with the pivots of its shingle, where another component holds them."""
     drawn = entries.where(_EARLY).withColumn("draw", F.xxhash64("k", F.lit(turn)))
-    pivots = drawn.groupBy("token", F.pmod("draw", F.lit(PIVOTS)).alias("bucket")).agg(F.min(F.struct("draw", "k", "n", "at", "c")).alias("p"))
-    right = pivots.select("token", F.col("p.k").alias("b"), F.col("p.n").alias("b_n"), F.col("p.at").alias("b_at"), F.col("p.c").alias("b_c"))
+    pivots = drawn.groupBy("token", F.pmod("draw", F.lit(PIVOTS)).alias("bucket")).agg(F.min(F.struct("at", "draw", "k", "n", "lost", "c")).alias("p"))
+    right = pivots.select("token", F.col("p.k").alias("b"), F.col("p.n").alias("b_n"), F.col("p.at").alias("b_at"), F.col("p.lost").alias("b_lost"), F.col("p.c").alias("b_c"))
     return _ordered(_side(entries, "a").join(right, "token").where((F.col("a_c") != F.col("b_c")) & _feasible("a", "b")))
 
 
@@ -303,6 +318,19 @@ def _all_pairs(entries: DataFrame) -> DataFrame:
     return _ordered(small.join(large, ["token", "band"]).where((F.col("a_c") != F.col("b_c")) & order & _feasible("a", "b")))
 
 
+def _rarest(entries: DataFrame) -> DataFrame:
+    """Checkpointed entries without the shingles of each class that most classes hold, with how many of those came before (``lost``).
+
+    A class of n forgets one less than ``spare(0.75 n)``, since two of its shingles may meet in 32 bits.
+    """
+    held = entries.groupBy("token").agg(F.count("*").alias("held"))
+    of_class = Window.partitionBy("k")
+    ranked = entries.join(held, "token").withColumn("rank", F.row_number().over(of_class.orderBy(F.desc("held"), "token")))
+    gone = (F.col("rank") < F.floor(F.floor(F.col("n") * THRESHOLD) / SPARE)).cast("int")
+    ranked = ranked.withColumn("gone", gone).withColumn("lost", F.sum("gone").over(of_class.orderBy("at", "token")).cast("int"))
+    return cut(ranked.where("gone = 0").select("token", "k", "n", "at", "lost"))
+
+
 def _apart(entries: DataFrame) -> DataFrame:
     """The entries of shingles that different components hold, with their number and how many pairs they make at most."""
     of_part = entries.groupBy("token", "c").agg(F.count("*").alias("all"), F.count_if(F.expr(_EARLY)).alias("early"))
@@ -333,14 +361,14 @@ def _parts(rows: DataFrame, members: DataFrame) -> DataFrame:
     tiles = max(1, math.ceil(totals["s"] * (1 - THRESHOLD) / TILE))
     packed = rows.select("t").mapInArrow(_prefixes(tiles, common), _PACKED)
     entries = packed.groupBy("tile").applyInArrow(_shared, "token long, k long, n int, at int")
-    entries = cut(entries.groupBy("token", "k").agg(F.min("n").alias("n"), F.min("at").alias("at")))
+    entries = _rarest(cut(entries.groupBy("token", "k").agg(F.min("n").alias("n"), F.min("at").alias("at"))))
     parts = cut(entries.select("k").distinct().withColumn("c", F.col("k")))
     signs = members.select("k", "n", "bits").dropDuplicates(["k"]).join(parts.select("k"), "k")
     signs = cut(signs.select("k", F.col("n").cast("int").alias("n"), "bits"))
 
     gain = 1.0
     for turn in range(ROUNDS + 1):
-        entries = cut(_apart(entries.select("token", "k", "n", "at").join(parts, "k")))
+        entries = cut(_apart(entries.select("token", "k", "n", "at", "lost").join(parts, "k")))
         rest = entries.agg(F.count("*").alias("all"), F.coalesce(F.sum(F.col("pairs") / F.col("held")), F.lit(0.0)).alias("pairs"), F.count_distinct("c").alias("parts")).first()
         if not rest["all"]:
             break
