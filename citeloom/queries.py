@@ -103,12 +103,12 @@ def paper_coupling_lens(spark, d):
     return networks.coupled_with(star.coupling(spark, d), 7)
 
 
-@query(f"WITH {edges_cte('coupling', 2)}, {BOTH}, top AS (SELECT node, degree, round(degree / (SELECT count(*) - 1 FROM deg), 6) AS degree_centrality FROM deg ORDER BY degree DESC, node LIMIT 20) SELECT node, degree, degree_centrality, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority AS priority FROM top LEFT JOIN orders ON o_orderkey = node")
+@query(f"WITH {edges_cte('coupling', 2)}, {BOTH}, top AS (SELECT node, degree, round(degree / (SELECT count(*) - 1 FROM deg), 6) AS degree_centrality FROM deg ORDER BY degree DESC, node LIMIT 20) SELECT node, degree, degree_centrality, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority AS title FROM top LEFT JOIN orders ON o_orderkey = node")
 def coupling_top_central(spark, d):
     """The flagship: coupled papers, their centrality, and what is known about the most central ones."""
-    best = graph.degree_centrality(networks.project(star.coupling(spark, d), 2)).orderBy(F.desc("degree"), "node").limit(20)
-    o = star.table(spark, d, "orders").select(F.col("o_orderkey").alias("node"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("priority"))
-    return best.join(o, "node", "left").select("node", "degree", F.round("degree_centrality", 6).alias("degree_centrality"), "year", "priority")
+    o = star.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("title"))
+    best = aggregates.top_central(networks.project(star.coupling(spark, d), 2), o, 20)
+    return best.select("node", "degree", F.round("degree_centrality", 6).alias("degree_centrality"), "year", "title")
 
 
 @query(f"""WITH {HEADS}, {REFS}, l AS (SELECT h.*, EXISTS (SELECT 1 FROM refs WHERE paper = k) AS has FROM heads h),
@@ -134,7 +134,7 @@ def network_density(spark, d):
     return graph.density(networks.project(star.cocitation(spark, d), 2)).withColumn("density", F.round("density", 6))
 
 
-@query(f"""WITH {edges_cte('authors', 25)}, {BOTH}, tri AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM edges x JOIN edges y ON x.dst = y.src JOIN edges z ON z.src = x.src AND z.dst = y.dst),
+@query(f"""WITH {edges_cte('authors')}, {BOTH}, tri AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM edges x JOIN edges y ON x.dst = y.src JOIN edges z ON z.src = x.src AND z.dst = y.dst),
 corners AS (SELECT a AS node FROM tri UNION ALL SELECT b FROM tri UNION ALL SELECT c FROM tri), t AS (SELECT node, count(*) AS triangles FROM corners GROUP BY 1)
 SELECT node, coalesce(triangles, 0) AS triangles, round(CASE WHEN degree > 1 THEN 2.0 * coalesce(triangles, 0) / (degree * (degree - 1)) ELSE 0 END, 6) AS clustering FROM deg LEFT JOIN t USING (node)""")
 def clustering_coefficients(spark, d):
@@ -174,7 +174,7 @@ def community_composition(spark, d):
     return found.withColumn("fraction", F.round("fraction", 6))
 
 
-@query(f"""WITH {HEADS}, p AS (SELECT h.*, k % 11 AS cluster FROM heads h), base AS (SELECT cluster, count(*) AS size, count(*) FILTER (WHERE is_seed) AS seeds, count(*) FILTER (WHERE curation_status = 'candidate') AS candidates, count(*) FILTER (WHERE curation_status = 'accepted') AS accepted, min(year) AS year_min, max(year) AS year_max FROM p GROUP BY 1),
+@query(f"""WITH {HEADS}, p AS (SELECT h.*, k % 11 AS cluster FROM heads h), base AS (SELECT cluster, count(*) AS size, count(*) FILTER (WHERE is_seed) AS seeds, count(*) FILTER (WHERE curation_status = 'candidate') AS candidates, count(*) FILTER (WHERE curation_status = 'accepted') AS accepted, min(year) AS year_min, max(year) AS year_max, round_even(avg(year), 1) AS year_mean FROM p GROUP BY 1),
 a AS (SELECT cluster, CAST(l_suppkey AS VARCHAR) AS v, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN p ON k = l_orderkey GROUP BY 1, 2), ra AS (SELECT cluster, string_agg(v, ',' ORDER BY n DESC, v) AS authors FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, v) AS r FROM a) WHERE r <= 5 GROUP BY 1),
 w AS (SELECT cluster, p_brand AS v, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN p ON k = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2), rw AS (SELECT cluster, string_agg(v, ',' ORDER BY n DESC, v) AS words FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, v) AS r FROM w) WHERE r <= 5 GROUP BY 1)
 SELECT * FROM base LEFT JOIN ra USING (cluster) LEFT JOIN rw USING (cluster)""")
@@ -182,7 +182,7 @@ def cluster_table(spark, d):
     corpus = star.papers(spark, d)
     groups = corpus.select(F.col("id").alias("node"), (F.col("id").cast("long") % 11).alias("community"))
     t = aggregates.cluster_table(corpus, groups)
-    return t.select("cluster", "size", "seeds", "candidates", "accepted", "year_min", "year_max", F.array_join("top_authors", ",").alias("authors"), F.array_join("top_keywords", ",").alias("words"))
+    return t.select("cluster", "size", "seeds", "candidates", "accepted", "year_min", "year_max", "year_mean", F.array_join("top_authors", ",").alias("authors"), F.array_join("top_keywords", ",").alias("words"))
 
 
 @query(f"WITH {edges_cte('cocitation')} SELECT src, dst, weight, p.p_name AS src_title, q.p_name AS dst_title FROM edges JOIN part p ON p.p_partkey = src JOIN part q ON q.p_partkey = dst ORDER BY weight DESC, src, dst LIMIT 25")
@@ -231,7 +231,7 @@ def growth_preview(spark, d):
     return scent.growth_preview(_citing(spark, d))
 
 
-@query("WITH c AS (SELECT DISTINCT l_partkey AS t, CAST(l_orderkey AS VARCHAR) AS o FROM lineitem WHERE l_partkey % 5 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY o) AS n FROM c) SELECT CAST(t AS VARCHAR) AS target, string_agg(o, ',' ORDER BY o) AS citers FROM r WHERE n <= 10 GROUP BY 1")
+@query("WITH c AS (SELECT DISTINCT l_partkey AS t, CAST(l_orderkey AS VARCHAR) AS o FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY o) AS n FROM c) SELECT CAST(t AS VARCHAR) AS target, string_agg(o, ',' ORDER BY o) AS citers FROM r WHERE n <= 10 GROUP BY 1")
 def citers_capped(spark, d):
     targets = star.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("target"))
     return scent.citing_batch(star.papers(spark, d).select("id", "references_id"), targets, 10).withColumn("citers", F.array_join("citers", ","))
@@ -311,7 +311,7 @@ def insert_new_anti(spark, d):
     return b.join(a, "id", "left_anti").select("id")
 
 
-@query(f"WITH {HEADS}, q AS (SELECT DISTINCT CASE user_id % 3 WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN 'https://doi.org/10.5/A' || user_id ELSE 'W' || user_id END AS ident, user_id FROM events) SELECT ident, h.id FROM q LEFT JOIN heads h ON h.k = user_id AND h.k < 60")
+@query(f"WITH {HEADS}, q AS (SELECT DISTINCT CASE user_id % 3 WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN 'https://doi.org/10.5/A' || user_id ELSE 'W' || user_id END AS ident, user_id FROM events) SELECT ident, h.id FROM q LEFT JOIN heads h ON h.k = user_id")
 def resolve_ident(spark, d):
     corpus = conform(star.heads(spark, d).withColumn("doi", F.concat(F.lit("10.5/a"), "id")).withColumn("source_id", F.concat(F.lit("W"), "id")))
     u = F.col("user_id")
@@ -497,15 +497,26 @@ def thesaurus_map(spark, d):
     return out.select("id", F.array_join(F.array_sort("keywords_id"), ",").alias("words"))
 
 
-@query("SELECT doc_id, regexp_replace(trim(regexp_replace(left(text, 400), '\\s+', ' ', 'g')), '', '') AS abstract FROM documents WHERE length(trim(regexp_replace(left(text, 400), '\\s+', ' ', 'g'))) > 0")
+@query("SELECT doc_id, abstract FROM (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS abstract FROM documents) WHERE abstract <> ''")
 def abstract_rebuild(spark, d):
-    """Texts turned into inverted indexes and back."""
+    """Whole texts turned into inverted indexes {word: positions}, where they are read, and back by the operator."""
+    import pyarrow as pa
+
     from citeloom.sources.works_json import abstract
 
+    def index(batches):
+        for batch in batches:
+            held = []
+            for words in batch.column("words").to_pylist():
+                places: dict[str, list[int]] = {}
+                for i, w in enumerate(words or []):
+                    places.setdefault(w, []).append(i)
+                held.append(list(places.items()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held, pa.map_(pa.string(), pa.list_(pa.int32())))], ["doc_id", "ix"])
+
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    rows = star.table(spark, d, "documents").select("doc_id", F.posexplode(words).alias("p", "w")).groupBy("doc_id", "w").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    index = rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("ix"))
-    return index.select("doc_id", abstract(F.col("ix")).alias("abstract"))
+    rows = star.table(spark, d, "documents").select("doc_id", words.alias("words")).where("size(words) > 0")
+    return rows.mapInArrow(index, "doc_id long, ix map<string,array<int>>").select("doc_id", abstract(F.col("ix")).alias("abstract"))
 
 
 # Without SQL --------------------------------------------------------------------------------
