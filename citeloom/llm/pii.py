@@ -1,15 +1,16 @@
 """PII: base patterns, and bootstrapped contextual extraction of what they miss.  DataFrame functions only.
 
 Base matches (e-mail, IPv4, payment card, phone) are the seed entities.  Identifier-like words (a digit or
-``@`` in them) outside the seeds are candidates.  Both stand behind a lexical pattern: the word before
-them.  Patterns and instances (the strings themselves) form a bipartite graph that Spark scores
+``@`` in them) outside the seeds are candidates.  Both stand in lexical patterns: the word before them,
+the two words before them, and the word after them.  Patterns and instances (the strings themselves) form a bipartite graph that Spark scores
 iteratively: a pattern's confidence is the mean confidence of its distinct instances, shrunk by
 ``PRIOR`` virtual doubtful ones; an unseeded instance is as sure as its patterns on average.  Candidates
-behind patterns of high confidence with enough different seeds become ``context`` spans.
+in a pattern of high confidence with enough different seeds become ``context`` spans.
 
 Positions of all matches come from ``split`` and ``regexp_extract_all`` by the same pattern: lengths of
-pieces and matches add up to offsets, in code points.  Patterns are possessive, so that no text, however
-long, makes them backtrack.
+pieces and matches add up to offsets, in code points.  Sums and maxima along an array go block by block
+(:func:`running`), so that a text of n matches costs n to the power 1.5 pointer copies and no more.
+Patterns are possessive, so that no text, however long, makes them backtrack.
 
 Defined results: null counts as an empty text, with zero counts, no spans and the hash of the empty
 string.  Rows that repeat are reported as often as they come.  Only id and text are read.
@@ -40,11 +41,15 @@ _MAYBE = {
 }
 #: Identifier-like words: runs outside white space with a digit or @; punctuation at the end is cut off.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@](?:[^\x20\x09-\x0D]*[A-Za-z0-9])?"
+#: Parameters of the model: rounds of scoring, virtual doubtful instances of a pattern, what a trusted pattern
+#: needs, and the length from which a word can be an identifier (shorter ones are mostly years and amounts).
 ROUNDS = 3
 PRIOR = 2.0
 LEAST_CONFIDENCE = 0.6
 LEAST_SEEDS = 3
 LEAST_SIGNS = 6
+#: Characters on either side that are looked at for the words around a match: a lexical pattern is that close.
+REACH = 200
 
 
 def _digits(m: Column) -> Column:
@@ -73,24 +78,80 @@ _VALID = {
     "card": lambda m: F.when(F.length(_digits(m)).between(14, 19), _luhn(m)).otherwise(False),
     "phone": lambda m: F.length(_digits(m)).between(10, 15),
 }
-_SPAN = "array<struct<s:int,e:int,m:string,l:string>>"
+_SPAN = "array<struct<s:int,e:int,m:string,l:array<string>>>"
+_GAP, _IN = r"[\x20\x09-\x0D]++", r"[^\x20\x09-\x0D]++"
+
+
+def _let(value: Column, f) -> Column:
+    """``f(value)``, the value computed once however often ``f`` uses it within lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def running(items: Column, value, zero: int, op) -> Column:
+    """For each item ``op`` over the values (int) of those before it, from ``zero`` on.
+
+    Blocks of about the root of the length are folded by themselves: growing one array over all items
+    would copy it at every item.
+    """
+    none = F.array().cast("array<int>")
+    state = "struct<at:int,all:array<int>>"
+
+    def along(part: Column, first: Column, of) -> Column:
+        step = lambda acc, x: F.struct(op(acc["at"], of(x)).cast("int").alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")).cast(state)
+        return F.aggregate(part, F.struct(first.cast("int").alias("at"), none.alias("all")).cast(state), step)["all"]
+
+    def blocked(a: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(a))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / size).cast("int") - 1), lambda b: F.slice(a, b * size + 1, size))
+        return _let(parts, joined)
+
+    def joined(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(zero), lambda acc, x: op(acc, value(x)).cast("int")))
+        firsts = along(totals, F.lit(zero), lambda x: x)
+        return F.flatten(F.zip_with(blocks, firsts, lambda b, first: along(b, first, value)))
+
+    return F.when(F.size(items) > 0, _let(items, blocked)).otherwise(none)
 
 
 def _located(text: Column, pattern: str) -> Column:
-    """All matches as (start, end, match, word before it)."""
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-
-    def step(acc, x):
-        s = acc["at"] + F.length(x["p"])
-        e = s + F.length(x["m"])
-        before = F.lower(F.regexp_extract(x["p"], r"([^\x20\x09-\x0D]{1,40})[\x20\x09-\x0D]++$", 1))
-        return F.struct(
-            e.cast("int").alias("at"),
-            F.concat(acc["all"], F.array(F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), x["m"].alias("m"), before.alias("l")))).cast(_SPAN).alias("all"),
+    """All matches as (start, end, match, lexical patterns around it)."""
+
+    def zipped(pieces: Column) -> Column:
+        found = F.arrays_zip(pieces.alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.slice(pieces, 2, F.size(pieces)).alias("q"))
+        return F.filter(found, lambda x: x["m"].isNotNull())
+
+    def around(x: Column) -> Column:
+        before, after = F.lower(F.right(x["p"], F.lit(REACH))), F.lower(F.left(x["q"], F.lit(REACH)))
+        before = F.when(F.length(x["p"]) > REACH, F.regexp_replace(before, f"^{_IN}", "")).otherwise(before)  # no part of a word
+        after = F.when(F.length(x["q"]) > REACH, F.regexp_replace(after, f"{_IN}$", "")).otherwise(after)
+        two = F.regexp_extract(before, f"(?<![^\\x20\\x09-\\x0D])({_IN}{_GAP}{_IN}){_GAP}$", 1)
+        keys = F.array(
+            F.concat(F.lit("1 "), F.nullif(F.regexp_extract(before, f"(?<![^\\x20\\x09-\\x0D])({_IN}){_GAP}$", 1), F.lit(""))),
+            F.concat(F.lit("2 "), F.nullif(F.regexp_replace(two, _GAP, " "), F.lit(""))),
+            F.concat(F.lit("3 "), F.nullif(F.regexp_extract(after, f"^[.,;:!?)]*+{_GAP}({_IN})", 1), F.lit(""))),
         )
+        return F.array_compact(keys)
+
+    def placed(pairs: Column) -> Column:
+        starts = running(pairs, lambda x: F.length(x["p"]) + F.length(x["m"]), 0, lambda a, b: a + b)
+        at = lambda x, first: (first + F.length(x["p"])).cast("int")
+        return F.zip_with(pairs, starts, lambda x, first: F.struct(at(x, first).alias("s"), (at(x, first) + F.length(x["m"])).alias("e"), x["m"].alias("m"), around(x).alias("l"))).cast(_SPAN)
+
+    return _let(F.split(text, pattern, -1), lambda pieces: _let(zipped(pieces), placed))
+
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("all"))
-    return F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), zero, step)["all"]
+def _outside(words: Column, base: Column) -> Column:
+    """The spans of ``words`` that no span of ``base`` overlaps, by one sorted pass in each direction."""
+    far = (1 << 31) - 1
+    event = lambda x, k: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), x["m"].alias("m"), x["l"].alias("l"))
+
+    def kept(all_: Column) -> Column:
+        ends = running(all_, lambda x: F.when(x["k"] == 0, x["e"]).otherwise(0), 0, F.greatest)
+        nexts = F.reverse(running(F.reverse(all_), lambda x: F.when(x["k"] == 0, x["s"]).otherwise(far), far, F.least))
+        free = F.filter(F.arrays_zip(all_.alias("x"), ends.alias("end"), nexts.alias("next")), lambda y: (y["x"]["k"] == 1) & (y["end"] <= y["x"]["s"]) & (y["next"] >= y["x"]["e"]))
+        return F.transform(free, lambda y: F.struct(y["x"]["s"].alias("s"), y["x"]["e"].alias("e"), y["x"]["m"].alias("m"), y["x"]["l"].alias("l"))).cast(_SPAN)
+
+    return _let(F.array_sort(F.concat(F.transform(base, lambda x: event(x, 0)), F.transform(words, lambda x: event(x, 1)))), kept)
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -112,18 +173,17 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
         rows = rows.withColumn(kind, base_spans(F.col("t"), kind))
     rows = rows.withColumn("base", F.array_sort(F.concat(*[_of_kind(n, kind) for n, kind in enumerate(PATTERNS)])))
     words = F.when(F.col("t").rlike("[0-9@]"), _located(F.col("t"), CANDIDATE)).otherwise(F.array().cast(_SPAN))
-    outside = F.filter(
-        words,
-        lambda w: (F.length(w["m"]) >= LEAST_SIGNS) & (w["l"] != "") & ~F.exists("base", lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"])),
-    )
-    return cut(rows.select("doc_id", F.xxhash64("t").alias("h"), "base", outside.alias("candidates")))
+    rows = rows.withColumn("words", F.filter(words, lambda w: (F.length(w["m"]) >= LEAST_SIGNS) & (F.size(w["l"]) > 0)))
+    return cut(rows.select("doc_id", F.xxhash64("t").alias("h"), "base", F.when(F.size("words") > 0, _outside(F.col("words"), F.col("base"))).otherwise(F.array().cast(_SPAN)).alias("candidates")))
 
 
 def patterns(scanned: DataFrame) -> DataFrame:
     """(pattern, confidence, seeds): the graph of patterns and instances, scored ROUNDS times."""
-    seeds = scanned.select(F.explode("base").alias("x")).select(F.col("x.l").alias("pattern"), F.col("x.m").alias("instance"), F.lit(1).alias("seed"))
-    others = scanned.select(F.explode("candidates").alias("x")).select(F.col("x.l").alias("pattern"), F.col("x.m").alias("instance"), F.lit(0).alias("seed"))
-    edges = cut(seeds.unionByName(others).where("pattern <> ''").groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
+    def seen(column: str, seed: int) -> DataFrame:
+        spans = scanned.select(F.explode(column).alias("x")).select(F.col("x.m").alias("instance"), F.explode("x.l").alias("pattern"))
+        return spans.select("pattern", "instance", F.lit(seed).alias("seed"))
+
+    edges = cut(seen("base", 1).unionByName(seen("candidates", 0)).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
     instances = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("sure"), F.max("seed").alias("seed"))
     scored = None
     for _ in range(ROUNDS):
@@ -147,7 +207,7 @@ def detect(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     trusted = patterns(scanned).where((F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("seeds") >= LEAST_SEEDS)).select("pattern")
     spans = "struct<s:int,k:int,e:int>"
     found = (
-        scanned.select("doc_id", "h", F.explode("candidates").alias("x")).join(trusted, F.col("x.l") == F.col("pattern"))
+        scanned.select("doc_id", "h", F.explode("candidates").alias("x")).select("doc_id", "h", "x", F.explode("x.l").alias("pattern")).join(trusted, "pattern")
         .groupBy("doc_id", "h").agg(F.collect_set(F.struct(F.col("x.s").alias("s"), F.lit(4).alias("k"), F.col("x.e").alias("e")).cast(spans)).alias("added"))
     )
     found = found.select(F.col("doc_id").alias("i"), F.col("h").alias("g"), "added")
