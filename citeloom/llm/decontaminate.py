@@ -10,8 +10,9 @@ item always contains a sketched shingle.  Documents stream past the index, sketc
 and each is verified by comparing the shingles themselves.  A document's length never enters, so short
 items are found inside long documents.
 
-The index is broadcast in blocks of at most ``BLOCK_BYTES`` of item text; each block is one more pass over
-the documents.  No shuffle of documents.
+The index is broadcast in blocks of about ``BLOCK_BYTES`` of distinct item text; each block is one more pass
+over the documents.  No shuffle of documents.  A block is chosen by a hash, so its size varies a little, and
+an item is never divided.
 
 Defined results: items or documents without words match nothing; repeated item ids are items of their
 own; a document repeated in the input is reported as often.  Only id and text are read on both sides.
@@ -20,6 +21,7 @@ own; a document repeated in the input is reported as often.  Only id and text ar
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from .common import chained, slices, to_bytes, words_of
 WORDS = 5
 THRESHOLD = 0.75
 #: Item text in one broadcast index; more items are searched in more blocks.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 _BITS = 20
 
 
@@ -53,16 +55,19 @@ def sketch_size(n: int, threshold: float = THRESHOLD) -> int:
 
 
 class Index:
-    """Sketches of one block of items."""
+    """Sketches of one block of items (id, text, how often the row occurs).
 
-    def __init__(self, items: list[tuple[int, bytes]], threshold: float = THRESHOLD) -> None:
-        self.threshold, self.ids = threshold, [i for i, _ in items]
-        self.sets = [shingles(t) for _, t in items]
+    Only texts and sketches are held; the shingles of an item are made when a candidate needs them.
+    """
+
+    def __init__(self, items: list[tuple[int, bytes, int]], threshold: float = THRESHOLD) -> None:
+        self.threshold, self.items = threshold, items
+        self.shingles = lru_cache(4096)(lambda k: shingles(self.items[k][1]))
         keys: dict[int, list[tuple[int, int]]] = {}
-        for k, (_, text) in enumerate(items):
-            if not self.sets[k]:
-                continue
+        for k, (_, text, _) in enumerate(items):
             h = words_of([text], lower=True)[0]
+            if not len(h):
+                continue
             width = min(WORDS, len(h))
             values = np.unique(chained(h, width))
             for v in values[: sketch_size(len(values), threshold)].tolist():
@@ -96,28 +101,48 @@ class Index:
         for d, k in self.candidates(texts):
             if d != last:
                 last, own, words = d, {}, _words(texts[d])
-            width = len(next(iter(self.sets[k])))
+            item, _, times = self.items[k]
+            wanted = self.shingles(k)
+            width = len(next(iter(wanted)))
             if width not in own:
                 own[width] = {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
-            shared = len(self.sets[k] & own[width])
-            if shared >= self.threshold * len(self.sets[k]):
-                yield d, self.ids[k], shared, len(self.sets[k])
+            shared = len(wanted & own[width])
+            if shared >= self.threshold * len(wanted):
+                for _ in range(times):
+                    yield d, item, shared, len(wanted)
 
 
-def find(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, item_id, n_shared, n_item, containment) for every item found in a document."""
-    wanted = items.select(F.col(item_id).cast("long").alias("k"), F.col(item_text).alias("t")).where("t is not null")
+_HELD: list = []
+
+
+def _index(shared, threshold: float) -> Index:
+    """The index of a broadcast block, kept by the worker process for its next task on the same block."""
+    key = (shared._path, threshold)
+    if not _HELD or _HELD[0] != key:
+        _HELD[:] = [key, Index(shared.value, threshold)]
+    return _HELD[1]
+
+
+def _blocks(items: DataFrame, block_bytes: int):
+    """Broadcasts of the distinct items, each of about ``block_bytes`` of text; the driver holds one at a time."""
+    wanted = items.where("t is not null").groupBy("k", "t").agg(F.count("*").alias("times"))
     total = wanted.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0)).alias("b")).first()["b"]
     blocks = max(1, math.ceil(total / block_bytes))
+    for b in range(blocks):
+        rows = wanted.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b).collect()
+        held = sorted(((r["k"], r["t"].encode(), r["times"]) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        yield items.sparkSession.sparkContext.broadcast(held)
+
+
+def find(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_item, containment) for every item found in a document."""
+    wanted = items.select(F.col(item_id).cast("long").alias("k"), F.col(item_text).alias("t"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
-    def search(block: DataFrame) -> DataFrame:
-        held = [(r["k"], r["t"].encode()) for r in block.collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(sorted(held, key=lambda x: (x[0] is None, x[0] or 0, x[1])))
-
+    def search(shared) -> DataFrame:
         def run(batches):
-            index = Index(shared.value, threshold)
+            index = _index(shared, threshold)
             for batch in batches:
                 ids = batch.column(0)
                 found = list(index.search(to_bytes(batch.column(1))))
@@ -129,7 +154,7 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "d
 
         return rows.mapInArrow(run, f"doc_id {id_type}, item_id long, n_shared long, n_item long, containment double")
 
-    parts = [search(wanted.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b)) for b in range(blocks)]
+    parts = [search(shared) for shared in _blocks(wanted, block_bytes)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
@@ -143,16 +168,11 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id
     """
     keep = docs.columns
     at = keep.index(text)
-    wanted = items.select("item_id", F.col("text").alias("t")).where("t is not null")
-    total = wanted.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0)).alias("b")).first()["b"]
-    blocks = max(1, math.ceil(total / BLOCK_BYTES))
     out = docs
-    for b in range(blocks):
-        held = [(r["item_id"], r["t"].encode()) for r in wanted.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(blocks)) == b).collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(held)
+    for shared in _blocks(items.select(F.col("item_id").cast("long").alias("k"), F.col("text").alias("t")), BLOCK_BYTES):
 
         def run(batches, shared=shared):
-            index = Index(shared.value, threshold)
+            index = _index(shared, threshold)
             for batch in batches:
                 hit = {f[0] for f in index.search(to_bytes(batch.column(at)))}
                 yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))

@@ -2,15 +2,18 @@
 
 Words and word pairs are hashed into ``BUCKETS``.  The raw model counts them over all documents; the
 target model over documents labelled as good.  A document's log importance weight is the mean log ratio of
-the two models over its n-grams (so that length doesn't decide), times ``SHARPNESS``.  Adding Gumbel noise
-to the weights and taking the k largest sums samples k documents without replacement in proportion to
-their weights.  The noise is a function of the id, so a rerun samples the same documents.
+the two models over its n-grams, times ``SHARPNESS``: the weight of a text of so many n-grams like its own.
+The plain sum over all n-grams would grow with the length, and against noise of fixed scale long texts
+would always be taken or always be left.  Adding Gumbel noise to the weights and taking the k largest sums
+samples k documents without replacement in proportion to these weights.  The noise is a function of id and
+text, so a rerun samples the same documents.
 
-The k-th largest sum is found by counting in narrowing bins, so nothing is sorted globally and exactly k
-documents are selected; equal sums go by the smaller id.
+The k-th largest sum is found by counting in narrowing bins, so nothing is sorted globally; equal sums go
+by the hash of id and text.
 
 Defined results: a text without words has log weight ``EMPTY``; without target rows all weights are 0 and
-sampling is uniform.  Repeated ids get the same noise.  Only id and text are read, and id and label.
+sampling is uniform.  k rows are selected, and with the k-th one the rows that repeat its id and text.
+Null ids are fine.  Only id and text are read, and id and label.
 """
 
 from __future__ import annotations
@@ -77,29 +80,29 @@ def log_ratio(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: st
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray, text: str = "text", doc_id: str = "doc_id", seed: int = 5) -> DataFrame:
-    """(doc_id, log_weight, noisy): the log importance weight, and the same with Gumbel noise."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
+    """(doc_id, row, log_weight, noisy): the log importance weight, and the same with Gumbel noise; ``row`` hashes id and text."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text, F.lit(seed)).alias("row"), F.col(text).alias("t"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             out = np.full(batch.num_rows, EMPTY)
-            for a, bucket, doc, n in _buckets(to_bytes(batch.column(1))):
+            for a, bucket, doc, n in _buckets(to_bytes(batch.column("t"))):
                 size = np.bincount(doc, minlength=n)
                 total = np.bincount(doc, ratio[bucket], minlength=n)
                 some = np.flatnonzero(size)
                 out[a + some] = SHARPNESS * total[some] / size[some]
             if not ratio.any():
                 out[:] = 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "log_weight"])
+            yield batch.drop_columns(["t"]).append_column("log_weight", pa.array(out, pa.float64()))
 
-    weighed = rows.mapInArrow(run, f"doc_id {id_type}, log_weight double")
-    u = (hash_share(F.col("doc_id"), seed) * (1 << 30) + 0.5) / float(1 << 30)
+    weighed = rows.mapInArrow(run, f"doc_id {id_type}, row long, log_weight double")
+    u = (hash_share(F.col("row"), seed) * (1 << 30) + 0.5) / float(1 << 30)
     return weighed.withColumn("noisy", F.col("log_weight") - F.log(-F.log(u)))
 
 
-def boundary(weighed: DataFrame, k: int) -> tuple[float, object] | None:
-    """(noisy weight, id) of the k-th document by weight downwards, then id; None if there are no more than k."""
+def boundary(weighed: DataFrame, k: int) -> tuple[float, int | None] | None:
+    """(noisy weight, row) of the k-th document by weight downwards, then row; None if there are no more than k."""
     lo, hi, n = weighed.agg(F.min("noisy"), F.max("noisy"), F.count("*")).first()
     if k >= n:
         return None
@@ -110,8 +113,8 @@ def boundary(weighed: DataFrame, k: int) -> tuple[float, object] | None:
         inside = weighed.where(F.col("noisy").between(lo, hi))
         width = (hi - lo) / _BINS
         if width <= 0 or inside.count() <= _SORTED or lo + width == lo:
-            last = inside.orderBy(F.desc("noisy"), "doc_id").select("noisy", "doc_id").offset(left - 1).limit(1).first()
-            return last["noisy"], last["doc_id"]
+            last = inside.orderBy(F.desc("noisy"), "row").select("noisy", "row").offset(left - 1).limit(1).first()
+            return last["noisy"], last["row"]
         bin_ = F.least(F.floor((F.col("noisy") - lo) / width), F.lit(_BINS - 1)).alias("b")
         bins = inside.groupBy(bin_).agg(F.count("*").alias("n"), F.min("noisy").alias("lo"), F.max("noisy").alias("hi")).collect()
         for row in sorted(bins, key=lambda r: -r["b"]):
@@ -126,8 +129,8 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, text: str
     weighed = cut(weigh(docs, log_ratio(docs, labels, text, doc_id), text, doc_id))
     last = boundary(weighed, round(share * weighed.count()))
     if last is None:
-        return weighed.withColumn("selected", F.lit(True))
+        return weighed.drop("row").withColumn("selected", F.lit(True))
     above = F.col("noisy") > last[0]
     if last[1] is not None:
-        above = above | ((F.col("noisy") == last[0]) & (F.col("doc_id") <= F.lit(last[1])))
-    return weighed.withColumn("selected", above)
+        above = above | ((F.col("noisy") == last[0]) & (F.col("row") <= F.lit(last[1])))
+    return weighed.withColumn("selected", above).drop("row")

@@ -13,10 +13,15 @@ from .common import fold_of, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _folded(docs: DataFrame, folds: int, held: int) -> DataFrame:
+    """``docs`` with ``held_out``; a null id is in no fold: it isn't held out, and nothing is learned from it."""
+    return docs.withColumn("held_out", F.coalesce(fold_of(F.col("doc_id"), folds) == held, F.lit(False)))
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"))
+    docs = _folded(table(spark, sf_dir, "documents").select("doc_id", "text"), 5, 0)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold_of(F.col("doc_id"), 5) != 0)
-    model = toxicity.fit(docs.where(~F.col("held_out")), labels)
+    model = toxicity.fit(docs.where(fold_of(F.col("doc_id"), 5) != 0), labels)
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
@@ -25,8 +30,8 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"))
-    model = language_id.fit(docs.where(~F.col("held_out")))
+    docs = _folded(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), 4, 2)
+    model = language_id.fit(docs.where(fold_of(F.col("doc_id"), 4) != 2))
     return language_id.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 

@@ -2,16 +2,19 @@
 nulls in any column, empty and long texts, ties, repeated rows, empty tables, columns with clashing names."""
 
 import hashlib
+import math
 import random
 import re
 import time
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 
 from citeloom.llm import byte_bpe, decontaminate, importance_sampling, language_id, ngram_join, pii, quality_rules, secrets, substring_dedup, toxicity
+from citeloom.llm.common import chained, hash_words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -147,8 +150,6 @@ def test_ngram_join_null_and_repeated_ids(spark):
 
 
 def test_overlap_bound_is_never_too_low():
-    import numpy as np
-
     r = np.random.RandomState(1)
     for n, m in ((5, 9), (60, 400), (3000, 2900)):
         a, b = (np.unique(r.randint(0, 2**62, k).astype(np.uint64)) for k in (n, m))
@@ -322,6 +323,25 @@ def test_importance_sampling(spark, docs, empty, monkeypatch):
     assert len(chosen) == 200 and sum(k % 2 for k in chosen) > 195
     order = sorted(out, key=lambda r: (-r["noisy"], r["doc_id"]))
     assert chosen == {r["doc_id"] for r in order[:200]}
+    good = [t for k, t in rows if k % 3 == 0 and k % 2]
+
+    def model(texts):  # words and pairs by bucket, in plain Python but for the word hashes
+        counts = [0.5] * importance_sampling.BUCKETS
+        for t in texts:
+            for b in grams(t):
+                counts[b] += 1
+        total = sum(counts)
+        return [math.log(c / total) for c in counts]
+
+    def grams(t):
+        h = [hash_words(np.frombuffer(w.lower().encode(), np.uint8))[0] for w in t.split()]
+        pairs = [chained(np.concatenate(h[i : i + 2]), 2) for i in range(len(h) - 1)]
+        return [int(x[0] % np.uint64(importance_sampling.BUCKETS)) for x in [*h, *pairs]]
+
+    target, raw = model(good), model([t for _, t in rows])
+    for x in out[::20]:
+        g = grams(rows[x["doc_id"]][1])
+        assert x["log_weight"] == pytest.approx(importance_sampling.SHARPNESS * sum(target[b] - raw[b] for b in g) / len(g), abs=1e-6)
     monkeypatch.setattr(importance_sampling, "_SORTED", 10)
     assert {r["doc_id"] for r in importance_sampling.resample(own, labels, share=0.5).collect() if r["selected"]} == chosen
     every = by_id(importance_sampling.resample(docs, labels.limit(0), share=0.3))
