@@ -47,7 +47,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return secrets.scan_documents(docs).drop("text")
+    return secrets.scan_documents(docs, dictionary=secrets.identifiers(docs)).drop("text")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

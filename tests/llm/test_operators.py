@@ -218,6 +218,28 @@ def test_secrets(spark, docs, texts, empty):
     assert clean[1003]["text"] == "bearer [X] done" and "abcdefghijkl" not in clean[1000]["text"] and secrets.scan_documents(empty).count() == 0
 
 
+def test_novelty_of_spans_by_brute_force(spark):
+    import zstandard
+
+    r = random.Random(8)
+    key = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n - 1)) + "7"
+    texts = [f"{sentences(k, 20, 'abcdefgh')} {'bearer' if k % 2 else 'plain'} {key(28) if k % 3 else 'version1_' * 4} {sentences(k, 20, 'abcdefgh')}" for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    dictionary = secrets.identifiers(docs)
+    words = Counter(w for t in texts for w in set(re.findall(r"\b[A-Za-z][A-Za-z_]{3,23}\b", t)))
+    often = sorted((w for w, n in words.items() if n >= 5), key=lambda w: (-words[w], w))
+    assert dictionary.split() == [*reversed(often), *secrets.IDENTIFIERS.split()] and "bearer" in often
+    primed = zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(dictionary.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+    size = lambda t: len(primed.compress(t.encode()))
+    for x in secrets.scan_documents(docs, dictionary=dictionary).collect():
+        t, want = x["text"], []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t):
+            near = t[max(0, m.start() - 512) : m.start()] + "\n" + t[m.end() : m.end() + 512] + "\n"
+            if "bearer" in t[max(0, m.start() - 48) : m.start()] and (size(near + m[0]) - size(near)) / len(m[0]) >= 0.7:
+                want.append(f"novel:{m.start()}:{m.end()}")
+        assert x["spans"] == ",".join(want) and bool(want) == (x["doc_id"] % 2 == 1 and x["doc_id"] % 3 != 0)
+
+
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
