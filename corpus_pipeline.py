@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns the columns of
 ``documents``; the last returns the encoded documents.  Stages are written and reread as Parquet.
+
+Defined results of every stage: an empty table gives an empty one; further columns of the input are left
+out; rows that repeat are handled each, except that near duplicates keep one of them; a null id is an id
+like others, but never the one that stands for a group if the group has another.
 """
 
 from __future__ import annotations
@@ -46,7 +50,8 @@ def stage_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are blanked out; every document stays."""
     small_batches(spark)
-    clean = secrets.scan_documents(docs.select(*COLUMNS), redact=REDACTED)
+    docs = docs.select(*COLUMNS)
+    clean = secrets.scan_documents(docs, redact=REDACTED, dictionary=secrets.identifiers(docs))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
