@@ -113,7 +113,7 @@ def hash_words(buf: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.nda
     return mix64(h + (end - start).astype(np.uint64)), start, end
 
 
-def slices(texts: list[bytes], most: int = 1 << 21):
+def slices(texts: list[bytes], most: int = 1 << 20):
     """Runs (first, last) of consecutive documents with about ``most`` bytes; a longer one stands alone."""
     first, held = 0, 0
     for i, t in enumerate(texts):

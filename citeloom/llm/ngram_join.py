@@ -52,7 +52,7 @@ THRESHOLD = 0.75
 #: Bounds of the sample that orders the shingles: classes, and their shingles; a shingle in COMMON_ROWS of them is frequent.
 SAMPLE_ROWS, SAMPLE_SHINGLES, COMMON_ROWS = 32_768, 1 << 24, 2
 #: Prefix shingles of a tile, and of a task before it sends them off.
-TILE, FLUSH = 1_000_000, 1_500_000
+TILE, FLUSH = 500_000, 500_000
 #: A set's prefix is longer by a shingle for each SPARE shingles of the set.
 SPARE = 8
 #: Pivots of a shingle in a round; rounds at most before the rest is compared.
