@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import lean
+
 #: Pieces whose ids each worker remembers; a full cache takes no more.
 CACHE = 250_000
 #: Marks that the pattern makes a pre-token of their own after letters.
@@ -213,4 +215,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, outputs: list[str
                 [*batch.columns, *(pa.array(got[n], _ARROW[n]) for n in outputs)], [*keep, *outputs]
             )
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(lean(run), schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chained, slices, to_bytes, words_of
+from .common import chained, lean, slices, to_bytes, words_of
 
 WORDS = 5
 THRESHOLD = 0.75
@@ -152,7 +152,7 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "d
                     ["doc_id", "item_id", "n_shared", "n_item", "containment"],
                 )
 
-        return rows.mapInArrow(run, f"doc_id {id_type}, item_id long, n_shared long, n_item long, containment double")
+        return rows.mapInArrow(lean(run), f"doc_id {id_type}, item_id long, n_shared long, n_item long, containment double")
 
     parts = [search(shared) for shared in _blocks(wanted, block_bytes)]
     out = parts[0]
@@ -177,5 +177,5 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id
                 hit = {f[0] for f in index.search(to_bytes(batch.column(at)))}
                 yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(lean(run), docs.schema)
     return out

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_share
+from .common import hash_share, lean
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     share = F.coalesce(*[F.when(F.col("l") == r["l"], F.lit(ROWS_PER_LANGUAGE / r["count"])) for r in found])
     sample = rows.where(hash_share(F.col("i")) < share).select("t", "l")
-    cells = sample.mapInArrow(_count(languages), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    cells = sample.mapInArrow(lean(_count(languages)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(len(languages) * BUCKETS)
     for cell, n in cells:
         counts[cell] = n
@@ -153,4 +153,4 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
                 [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"]
             )
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(lean(run), schema)

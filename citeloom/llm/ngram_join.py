@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from citeloom.operators.components import connected_components
 from citeloom.plans.checkpoint import cut, written
 
-from .common import chained, hash_share, mix64, slices, to_bytes, words_of
+from .common import chained, hash_share, lean, mix64, slices, to_bytes, words_of
 
 WORDS = 5
 THRESHOLD = 0.75
@@ -268,13 +268,13 @@ def _intersected(batches):
 def _decided(pairs: DataFrame, signs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Checkpointed (a_c, b_c): the components of those pairs (a, b, a_c, b_c) that link."""
     both = pairs.join(signs.toDF("a", "a_n", "a_bits"), "a").join(signs.toDF("b", "b_n", "b_bits"), "b")
-    possible = cut(both.mapInArrow(_bounded, "a long, b long, a_c long, b_c long"))
+    possible = cut(both.mapInArrow(lean(_bounded), "a long, b long, a_c long, b_c long"))
     needed = possible.select(F.col("a").alias("k")).unionAll(possible.select(F.col("b").alias("k"))).distinct()
     needed = cut(needed.join(classes, "k").select("k", "row"))
     texts = rows.join(F.broadcast(needed) if needed.count() <= BROADCAST_KEYS else needed, "row").select("k", "t")
-    sets = texts.mapInArrow(_sorted_sets, "k long, s binary").dropDuplicates(["k"])
+    sets = texts.mapInArrow(lean(_sorted_sets), "k long, s binary").dropDuplicates(["k"])
     met = possible.join(sets.toDF("a", "a_s"), "a").join(sets.toDF("b", "b_s"), "b")
-    return cut(met.select("a_c", "b_c", "a_s", "b_s").mapInArrow(_intersected, "a_c long, b_c long").distinct())
+    return cut(met.select("a_c", "b_c", "a_s", "b_s").mapInArrow(lean(_intersected), "a_c long, b_c long").distinct())
 
 
 def _feasible(a: str, b: str) -> Column:
@@ -353,13 +353,13 @@ def _parts(rows: DataFrame, members: DataFrame) -> DataFrame:
 
     share = min(SAMPLE_ROWS / max(1, totals["c"]), SAMPLE_SHINGLES / max(1, totals["s"]))
     sample = rows.join(F.broadcast(classes.where(hash_share(F.col("k"), 41) < share).select("row")), "row").dropDuplicates(["row"]).select("t")
-    often = sample.mapInArrow(_common, "s long").groupBy("s").count().where(F.col("count") >= COMMON_ROWS).toArrow()
+    often = sample.mapInArrow(lean(_common), "s long").groupBy("s").count().where(F.col("count") >= COMMON_ROWS).toArrow()
     s, count = often.column("s").to_numpy().view(np.uint64), often.column("count").to_numpy()
     order = np.argsort(s)
     common = rows.sparkSession.sparkContext.broadcast((s[order], count[order].astype(np.uint16)))
 
     tiles = max(1, math.ceil(totals["s"] * (1 - THRESHOLD) / TILE))
-    packed = rows.select("t").mapInArrow(_prefixes(tiles, common), _PACKED)
+    packed = rows.select("t").mapInArrow(lean(_prefixes(tiles, common)), _PACKED)
     entries = packed.groupBy("tile").applyInArrow(_shared, "token long, k long, n int, at int")
     entries = _rarest(cut(entries.groupBy("token", "k").agg(F.min("n").alias("n"), F.min("at").alias("at"))))
     parts = cut(entries.select("k").distinct().withColumn("c", F.col("k")))
@@ -388,7 +388,7 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.xxhash64(doc_id, text).alias("row"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    members = written(rows.mapInArrow(_sets, f"doc_id {id_type}, row long, n long, k long, bits binary"))
+    members = written(rows.mapInArrow(lean(_sets), f"doc_id {id_type}, row long, n long, k long, bits binary"))
     smallest = members.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("rep"))
     placed = cut(smallest.join(_parts(rows.select("row", "t"), members), "k", "left").select("k", "rep", F.coalesce("c", "k").alias("c")))
     named = placed.join(placed.groupBy("c").agg(F.min("rep").alias("component")), "c").select("k", "c", "component")
