@@ -99,7 +99,7 @@ def community_composition(communities: DataFrame, nodes: DataFrame, attribute: s
     kinds = communities.join(nodes.select(F.col("id").alias("node"), F.col(attribute).cast("string").alias("category")), "node", "left")
     counts = kinds.groupBy("community", "category").agg(F.count("*").alias("n"))
     size = kinds.groupBy("community").agg(F.count("*").alias("size"))
-    grid = size.crossJoin(F.broadcast(kinds.select("category").distinct()))  # communities times categories: the result's own size
+    grid = size.crossJoin(kinds.select("category").distinct())  # communities times categories: the result's own size
     c = counts.select(F.col("community").alias("k"), F.col("category").alias("q"), "n")
     full = grid.join(c, (F.col("community") == F.col("k")) & F.col("category").eqNullSafe(F.col("q")), "left")
     return full.select("community", "category", (F.coalesce("n", F.lit(0)) / F.col("size")).alias("fraction"))

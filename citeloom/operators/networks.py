@@ -51,10 +51,7 @@ def incidence(corpus: DataFrame, kind: NetworkKind, scope: str = "full") -> Data
 
 
 def project(inc: DataFrame, min_weight: int = 1) -> DataFrame:
-    """(src, dst, weight) with src < dst: groups that two nodes share, from ``min_weight`` on.
-
-    Groups of one node are dropped before the join, so that the shuffled sides hold only what can pair.
-    """
+    """(src, dst, weight) with src < dst: groups that two nodes share, from ``min_weight`` on."""
     pairs = inc.where("node is not null and grp is not null").distinct()
     a, b = pairs.select("grp", F.col("node").alias("src")), pairs.select("grp", F.col("node").alias("dst"))
     edges = a.join(b, "grp").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from citeloom.functions import identity, provenance as prov, text
-from citeloom.operators import aggregates, filters, merge as merging, networks, preprocess, scent
+from citeloom.operators import aggregates, enrich, filters, merge as merging, networks, preprocess, scent
 from citeloom.plans import star
 from citeloom.plans.checkpoint import shared_folder
 from citeloom.queries import BOTH, HEADS, REFS, edges_cte, query
@@ -280,6 +280,23 @@ def growth_preview_forward(spark, d):
     return scent.growth_preview(_seeded(spark, d).withColumn("cited_by_id", F.transform("cited_by_id", lambda x: F.concat(F.lit("o"), x))))
 
 
+@query(f"WITH {REFS} SELECT count(DISTINCT part) AS total, count(DISTINCT part) FILTER (WHERE part % 4 <> 0) AS resolved FROM refs JOIN orders ON o_orderkey = paper")
+def references_metric(spark, d):
+    lookup = star.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.when(F.col("p_partkey") % 4 != 0, F.concat(F.lit("10.1/"), F.col("p_partkey").cast("string"))).alias("doi"))
+    return enrich.references_metric(star.papers(spark, d), lookup)
+
+
+@query(f"""WITH c AS (SELECT DISTINCT l_partkey AS t, 'o' || l_orderkey AS o FROM lineitem JOIN orders ON o_orderkey = l_orderkey), r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY o) AS n FROM c), a AS (SELECT t, string_agg(o, ',' ORDER BY o) AS v FROM r WHERE n <= 10 GROUP BY 1)
+SELECT 'p' || p_partkey AS id, CASE WHEN p_size <= 25 THEN v END AS cited_by, CASE WHEN p_partkey % 3 = 0 THEN '10.1/' || p_size || ',-' ELSE '-,-' END AS dois FROM part LEFT JOIN a ON t = p_partkey""")
+def enrich_both(spark, d):
+    """Both passes of the dispatcher: DOIs of the references in their places, citing lists of the seeds."""
+    size = star.table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), "p_size", "p_partkey")
+    corpus = _seeded(spark, d).join(size, "id").withColumn("references_id", F.array(F.concat(F.when(F.col("p_partkey") % 3 == 0, "s").otherwise("t"), F.col("p_size").cast("string")), F.lit("far"))).drop("p_size", "p_partkey").withColumn("cited_by_id", F.lit(None).cast("array<string>"))
+    lookup = size.select(F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("id"), F.concat(F.lit("10.1/"), F.col("p_size").cast("string")).alias("doi")).distinct()
+    out = enrich.enrich(corpus, _dated(spark, d), lookup, cap=10)
+    return out.select("id", F.array_join("cited_by_id", ",").alias("cited_by"), F.array_join("references_doi", ",", "-").alias("dois"))
+
+
 # Node tables --------------------------------------------------------------------------------
 
 

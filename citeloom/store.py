@@ -29,6 +29,10 @@ LOGS = {
 }
 
 
+#: Versions of the papers that stay on disk, so that frames read before a write can still be used after it.
+KEPT_VERSIONS = 5
+
+
 class StoreError(RuntimeError):
     """The library is locked, missing or unreadable."""
 
@@ -72,8 +76,10 @@ class Store:
         temporary = self.path / f".{version}"
         temporary.write_text(version)
         os.replace(temporary, self.path / "CURRENT")
-        if old and old != version:
-            shutil.rmtree(self.path / old, ignore_errors=True)
+        kept = sorted(self.path.glob("papers-*"), key=lambda f: f.stat().st_mtime, reverse=True)
+        for folder in kept[KEPT_VERSIONS:]:
+            if folder.name not in (old, version):
+                shutil.rmtree(folder, ignore_errors=True)
 
     def _write(self, papers: DataFrame) -> None:
         if self.readonly:
@@ -122,7 +128,7 @@ class Store:
     def _append(self, name: str, rows: DataFrame) -> None:
         if self.readonly:
             raise StoreError("the library is open for reading only")
-        rows.coalesce(1).write.mode("append").parquet(str(self.path / name))
+        rows.write.mode("append").parquet(str(self.path / name))
 
     def _exchange(self, name: str, rows: list) -> None:
         if self.readonly:

@@ -15,7 +15,7 @@ from citeloom.errors import DataError, LibraryError, UsageError
 from citeloom.functions import provenance as prov
 from citeloom.functions.identity import corpus_hash
 from citeloom.functions.text import normalize_doi, paper_url
-from citeloom.operators import aggregates, filters, merge as merging, networks, preprocess, scent
+from citeloom.operators import aggregates, enrich, filters, merge as merging, networks, preprocess, scent
 from citeloom.plans.checkpoint import cut
 from citeloom.plans.networks import build_all, is_stale
 from citeloom.schema import COLUMNS, NetworkKind
@@ -93,7 +93,7 @@ class Workspace:
         return {"papers_added": total - n, "total": total, "round": round_, "reseeded": known}
 
     def chain(self, works: DataFrame | None = None, direction: str = "both", limit: int | None = 300, since: date | None = None) -> dict:
-        """Rank candidates and merge those that were fetched; ``since`` looks forward only, as monitoring."""
+        """Rank candidates, merge those that were fetched and grow the citing lists of the seeds; ``since`` looks forward only, as monitoring."""
         direction = "forward" if since else direction
         with self.store() as store:
             corpus = store.papers()
@@ -102,7 +102,10 @@ class Workspace:
             found = scent.forward_rows(ahead, works).select(*COLUMNS) if works is not None else corpus.limit(0).select(*COLUMNS)
             known = corpus.select("id")
             new = found.select("id").distinct().join(known, "id", "left_anti").count()
-            store.replace(preprocess.normalize_and_dedup(cut(merging.merge(corpus, found))))
+            grown = corpus
+            if works is not None and direction != "backward":
+                grown = enrich.cited_by(corpus, works.where("id is not null"), since=since.isoformat() if since else None)
+            store.replace(preprocess.normalize_and_dedup(cut(merging.merge(grown, found))))
             _, round_ = self._advance(store, "monitor" if since else "chain")
             store.add_references(ranking.where("backward_only").select(F.col("id").alias("ref_id")), round_)
             top = [(r["id"], r["scent"]) for r in scent.ranked(ranking, 10).collect()]
