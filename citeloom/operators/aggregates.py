@@ -55,6 +55,12 @@ def maturity(corpus: DataFrame) -> DataFrame:
     return corpus.agg(F.coalesce(F.bool_or(F.col("curation_status").isin("accepted", "rejected")), F.lit(False)).alias("curated"), F.lit(False).alias("saturated"), F.count("*").alias("papers"))
 
 
+def maturity_block(corpus: DataFrame, scope: str | None = None, empty_networks: list[str] | None = None) -> dict:
+    """``maturity`` with the scope it was asked for and the networks that came out empty."""
+    row = maturity(corpus).first()
+    return {"curated": row["curated"], "scope": scope, "saturated": row["saturated"], "empty_networks": list(empty_networks or [])}
+
+
 def readiness(corpus: DataFrame) -> DataFrame:
     """One row: papers, seeds, seeds with a source id, whether citing lists exist."""
     return corpus.agg(

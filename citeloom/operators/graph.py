@@ -88,10 +88,24 @@ def attribute_assortativity(edges: DataFrame, nodes: DataFrame, attribute: str)
 
 
 def degree_assortativity(edges: DataFrame) -> DataFrame:
-    """One row (r): correlation of the degrees at both ends of the edges, in both directions."""
+    """One row (r): correlation of the degrees at both ends of the edges, in both directions; NaN where all are alike."""
     d = degrees(edges).select("node", "degree")
     ends = both_ways(edges).join(d.select(F.col("node").alias("a"), F.col("degree").alias("x")), "a").join(d.select(F.col("node").alias("b"), F.col("degree").alias("y")), "b")
-    return ends.agg(F.corr(F.col("x").cast("double"), F.col("y").cast("double")).alias("r"))
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")  # both ends have the same variance
+    return ends.agg(F.when(F.min("x") == F.max("x"), F.lit(float("nan"))).otherwise(F.covar_pop(x, y) / F.var_pop(x)).alias("r"))
+
+
+def mixing(edges: DataFrame, nodes: DataFrame | None = None, attribute: str | None = None, by_degree: bool = False, proxy: str | None = None) -> dict:
+    """Assortativity by an attribute of (id, attribute), by degree, or both; ``proxy`` names what the
+    attribute was derived from and adds a caution."""
+    out: dict = {}
+    if attribute is not None:
+        out["attribute_assortativity"] = attribute_assortativity(edges, nodes, attribute).first()["r"]
+    if by_degree:
+        out["degree_assortativity"] = degree_assortativity(edges).first()["r"]
+    if proxy is not None:
+        out["proxy_disclaimer"] = f"{attribute} stands in for {proxy} and isn't the recorded affiliation: read the result with caution"
+    return out
 
 
 def community_composition(communities: DataFrame, nodes: DataFrame, attribute: str) -> DataFrame:

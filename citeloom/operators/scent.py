@@ -120,6 +120,37 @@ def references_doi(corpus: DataFrame, lookup: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "doi"))), lambda x: x["doi"]).alias("references_doi"))
 
 
+def growth_estimate(corpus: DataFrame, direction: str = "both", limit: int | None = None) -> DataFrame:
+    """One row: what a step is expected to bring from what the corpus knows, each direction up to ``limit``.
+
+    (backward, forward, estimated_new, forward_requires_fetch, forward_from_cited_by, capped).  Without any
+    citing list the forward part can't be told: it is 0 and has to be fetched.  A direction not asked for is null.
+    """
+    if direction not in ("backward", "forward", "both"):
+        raise ValueError(f"unknown direction {direction!r}")
+    own = known_ids(corpus)
+
+    def ahead(column: str) -> DataFrame:
+        return exploded(corpus, column, "ref").where("coalesce(ref, '') <> ''").select("ref").distinct().join(own, "ref", "left_anti").agg(F.count("*").alias(column))
+
+    row = corpus.agg(F.coalesce(F.bool_or(F.size("cited_by_id") > 0), F.lit(False)).alias("known"))
+    if direction != "forward":
+        row = row.crossJoin(ahead("references_id"))  # one row each
+    if direction != "backward":
+        row = row.crossJoin(ahead("cited_by_id"))
+    most = lambda c: c if limit is None else F.least(c, F.lit(limit))
+    nothing = F.lit(None).cast("long")
+    back = F.col("references_id") if direction != "forward" else nothing
+    fore = F.when(F.col("known"), F.col("cited_by_id")).otherwise(0).cast("long") if direction != "backward" else nothing
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    local = F.col("known") & F.lit(direction != "backward")
+    return row.select(
+        most(back).cast("long").alias("backward"), most(fore).cast("long").alias("forward"), (zero(most(back)) + zero(most(fore))).cast("long").alias("estimated_new"),
+        (~F.col("known") & F.lit(direction != "backward")).alias("forward_requires_fetch"), local.alias("forward_from_cited_by"),
+        (F.lit(False) if limit is None else (zero(back) > limit) | (zero(fore) > limit)).alias("capped"),
+    )
+
+
 def growth_preview(corpus: DataFrame) -> DataFrame:
     """One row: how many candidates a backward and a forward step would bring, without fetching anything."""
     own = known_ids(corpus)

@@ -6,13 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from citeloom import reads
 from citeloom.functions import identity, provenance as prov, text
 from citeloom.operators import aggregates, enrich, filters, merge as merging, networks, preprocess, scent
 from citeloom.plans import star
 from citeloom.plans.checkpoint import shared_folder
 from citeloom.queries import BOTH, HEADS, REFS, edges_cte, query
 from citeloom.schema import conform
-from citeloom.sinks.files import curation_rows
+from citeloom.sinks.files import curation_rows, scent_told
 from citeloom.sources import bibtex, search, works_json
 
 # Sources ------------------------------------------------------------------------------------
@@ -320,3 +321,43 @@ def display_names(spark, d):
     k = F.col("id").cast("long")
     named = star.papers(spark, d).withColumn("authors_raw", F.transform("authors_id", lambda a: F.when(k % 2 == 1, F.concat(F.lit("name in "), "id")).otherwise(""))).withColumn("_seq", k)
     return aggregates.display_names(named, "authors_id", "authors_raw")
+
+
+# Read models --------------------------------------------------------------------------------
+
+
+@query(f"""WITH {HEADS}, {REFS}, own AS (SELECT part FROM refs WHERE paper = 7), a AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS s FROM lineitem WHERE l_orderkey = 7),
+r AS (SELECT 'coupling' AS relation, CAST(paper AS VARCHAR) AS paper_id, count(*) AS weight FROM refs WHERE paper <> 7 AND part IN (SELECT part FROM own) GROUP BY 1, 2
+UNION ALL SELECT 'references', CAST(part AS VARCHAR), NULL FROM own UNION ALL SELECT 'cited_by', s, NULL FROM a) SELECT relation, paper_id, 'Order ' || paper_id AS title, weight FROM r JOIN heads ON id = paper_id""")
+def paper_surroundings(spark, d):
+    """Order 7, its parts and suppliers read as the orders of those numbers."""
+    return reads.surroundings(star.papers(spark, d).withColumn("cited_by_id", F.col("authors_id")), "7")
+
+
+_AHEAD = f"WITH {REFS}, b AS (SELECT count(DISTINCT part) AS b FROM refs JOIN orders ON o_orderkey = paper WHERE part NOT IN (SELECT o_orderkey FROM orders)), f AS (SELECT count(DISTINCT l_suppkey) AS f FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
+
+
+@query(f"{_AHEAD} SELECT b AS backward, CAST(0 AS BIGINT) AS forward, b AS estimated_new, true AS forward_requires_fetch, false AS forward_from_cited_by, false AS capped FROM b")
+def growth_estimate_unfetched(spark, d):
+    return scent.growth_estimate(star.papers(spark, d))
+
+
+@query(f"{_AHEAD} SELECT least(b, 50) AS backward, least(f, 50) AS forward, least(b, 50) + least(f, 50) AS estimated_new, false AS forward_requires_fetch, true AS forward_from_cited_by, b > 50 OR f > 50 AS capped FROM b, f")
+def growth_estimate_capped(spark, d):
+    """Suppliers as citing works that the corpus doesn't have; each direction up to 50."""
+    citing = F.transform("authors_id", lambda a: F.concat(F.lit("s"), a))
+    return scent.growth_estimate(star.papers(spark, d).withColumn("cited_by_id", citing), "both", 50)
+
+
+@query("SELECT p_partkey AS k, CASE WHEN p_size % 3 = 0 THEN '' || p_size WHEN p_size % 3 = 1 THEN '7.5' END AS scent FROM part")
+def scent_of_events(spark, d):
+    size = F.col("p_size").cast("string")
+    told = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit('[{"action": "seeded"}, {"scent": '), size, F.lit('}, {"scent": 1}]'))).when(F.col("p_size") % 3 == 1, '[{"action": "chained", "scent": 7.5}]').otherwise("not a list")
+    return star.table(spark, d, "part").select(F.col("p_partkey").alias("k"), scent_told(told).alias("scent"))
+
+
+@query(f"WITH {edges_cte('institutions')}, {BOTH} SELECT CAST(node AS VARCHAR) AS id, 'place ' || node AS label, round(degree / (SELECT count(*) - 1 FROM deg), 6) AS degree_centrality FROM deg")
+def network_record_nodes(spark, d):
+    places = F.transform("institutions_id", lambda a: F.concat(F.lit("place "), a))
+    record = reads.network_record(star.papers(spark, d).withColumn("institutions_raw", places), "institution_collab", None)
+    return record.nodes.withColumn("degree_centrality", F.round("degree_centrality", 6))

@@ -10,7 +10,7 @@ import json
 from pathlib import Path
 from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import authors_display, keywords_display, work_url
@@ -90,6 +90,12 @@ def write_artifacts(folder: str | Path, metrics: dict, clusters: DataFrame | Non
                 out.writerow(["; ".join(map(str, v)) if isinstance(v, list) else "" if v is None else v for v in r])
 
 
+def scent_told(provenance: Column) -> Column:
+    """The scent that the first event with one tells; null without."""
+    events = F.from_json(F.nullif(provenance, F.lit("")), "array<map<string,string>>")
+    return F.get(F.filter(F.transform(events, lambda e: F.try_element_at(e, F.lit("scent"))), lambda x: x.isNotNull()), 0)
+
+
 def curation_rows(corpus: DataFrame, scope: str = "candidates") -> DataFrame:
     """The sheet's 16 columns, as text."""
     blank, text = F.lit(""), lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -97,6 +103,7 @@ def curation_rows(corpus: DataFrame, scope: str = "candidates") -> DataFrame:
     values = {
         "id": text("id"), "source_id": text("source_id"), "title": text("title"), "year": text("year"), "authors": authors_display(F.col("authors_raw"), F.col("authors_id")), "venue": text("source"), "doi": text("doi"),
         "keywords": keywords_display(F.col("keywords_raw"), F.col("keywords_id")), "is_seed": F.when(F.col("is_seed"), "True").otherwise("False"), "openalex_url": F.coalesce(work_url(F.col("source_id")), blank), "decision": decision,
+        "scent_score": F.coalesce(scent_told(F.col("provenance")), blank),
     }
     return dump_scope(corpus, scope).select(*[values.get(c, blank).alias(c) for c in SHEET_COLUMNS])
 

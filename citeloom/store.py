@@ -164,12 +164,18 @@ class Store:
         self._exchange("enricher_log", [(n, p, at or now()) for n, p in refs.items()])
 
 
+#: Layout of snapshots that this version writes; older ones are read too.
+SNAPSHOT_VERSION = 1
+
+
 class Snapshot:
     """A folder with the papers as Parquet and a manifest; loaded when first asked for."""
 
     def __init__(self, spark: SparkSession, path: str | Path) -> None:
         self.spark, self.path = spark, Path(path)
         self.manifest = json.loads((self.path / "manifest.json").read_text(encoding="utf-8"))
+        if self.manifest.get("schema_version", 1) > SNAPSHOT_VERSION:
+            raise StoreError(f"{self.path} has layout {self.manifest['schema_version']}, newer than {SNAPSHOT_VERSION}")
 
     @property
     def corpus(self) -> DataFrame:
@@ -187,7 +193,7 @@ def write_snapshot(corpus: DataFrame, path: str | Path, manifest: dict | None =
     path = Path(path)
     path.mkdir(parents=True, exist_ok=True)
     corpus.select(*COLUMNS).write.mode("overwrite").parquet(str(path / "corpus.parquet"))
-    held = {"schema_version": 1, "lib_version": __version__, **(manifest or {}), "corpus_hash": corpus_hash(corpus), "created_at": now().isoformat()}
+    held = {"schema_version": SNAPSHOT_VERSION, "lib_version": __version__, **(manifest or {}), "corpus_hash": corpus_hash(corpus), "created_at": now().isoformat()}
     (path / "manifest.json").write_text(json.dumps(held, ensure_ascii=False, indent=2, sort_keys=True), encoding="utf-8")
     return Snapshot(corpus.sparkSession, path)
 

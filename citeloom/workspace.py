@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom import reads
 from citeloom.cycle import CycleState, apply_transition, available_transitions, next_best_action
 from citeloom.errors import DataError, LibraryError, UsageError
 from citeloom.functions import provenance as prov
@@ -19,10 +20,14 @@ from citeloom.operators import aggregates, enrich, filters, merge as merging, ne
 from citeloom.plans.checkpoint import cut
 from citeloom.plans.networks import build_all, is_stale
 from citeloom.schema import COLUMNS, NetworkKind
-from citeloom.sinks.files import read_curation_sheet, write_csv, write_curation_sheet
+from citeloom.sinks.files import read_curation_sheet, write_csv, write_curation_sheet, write_graphml
+from citeloom.sources import bibtex, search
 from citeloom.store import Snapshot, Store, StoreError, now, write_snapshot
 
 
+LIVE = "live"
+
+
 class WorkspaceNotFound(LibraryError):
     pass
 
@@ -92,8 +97,30 @@ class Workspace:
             total = store.papers().count()
         return {"papers_added": total - n, "total": total, "round": round_, "reseeded": known}
 
-    def chain(self, works: DataFrame | None = None, direction: str = "both", limit: int | None = 300, since: date | None = None) -> dict:
-        """Rank candidates, merge those that were fetched and grow the citing lists of the seeds; ``since`` looks forward only, as monitoring."""
+    def seed_from_bibtex(self, path: str) -> dict:
+        """Seed from BibTeX files; entries that say nothing new change nothing."""
+        return self.seed(bibtex.load(self.spark, path, fetched_at=now().isoformat()))
+
+    def seed_from_equation(self, works: DataFrame, equation: search.EquationSpec) -> dict:
+        """Seed with the papers of ``works`` that an equation finds, and tell what the search can't carry over."""
+        found = search.matches(works, equation)
+        told = self.preview_seed(equation)
+        return {**self.seed(found.withColumn("is_seed", F.lit(True))), "translation": told["translation"]}
+
+    @staticmethod
+    def preview_seed(equation: search.EquationSpec) -> dict:
+        """The filter that an equation becomes, without running it."""
+        executed, notes = search.translate(equation.query, equation.native, equation.exclude, equation.min_year, equation.max_year)
+        return {"preview": True, "executed_query": executed, "translation": notes}
+
+    def preview_chain(self, direction: str = "both", limit: int | None = 300) -> dict:
+        """What a chaining step is expected to bring, from the library alone."""
+        with self.store(readonly=True) as store:
+            return {"direction": direction, **scent.growth_estimate(store.papers(), direction, limit).first().asDict()}
+
+    def chain(self, works: DataFrame | None = None, direction: str = "both", limit: int | None = 300, since: date | None = None, lookup: DataFrame | None = None) -> dict:
+        """Rank candidates, merge those that were fetched and grow the citing lists of the seeds; ``since`` looks
+        forward only, as monitoring.  With ``lookup`` (id, doi) the DOIs of the references are filled in too."""
         direction = "forward" if since else direction
         with self.store() as store:
             corpus = store.papers()
@@ -105,7 +132,10 @@ class Workspace:
             grown = corpus
             if works is not None and direction != "backward":
                 grown = enrich.cited_by(corpus, works.where("id is not null"), since=since.isoformat() if since else None)
-            store.replace(preprocess.normalize_and_dedup(cut(merging.merge(grown, found))))
+            merged = merging.merge(grown, found)
+            if lookup is not None:
+                merged = enrich.references(merged, lookup)
+            store.replace(preprocess.normalize_and_dedup(cut(merged)))
             _, round_ = self._advance(store, "monitor" if since else "chain")
             store.add_references(ranking.where("backward_only").select(F.col("id").alias("ref_id")), round_)
             top = [(r["id"], r["scent"]) for r in scent.ranked(ranking, 10).collect()]
@@ -159,18 +189,35 @@ class Workspace:
             self._advance(store, "build")
         return built
 
-    def export(self) -> list[Path]:
-        """Every built network again as CSV, from its stored edges and nodes."""
+    def export(self, formats: tuple[str, ...] = ("csv", "graphml")) -> list[Path]:
+        """Every built network again as CSV and GraphML, from its stored edges and nodes."""
+        unknown = sorted(set(formats) - {"csv", "graphml"})
+        if unknown:
+            raise UsageError(f"unknown format {unknown[0]!r}")
         found = sorted(self.networks.glob("*/edges.parquet"))
         if not found:
             raise DataError("no networks have been built")
         for p in found:
-            write_csv(self.spark.read.parquet(str(p)), self.spark.read.parquet(str(p.parent / "nodes.parquet")), self.exports / p.parent.name)
+            edges, nodes, target = self.spark.read.parquet(str(p)), self.spark.read.parquet(str(p.parent / "nodes.parquet")), self.exports / p.parent.name
+            if "csv" in formats:
+                write_csv(edges, nodes, target)
+            if "graphml" in formats:
+                write_graphml(edges, nodes, target / "network.graphml")
         return [self.exports / p.parent.name for p in found]
 
     def snapshot(self, name: str) -> Snapshot:
+        """The papers and what is measured of the built networks, as a round to return to or compare with."""
+        if name == LIVE:
+            raise UsageError(f"{LIVE!r} names the library itself")
         with self.store(readonly=True) as store:
-            return write_snapshot(store.load(), self.snapshots / name)
+            corpus = store.load()
+            out = write_snapshot(corpus, self.snapshots / name, {"maturity": aggregates.maturity_block(corpus, "all")})
+            if not is_stale(self.networks, corpus_hash(corpus)):
+                for kind, measures in self._measures(self.networks).items():
+                    folder = self.snapshots / name / "networks" / kind
+                    folder.mkdir(parents=True, exist_ok=True)
+                    (folder / "metrics.json").write_text(json.dumps(measures, sort_keys=True), encoding="utf-8")
+        return out
 
     def restore(self, path: str) -> int:
         """Merge a snapshot's papers into the library."""
@@ -219,10 +266,47 @@ class Workspace:
         with self.store(readonly=True) as store:
             return networks.coupled_with(networks.incidence(store.papers(), NetworkKind.COUPLING), ident)
 
-    def compare(self, older: str, newer: str) -> DataFrame:
-        return aggregates.snapshot_diff(Snapshot(self.spark, self.snapshots / older).corpus, Snapshot(self.spark, self.snapshots / newer).corpus)
+    def url(self, ident: str) -> str | None:
+        """Address of the DOI of a paper, named by its id; null where it has none."""
+        with self.store(readonly=True) as store:
+            row = store.papers().where(F.col("id") == ident).select(paper_url(F.col("doi"), F.lit(None).cast("string")).alias("url")).first()
+        return row["url"] if row else None
+
+    def surroundings(self, ident: str) -> DataFrame:
+        """(relation, paper_id, title, weight) of the papers around one; its score is the number of coupled ones."""
+        with self.store(readonly=True) as store:
+            corpus = store.papers()
+            if not corpus.where(F.col("id") == ident).limit(1).count():
+                raise DataError(f"unknown paper {ident}")
+            return reads.surroundings(corpus, ident)
+
+    def network(self, kind: str, clustering: str | None = "louvain") -> reads.NetworkRecord:
+        """A network of the library as it is now."""
+        with self.store(readonly=True) as store:
+            try:
+                return reads.network_record(store.papers(), kind, clustering)
+            except ValueError as e:
+                raise DataError(str(e)) from e
+
+    @staticmethod
+    def _measures(folder: Path) -> dict[str, dict]:
+        return {p.parent.name: json.loads(p.read_text(encoding="utf-8")) for p in sorted(folder.glob("*/metrics.json"))}
+
+    def _round(self, name: str) -> tuple[DataFrame, dict]:
+        """Papers and network measures of a snapshot, or of the library (``live``)."""
+        if name == LIVE:
+            with self.store(readonly=True) as store:
+                corpus = store.papers()
+            return corpus, {} if is_stale(self.networks, corpus_hash(corpus)) else self._measures(self.networks)
+        if not (self.snapshots / name / "manifest.json").exists():
+            raise DataError(f"no round {name}")
+        return Snapshot(self.spark, self.snapshots / name).corpus, self._measures(self.snapshots / name / "networks")
+
+    def compare(self, older: str, newer: str) -> reads.RoundComparison:
+        (a, x), (b, y) = self._round(older), self._round(newer)
+        return reads.compare(a, b, x, y)
 
     def rounds(self) -> list[dict]:
         saved = [{"name": p.parent.name, "papers": Snapshot(self.spark, p.parent).count()} for p in sorted(self.snapshots.glob("*/manifest.json"))]
         with self.store(readonly=True) as store:
-            return [*saved, {"name": "live", "papers": store.papers().count()}]
+            return [*saved, {"name": LIVE, "papers": store.papers().count()}]
