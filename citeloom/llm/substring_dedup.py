@@ -1,4 +1,4 @@
-"""Substring dedup: an FM-index per shard, matching windows of streamed documents by backward search.
+"""Substring dedup: an FM-index per shard, matching statistics of streamed documents by backward search.
 
 A window is ``SIZE`` consecutive words of one document.  Every word is removed that a window covers whose
 word sequence also starts in a document with a smaller id.
@@ -8,9 +8,11 @@ word sequence also starts in a document with a smaller id.
    two documents or more.  Windows with other anchors occur in one document only and need no search.
 2. Documents send the segments around the anchors that are left (runs of windows with one anchor) to
    shards by anchor.  Equal segments travel once from each task, with a list of where they occur.
-3. Each shard builds a compressed FM-index of its different segments and streams them past it: backward
-   search finds the suffix interval of every window, and the smallest document over that interval is
-   compared with each document that holds the segment.  Runs of duplicate windows become word intervals.
+3. Each shard builds a compressed FM-index of its different segments and streams the documents' segments
+   past it: backward search gives the matching statistics, for each word the length of the longest run
+   that ends there and that another segment has too.  Where it reaches SIZE, the smallest document over the
+   suffixes of the match is compared with each document that holds the segment.  Runs of duplicate windows
+   become word intervals.
 4. Intervals go back to their documents.
 
 A shard's or tile's size is set by its number of entries, so their number follows the input.  An anchor in
@@ -226,20 +228,20 @@ def _search(group: pa.Table) -> pa.Table:
     where = [(np.concatenate([d for d, _ in segments[k]]), np.concatenate([s for _, s in segments[k]])) for k in keys]
     least = np.array([d.min() for d, _ in where], np.int64)
 
-    index = FMIndex(text, len(values) + 1, SIZE)
+    ids, by_age = np.unique(least, return_inverse=True)
+    index = FMIndex(text, len(values) + 1, SIZE, np.repeat(by_age, size + 1))
     n_windows = size - SIZE + 1
     begin = np.concatenate(([0], np.cumsum(n_windows)))
     starts = np.repeat(head - begin[:-1], n_windows) + np.arange(begin[-1])
-    lo, hi = index.intervals(text, starts, SIZE)
+    length, lo, hi = index.matching_statistics(text, starts + SIZE - 1, SIZE)
     smallest = np.repeat(least, n_windows)  # of a window that no other segment has
-    found = hi > lo
-    owner = np.repeat(least, size + 1)[index.suffixes]
+    found = length >= SIZE
     at, back = np.unique(lo[found], return_inverse=True)
     ends = np.zeros(len(at), np.int64)
     ends[back] = hi[found]
     if len(at):
         edges = np.stack((at, ends), 1).ravel()
-        smallest[found] = np.minimum.reduceat(np.append(owner, owner[-1]), edges)[::2][back]
+        smallest[found] = ids[np.minimum.reduceat(np.append(index.owners, index.owners[-1]), edges)[::2]][back]
 
     times = np.array([len(d) for d, _ in where])
     doc, start = np.concatenate([d for d, _ in where]), np.concatenate([s for _, s in where]).astype(np.int64)

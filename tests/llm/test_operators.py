@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from citeloom.llm import byte_bpe, decontaminate, importance_sampling, language_id, ngram_join, pii, quality_rules, secrets, substring_dedup, toxicity
+from citeloom.llm import fm_index, byte_bpe, decontaminate, importance_sampling, language_id, ngram_join, pii, quality_rules, secrets, substring_dedup, toxicity
 from citeloom.llm.common import chained, hash_words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -158,6 +158,22 @@ def test_overlap_bound_is_never_too_low():
         assert ngram_join.overlap_bound(ngram_join.bitmap(a), len(a), ngram_join.bitmap(b), len(b)) >= shared
 
 
+def test_matching_statistics_by_brute_force():
+    r = np.random.RandomState(2)
+    text = np.concatenate([np.append(r.randint(1, 4, n), 0) for n in r.randint(1, 30, 40)])
+    owners = r.randint(0, 9, len(text))
+    index = fm_index.FMIndex(text, 4, 6, owners)
+    ends = np.arange(len(text))
+    length, lo, hi = index.matching_statistics(text, ends, 6)
+    runs = lambda n: [tuple(text[i : i + n]) for i in range(len(text) - n + 1)]
+    for e in ends.tolist():
+        best = max((n for n in range(1, min(6, e + 1) + 1) if runs(n).count(tuple(text[e + 1 - n : e + 1])) > 1), default=0)
+        assert length[e] == best
+        if 0 < best:
+            places = [i for i, w in enumerate(runs(best)) if w == tuple(text[e + 1 - best : e + 1])]
+            assert sorted(index.owners[lo[e] : hi[e]]) == sorted(owners[places])
+
+
 def test_substring_dedup(docs, texts, empty):
     out, seen = by_id(substring_dedup.deduplicate(docs)), {}
     for k in sorted(texts):
