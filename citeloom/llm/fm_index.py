@@ -60,7 +60,7 @@ class FMIndex:
     def matching_statistics(self, text: np.ndarray, ends: np.ndarray, most: int, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(length, lo, hi) of the longest match that ends at each place of a streamed text.
 
-        A match is a run of up to ``most`` symbols that ``least`` suffixes of the index or more begin with;
+        A match is a run of up to ``most`` symbols, none of them 0, that ``least`` suffixes of the index or more begin with;
         lo and hi bound those suffixes.  Backward search adds one symbol to the left of all places that
         still match; the others keep what they had.
         """
@@ -73,7 +73,7 @@ class FMIndex:
             m = len(open_)
             both = self.tree.rank(np.concatenate((c, c)), np.concatenate((lo, hi)))
             lo, hi = self.before[c] + both[:m], self.before[c] + both[m:]
-            live = hi - lo >= least
+            live = (c > 0) & (hi - lo >= least)
             open_, lo, hi = open_[live], lo[live], hi[live]
             if not len(open_):
                 break

@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from citeloom.llm import fm_index, byte_bpe, decontaminate, importance_sampling, language_id, ngram_join, pii, quality_rules, secrets, substring_dedup, toxicity
+from citeloom.llm import byte_bpe, decontaminate, fm_index, importance_sampling, language_id, ngram_join, pii, quality_rules, secrets, substring_dedup, toxicity
 from citeloom.llm.common import chained, hash_words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -75,6 +75,27 @@ def test_language(spark, docs, empty):
     assert {r["lang_pred"] for r in language_id.predict(docs, none).collect()} == {"und"} and language_id.predict(empty, model).count() == 0
 
 
+def test_language_scores_by_brute_force(docs, texts):
+    model = language_id.fit(docs)
+    out = by_id(language_id.predict(docs, model))
+
+    def bucket(gram):
+        h = 0
+        for c in gram:
+            h = (h ^ ord(c)) * 0x9E3779B1 & 0xFFFFFFFF
+            h ^= h >> 15
+        return (h * 0x85EBCA6B & 0xFFFFFFFF) >> 18
+
+    for k, t in list(texts.items())[:25]:
+        if not t or len(t) > 20_000 or not any(map(str.isalpha, t)):
+            continue
+        padded, s = f" {t.lower()} ", model.log_prior.astype(float).copy()
+        for n in language_id.ORDERS:
+            for i in range(len(padded) - n + 1):
+                s += model.log_prob[bucket(padded[i : i + n])]
+        assert out[k]["lang_pred"] == model.languages[int(s.argmax())] and math.isclose(out[k]["score"], 1 / np.exp(s - s.max()).sum(), rel_tol=1e-6)
+
+
 def test_byte_bpe(docs, texts, empty):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
@@ -167,7 +188,8 @@ def test_matching_statistics_by_brute_force():
     length, lo, hi = index.matching_statistics(text, ends, 6)
     runs = lambda n: [tuple(text[i : i + n]) for i in range(len(text) - n + 1)]
     for e in ends.tolist():
-        best = max((n for n in range(1, min(6, e + 1) + 1) if runs(n).count(tuple(text[e + 1 - n : e + 1])) > 1), default=0)
+        own = [tuple(text[e + 1 - n : e + 1]) for n in range(1, min(6, e + 1) + 1)]
+        best = max((len(w) for w in own if 0 not in w and runs(len(w)).count(w) > 1), default=0)
         assert length[e] == best
         if 0 < best:
             places = [i for i, w in enumerate(runs(best)) if w == tuple(text[e + 1 - best : e + 1])]
@@ -346,6 +368,21 @@ def test_toxicity(spark, docs, empty):
     assert len({odd[k]["score"] for k in (0, 1, 2, 3, 4)}) == 1 and all(0 <= x["score"] <= 1 for x in odd.values())
     assert toxicity.fit(empty, labels.limit(0)).weights == {} and toxicity.score(empty, model).count() == 0
     model.exceptions = [" idiot savant "]
+
+    def expected(t):
+        padded = f" {' '.join(toxicity.fold(t))} "
+        at = lambda e: [i for i in range(len(padded)) if padded.startswith(e, i)]
+        spared = [(i, i + len(e)) for e in model.exceptions for i in at(e)]
+        hits = [e for e in model.weights for i in at(e) if not any(a <= i and i + len(e) <= b for a, b in spared)]
+        total, w = sum(model.weights[e] for e in hits), model.curve
+        x = w[0] + w[1] * math.log(1 + total) + w[2] * math.log(1 + 100 * total / (len(padded.split()) + 10)) + w[3] * math.log(1 + len(set(hits)))
+        return len(hits), 1 / (1 + math.exp(-x))
+
+    told = by_id(toxicity.score(own, model))
+    for k, t in rows[:40]:
+        hits, s = expected(t)
+        assert told[k]["hits"] == hits and math.isclose(told[k]["score"], s, rel_tol=1e-9)
+    assert expected("idiot savant idiot")[0] == 1
     spared = by_id(toxicity.score(spark.createDataFrame([(1, "an idiot savant"), (2, "an idiot")], "doc_id long, text string"), model))
     assert spared[1]["hits"] == 0 and spared[2]["hits"] == 1
 
