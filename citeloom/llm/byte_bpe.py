@@ -20,6 +20,7 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -86,6 +87,7 @@ class Codec:
         import sentencepiece
 
         self.find = regex.compile(pattern).findall
+        self.whole = pattern != public_tokenizers.PATTERN  # the cuts of _pieces hold for that pattern only
         self.ids = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(ranks))
         self.tokens = np.empty(len(ranks), object)
@@ -96,11 +98,12 @@ class Codec:
 
     def _pieces(self, text: str) -> list[str]:
         """The text cut at single spaces, the first part led by a mark; a text with white space beside a
-        space, at its start or at its end is left whole, led by another mark.
+        space, at its start or at its end is left whole, led by another mark, and so is every text under
+        another pattern.
 
         No match of the pattern holds a space after a character that isn't white space, so parts can be
         encoded apart, each with the space before it."""
-        if any(map(text.__contains__, _WIDE)) or text[:1].isspace() or text[-1:].isspace() or not text.isascii() and _OTHER_SPACE(text):
+        if self.whole or any(map(text.__contains__, _WIDE)) or text[:1].isspace() or text[-1:].isspace() or not text.isascii() and _OTHER_SPACE(text):
             return ["\n\n" + text]
         parts = text.split(" ")
         parts[0] = "\n" + parts[0]

@@ -96,6 +96,16 @@ def test_language_scores_by_brute_force(docs, texts):
         assert out[k]["lang_pred"] == model.languages[int(s.argmax())] and math.isclose(out[k]["score"], 1 / np.exp(s - s.max()).sum(), rel_tol=1e-6)
 
 
+@pytest.mark.parametrize("pattern", [r"\p{L}+|\P{L}+", r"\S+|\s+", r"[^\n]+\n?|\n"])
+def test_byte_bpe_of_another_pattern(texts, pattern):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
+    codec = byte_bpe.codec(path, pattern)
+    for t in ["", " a  b ", "one two, three", *[t for t in texts.values() if t and len(t) < 3000][:40]]:
+        ids = codec.encode(t)
+        assert ids.tolist() == own.encode_ordinary(t) and codec.decode(ids) == t.encode()
+
+
 def test_byte_bpe(docs, texts, empty):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
