@@ -129,6 +129,18 @@ def hash_words(buf: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.nda
     return mix64(h + (end - start).astype(np.uint64)), start, end
 
 
+_SPAN_VALUES = np.random.RandomState(20240301).randint(1, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+_SPAN_VALUES[65:91] = _SPAN_VALUES[97:123]
+
+
+def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of a byte buffer, white space included, with A-Z as a-z."""
+    p, q = _powers(len(buf))
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_SPAN_VALUES[buf] * p, out=total[1:])
+    return mix64((total[end] - total[start]) * q[start] + (end - start).astype(np.uint64))
+
+
 def slices(texts: list[bytes], most: int = 1 << 20):
     """Runs (first, last) of consecutive documents with about ``most`` bytes; a longer one stands alone."""
     first, held = 0, 0
