@@ -122,7 +122,8 @@ class Table:
     def __init__(self, rows: pa.Table, complete: bool):
         rows = rows.sort_by([("n", "descending"), ("lang", "ascending"), ("word", "ascending")])
         self.words = rows["word"].to_pylist()
-        self.n = np.asarray(rows["n"], np.int64)
+        #: Over how many parts of the buckets the fragments of each word are dealt.
+        self.spread = np.maximum(1, np.asarray(rows["n"], np.int64) // HOT)
         self.complete = complete
         self.key_of = _keyed(hash_words(np.frombuffer(b"\n".join(self.words), np.uint8))[0], rows["lang"].to_pylist())
         self.place = np.argsort(self.key_of)
@@ -209,7 +210,7 @@ def _send(shared, buckets: int):
         keys[known] = table.key_of[pivot[known]]
         keys[~known] = pivot[~known].astype(np.uint64)
         spread = np.ones(len(rows), np.uint64)
-        spread[known] = np.maximum(1, table.n[pivot[known]] // HOT).astype(np.uint64)
+        spread[known] = table.spread[pivot[known]].astype(np.uint64)
         content = mix64(rows.astype(np.uint64) @ (np.arange(_WIDTH, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)))
         bucket = (mix64(keys + content % spread) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -291,7 +292,7 @@ def _mine(shared, least: int):
             rows, n = _combined(rows, n)
             partial = np.zeros(len(rows), bool)
             known = rows[:, _SIDE] < size
-            partial[known] = table.n[rows[known, _SIDE]] >= 2 * HOT
+            partial[known] = table.spread[rows[known, _SIDE]] > 1
             word = lambda k: table.words[k] if k < size else names[k - size]  # noqa: B023, E731
             for length in range(2, LONGEST + 1):
                 for whole in (True, False):
