@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.operators.components import connected_components
 from citeloom.plans.checkpoint import cut
 
-#: Algorithms that hold a whole network in one process refuse more edges than this.
-MOST_LOCAL_EDGES = 2_000_000
 #: Rounds of label propagation in which any half of the nodes may move; later only nodes apart from each other.
 FREE_ROUNDS = 24
 
 
-class NetworkTooLarge(RuntimeError):
-    pass
-
-
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each edge in both directions: (a, b, weight)."""
     flat = edges.select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b"), "weight"), F.struct(F.col("dst").alias("a"), F.col("src").alias("b"), "weight"))).alias("x"))
@@ -152,170 +143,7 @@ def label_propagation(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     return labels.join(first, "label").select("node", F.col("first").alias("community"))
 
 
-# ----------------------------------------------------------------------------------------------
-# Algorithms that look at the whole network at once, for networks that one process can hold.
-
-
-def _adjacency(edges: DataFrame, most_edges: int) -> dict:
-    rows = edges.select("src", "dst", "weight").limit(most_edges + 1).collect()
-    if len(rows) > most_edges:
-        raise NetworkTooLarge(f"more than {most_edges} edges; raise min_weight, or use label propagation or components")
-    graph: dict = defaultdict(dict)
-    for r in sorted(rows):
-        graph[r["src"]][r["dst"]] = float(r["weight"])
-        graph[r["dst"]][r["src"]] = float(r["weight"])
-    return dict(graph)
-
-
-def _brandes(graph: dict, source) -> dict:
-    """Share of shortest paths from one source that pass through each node."""
-    order, before, paths, dist = [], defaultdict(list), defaultdict(float, {source: 1.0}), {source: 0}
-    queue = deque([source])
-    while queue:
-        v = queue.popleft()
-        order.append(v)
-        for w in graph[v]:
-            if w not in dist:
-                dist[w] = dist[v] + 1
-                queue.append(w)
-            if dist[w] == dist[v] + 1:
-                paths[w] += paths[v]
-                before[w].append(v)
-    through: dict = defaultdict(float)
-    for w in reversed(order):
-        for v in before[w]:
-            through[v] += paths[v] / paths[w] * (1 + through[w])
-    through.pop(source, None)
-    return through
-
-
-def betweenness(edges: DataFrame, most_edges: int = MOST_LOCAL_EDGES) -> DataFrame:
-    """(node, betweenness), unweighted and normalised.  Sources are dealt out; partial sums are added by node."""
-    spark = edges.sparkSession
-    graph = spark.sparkContext.broadcast(_adjacency(edges, most_edges))
-    n = len(graph.value)
-    nodes = degrees(edges).select("node")
-    kind = nodes.schema["node"].dataType.simpleString()
-
-    def run(batches):
-        total: dict = defaultdict(float)
-        for batch in batches:
-            for s in batch["node"]:
-                for v, x in _brandes(graph.value, s).items():
-                    total[v] += x
-        yield pd.DataFrame({"node": list(total), "x": list(total.values())})
-
-    parts = nodes.repartition(max(1, min(64, n // 50 + 1))).mapInPandas(run, f"node {kind}, x double").groupBy("node").agg(F.sum("x").alias("x"))
-    scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    return nodes.join(parts, "node", "left").select("node", (F.coalesce("x", F.lit(0.0)) * scale).alias("betweenness"))
-
-
-def modularity(graph: dict, community: dict, resolution: float = 1.0) -> float:
-    total = sum(sum(x.values()) for x in graph.values())
-    inside, strength = defaultdict(float), defaultdict(float)
-    for a, near in graph.items():
-        for b, w in near.items():
-            strength[community[a]] += w
-            if community[a] == community[b]:
-                inside[community[a]] += w
-    return sum(inside[c] / total - resolution * (strength[c] / total) ** 2 for c in strength) if total else 0.0
-
-
-def _local_moves(graph: dict, loops: dict, resolution: float, order: list) -> dict:
-    """Move nodes one at a time to the neighbouring community of highest gain until none moves."""
-    strength = {v: sum(near.values()) + 2 * loops.get(v, 0.0) for v, near in graph.items()}
-    total = sum(strength.values()) or 1.0
-    community, held = {v: v for v in graph}, dict(strength)
-    moving = True
-    while moving:
-        moving = False
-        for v in order:
-            to: dict = defaultdict(float)
-            for w, x in graph[v].items():
-                to[community[w]] += x
-            own = community[v]
-            held[own] -= strength[v]
-            best, gain = own, to.get(own, 0.0) - resolution * strength[v] * held[own] / total
-            for c in sorted(to, key=str):
-                g = to[c] - resolution * strength[v] * held[c] / total
-                if g > gain + 1e-12:
-                    best, gain = c, g
-            held[best] += strength[v]
-            community[v] = best
-            moving |= best != own
-    return community
-
-
-def louvain(edges: DataFrame, resolution: float = 1.0, seed: int = 0, most_edges: int = MOST_LOCAL_EDGES) -> dict:
-    """{node: community number} by local moves and merging, weighted; the order of visits follows the seed."""
-    import random
-
-    graph, loops = _adjacency(edges, most_edges), {}
-    member = {v: v for v in graph}
-    while graph:
-        order = sorted(graph, key=str)
-        random.Random(seed).shuffle(order)
-        community = _local_moves(graph, loops, resolution, order)
-        if len(set(community.values())) == len(graph):
-            break
-        member = {v: community[c] for v, c in member.items()}
-        merged: dict = {c: {} for c in set(community.values())}
-        rolled: dict = defaultdict(float)
-        for v, near in graph.items():
-            rolled[community[v]] += loops.get(v, 0.0)
-            for w, x in near.items():
-                a, b = community[v], community[w]
-                if a == b:
-                    rolled[a] += x / 2
-                else:
-                    merged[a][b] = merged[a].get(b, 0.0) + x
-        graph, loops = merged, dict(rolled)
-    return _numbered(member)
-
-
-def greedy_modularity(edges: DataFrame, most_edges: int = MOST_LOCAL_EDGES) -> dict:
-    """{node: community number}: the pair of communities whose union gains most is merged, until none gains."""
-    import heapq
-
-    graph = _adjacency(edges, most_edges)
-    m2 = float(sum(len(near) for near in graph.values())) or 1.0
-    size = {v: len(near) / m2 for v, near in graph.items()}
-    share = {v: {w: 1 / m2 for w in near} for v, near in graph.items()}
-    members, alive = {v: [v] for v in graph}, {v: 0 for v in graph}
-    gain = lambda a, b: 2 * (share[a][b] - size[a] * size[b])
-    heap = [(-gain(a, b), str(a), str(b), a, b, 0, 0) for a in share for b in share[a] if str(a) < str(b)]
-    heapq.heapify(heap)
-    while heap:
-        g, _, _, a, b, x, y = heapq.heappop(heap)
-        if alive.get(a) != x or alive.get(b) != y:
-            continue
-        if g >= -1e-12:
-            break
-        members[a] += members.pop(b)
-        size[a] += size.pop(b)
-        for w, s in share.pop(b).items():
-            if w != a:
-                share[a][w] = share[a].get(w, 0.0) + s
-                share[w][a] = share[a][w]
-                share[w].pop(b, None)
-        share[a].pop(b, None)
-        del alive[b]
-        alive[a] += 1
-        for w in share[a]:
-            p, q = (a, w) if str(a) < str(w) else (w, a)
-            heapq.heappush(heap, (-gain(p, q), str(p), str(q), p, q, alive[p], alive[q]))
-    return _numbered({v: c for c, vs in members.items() for v in vs})
-
-
-def _numbered(member: dict) -> dict:
-    """Communities numbered from 0 in the order of their smallest node."""
-    first: dict = {}
-    for v in sorted(member, key=str):
-        first.setdefault(member[v], len(first))
-    return {v: first[c] for v, c in member.items()}
-
-
-def _numbers(found: DataFrame) -> DataFrame:
+def numbered(found: DataFrame) -> DataFrame:
     """(community, n): communities numbered from 0 in their order, over range partitions and their counts."""
     ranged = found.select("community").distinct().repartitionByRange("community")
     placed = cut(ranged.withColumn("part", F.spark_partition_id()))
@@ -323,21 +151,3 @@ def _numbers(found: DataFrame) -> DataFrame:
     before = counts.select(F.col("part").alias("p"), "held").join(counts.select("part"), F.col("p") < F.col("part"), "right").groupBy("part").agg(F.coalesce(F.sum("held"), F.lit(0)).alias("before"))
     place = F.row_number().over(Window.partitionBy("part").orderBy("community"))
     return placed.join(before, "part").select("community", (F.col("before") + place - 1).alias("n"))
-
-
-METHODS = ("louvain", "label_prop", "greedy_modularity")
-
-
-def detect_communities(edges: DataFrame, method: str = "louvain", resolution: float = 1.0, seed: int = 0) -> DataFrame:
-    """(node, community) by the method named; label propagation runs distributed, the others locally."""
-    kind = edges.schema["src"].dataType.simpleString()
-    if method == "label_prop":
-        found = label_propagation(edges)
-        return found.join(_numbers(found), "community").select("node", F.col("n").alias("community"))
-    if method == "louvain":
-        found = louvain(edges, resolution, seed)
-    elif method == "greedy_modularity":
-        found = greedy_modularity(edges)
-    else:
-        raise ValueError(f"unknown community method {method!r}; there are {', '.join(METHODS)}")
-    return edges.sparkSession.createDataFrame(sorted(found.items()), f"node {kind}, community long")

@@ -21,6 +21,9 @@ PROJECTIONS = {
     NetworkKind.KEYWORD: ("keywords_id", False),
 }
 
+#: Nodes of a group that meet in one task as a block.
+BLOCK = 1024
+
 
 def exploded(corpus: DataFrame, column: str, name: str = "item") -> DataFrame:
     """(paper_id, item) for each list element; papers with null or empty lists have no rows."""
@@ -51,10 +54,27 @@ def incidence(corpus: DataFrame, kind: NetworkKind, scope: str = "full") -> Data
 
 
 def project(inc: DataFrame, min_weight: int = 1) -> DataFrame:
-    """(src, dst, weight) with src < dst: groups that two nodes share, from ``min_weight`` on."""
+    """(src, dst, weight) with src < dst: groups that two nodes share, from ``min_weight`` on.
+
+    A node in fewer groups than ``min_weight`` has no such edge and is left out before pairs are made.  The
+    members of a group of over ``BLOCK`` nodes are dealt to blocks by a hash, and each two of its blocks meet
+    in a tile of their own, so that no task makes more than about BLOCK ** 2 pairs of one group.  Tiles are
+    dealt to as many partitions as the session has for shuffles, and aren't coalesced by their bytes, which
+    say little about the pairs they make.
+    """
     pairs = inc.where("node is not null and grp is not null").distinct()
-    a, b = pairs.select("grp", F.col("node").alias("src")), pairs.select("grp", F.col("node").alias("dst"))
-    edges = a.join(b, "grp").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    if min_weight > 1:
+        busy = pairs.groupBy("node").agg(F.count("*").alias("m")).where(F.col("m") >= min_weight).select("node")
+        pairs = pairs.join(busy, "node", "left_semi")
+    sizes = pairs.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1")
+    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    dealt = pairs.join(sizes, "grp").select("grp", "node", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    tile = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
+    parts = int(inc.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = dealt.select("grp", *tile, "own", "node").repartition(parts, "grp", "i", "j").groupBy("grp", "i", "j")
+    sides = tiles.agg(*[F.collect_list(F.when(F.col("own") == F.col(k), F.col("node"))).alias(side) for k, side in (("i", "left"), ("j", "right"))])
+    met = sides.select("i", "j", "right", F.explode("left").alias("x")).select("i", "j", "x", F.explode("right").alias("y")).where("i < j or x < y")
+    edges = met.groupBy(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).agg(F.count("*").alias("weight"))
     return edges.where(F.col("weight") >= min_weight) if min_weight > 1 else edges
 
 

@@ -36,4 +36,15 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as Parquet in the shared folder: like :func:`cut`, but later readers take only the columns they need."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(table: DataFrame | None) -> None:
+    """Delete a table made by :func:`written` that nothing will read any more; others are left alone."""
+    path = getattr(table, "written_to", None)
+    if path is not None:
+        context = table.sparkSession.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions import identity, provenance as prov, text
-from citeloom.operators import aggregates, filters, graph, merge as merging, networks, preprocess, scent
+from citeloom.operators import aggregates, communities, filters, graph, merge as merging, networks, paths, preprocess, scent
 from citeloom.operators.components import connected_components
 from citeloom.plans import star
 from citeloom.schema import NetworkKind, conform
@@ -524,7 +524,7 @@ def abstract_rebuild(spark, d):
 
 @query()
 def louvain(spark, d):
-    return graph.detect_communities(networks.project(star.cocitation(spark, d)), "louvain")
+    return communities.detect_communities(networks.project(star.cocitation(spark, d)), "louvain")
 
 
 @query()
@@ -534,12 +534,12 @@ def label_propagation(spark, d):
 
 @query()
 def greedy_modularity(spark, d):
-    return graph.detect_communities(networks.project(star.authors(spark, d)), "greedy_modularity")
+    return communities.detect_communities(networks.project(star.authors(spark, d)), "greedy_modularity")
 
 
 @query()
 def betweenness(spark, d):
-    return graph.betweenness(networks.project(star.authors(spark, d)))
+    return paths.betweenness(networks.project(star.authors(spark, d)))
 
 
 @query()

@@ -1,12 +1,13 @@
 """Networks and measures on graphs small enough to work out by hand."""
 
-import math
+import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from citeloom.corpus import Corpus
-from citeloom.operators import aggregates, graph, networks
+from citeloom.operators import aggregates, communities, graph, networks, paths
 from citeloom.operators.components import connected_components
 from citeloom.schema import NetworkKind
 
@@ -57,7 +58,7 @@ def test_star_and_triangle(spark):
     assert (m["density"], m["components"], m["average_clustering"]) == (1.0, 1, 1.0)
     c = {r["node"]: r["degree_centrality"] for r in graph.degree_centrality(star).collect()}
     assert c[0] == 1.0 and c[1] == pytest.approx(1 / 3)
-    b = {r["node"]: r["betweenness"] for r in graph.betweenness(star).collect()}
+    b = {r["node"]: r["betweenness"] for r in paths.betweenness(star).collect()}
     assert b == {0: 1.0, 1: 0.0, 2: 0.0, 3: 0.0}
 
 
@@ -70,13 +71,13 @@ def test_assortativity_and_composition(spark):
     assert found == {(0, "N"): 1.0, (0, "S"): 0.0, (1, "N"): 0.0, (1, "S"): 1.0}
 
 
-@pytest.mark.parametrize("method", graph.METHODS)
+@pytest.mark.parametrize("method", communities.METHODS)
 def test_two_cliques_are_two_communities(spark, method):
     clique = [(a, b) for g in (range(5), range(5, 10)) for a in g for b in g if a < b]
     edges = graph_of(spark, [*clique, (4, 5)])
-    found = {r["node"]: r["community"] for r in graph.detect_communities(edges, method, seed=3).collect()}
+    found = {r["node"]: r["community"] for r in communities.detect_communities(edges, method, seed=3).collect()}
     assert found == {n: n // 5 for n in range(10)}
-    assert found == {r["node"]: r["community"] for r in graph.detect_communities(edges, method, seed=3).collect()}
+    assert found == {r["node"]: r["community"] for r in communities.detect_communities(edges, method, seed=3).collect()}
 
 
 def settled(pairs, found):
@@ -106,10 +107,9 @@ def test_labels_settle_where_only_nodes_apart_move(spark, monkeypatch):
         graph.label_propagation(graph_of(spark, pairs), most_rounds=1)
 
 
-def test_every_community_is_numbered(spark, monkeypatch):
-    monkeypatch.setattr(graph, "MOST_LOCAL_EDGES", 3)
+def test_every_community_is_numbered(spark):
     edges = graph_of(spark, [(2 * i, 2 * i + 1) for i in range(30)])
-    found = {r["node"]: r["community"] for r in graph.detect_communities(edges, "label_prop").collect()}
+    found = {r["node"]: r["community"] for r in communities.detect_communities(edges, "label_prop").collect()}
     assert found == {n: n // 2 for n in range(60)}
 
 
@@ -134,11 +134,109 @@ def test_cluster_table(spark):
     assert (b["size"], b["seeds"], b["candidates"], b["year_mean"]) == (2, 0, 2, 2020.5) and b["top_keywords"] == ["grafos", "redes"] and b["top_authors"] == ["Autor A", "Autor C"]
 
 
-def test_modularity_of_louvain_beats_single_nodes(spark):
-    edges = graph_of(spark, [(a, b) for a in range(12) for b in range(12) if a < b and (a * 7 + b * 3) % 4 == 0])
-    held = graph._adjacency(edges, 1000)
-    found = graph.louvain(edges)
-    assert graph.modularity(held, found) > graph.modularity(held, {v: v for v in held}) and not math.isnan(graph.modularity(held, found))
+def weighed(pairs, found):
+    """Modularity by its definition, over pairs of nodes."""
+    w, k = {}, Counter()
+    for a, b, x in pairs:
+        w[a, b] = w[b, a] = x
+        k[a] += x
+        k[b] += x
+    m2 = sum(k.values())
+    return sum(w.get((a, b), 0) - k[a] * k[b] / m2 for a in k for b in k if found[a] == found[b]) / m2
+
+
+def blocks(seed, n=60, groups=4):
+    r = random.Random(seed)
+    return [(a, b, r.randint(1, 3)) for a in range(n) for b in range(a + 1, n) if r.random() < (0.5 if a % groups == b % groups else 0.06)]
+
+
+@pytest.mark.parametrize("method", ["louvain", "greedy_modularity"])
+def test_levels_by_joins_are_as_good_as_one_task(spark, method, monkeypatch):
+    """Planted groups: moves and merges by joins alone come to about the same modularity."""
+    monkeypatch.setattr(communities, "MOST_ROUNDS", 3)
+    pairs = blocks(5, 40)
+    edges = spark.createDataFrame(pairs, "src long, dst long, weight long")
+    run = getattr(communities, method)
+    small, large = ({r["node"]: r["community"] for r in run(edges, one_task=k).collect()} for k in (10_000, 0))
+    planted = weighed(pairs, {n: n % 4 for n in range(40)})
+    assert weighed(pairs, small) > 0.8 * planted and weighed(pairs, large) > 0.6 * planted
+    if method == "louvain":
+        named = spark.createDataFrame(sorted(large.items()), "node long, community long")
+        assert communities.modularity(edges, named).first()[0] == pytest.approx(weighed(pairs, large))
+
+
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_communities_of_odd_networks(spark, one_task):
+    none = graph_of(spark, [(0, 1)]).limit(0)
+    assert communities.louvain(none, one_task=one_task).count() == communities.greedy_modularity(none, one_task=one_task).count() == 0
+    star = graph_of(spark, [(0, k) for k in range(1, 6)] + [(9, 8)])
+    for run in [communities.louvain, communities.greedy_modularity][: 2 if one_task else 1]:
+        found = {x["node"]: x["community"] for x in run(star, one_task=one_task).collect()}
+        assert found[8] == found[9] == 8 and all(found[x] < 8 for x in range(6))
+
+
+def brandes(pairs):
+    """Betweenness by its definition: the share of shortest paths between all other pairs."""
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    dist, paths = {}, {}
+    for s in near:
+        d, p, row = {s: 0}, Counter({s: 1}), [s]
+        for v in row:
+            for w in near[v]:
+                if w not in d:
+                    d[w] = d[v] + 1
+                    row.append(w)
+                if d[w] == d[v] + 1:
+                    p[w] += p[v]
+        dist[s], paths[s] = d, p
+    n, out = len(near), {}
+    for v in near:
+        total = sum(paths[s][v] * paths[v][t] / paths[s][t] for s in near for t in near if len({s, t, v}) == 3 and t in dist[s] and v in dist[s] and dist[s][v] + dist[v][t] == dist[s][t])
+        out[v] = total / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    return out
+
+
+@pytest.mark.parametrize("batch_rows", [None, 1500])
+def test_betweenness(spark, batch_rows):
+    r = random.Random(7)
+    pairs = sorted({(a, b) for a, b in ((r.randrange(25), r.randrange(25)) for _ in range(40)) if a < b} | {(100, 101), (101, 102), (102, 103), (200, 201)})
+    found = {x["node"]: x["betweenness"] for x in paths.betweenness(graph_of(spark, pairs), batch_rows).collect()}
+    assert found == pytest.approx(brandes(pairs))
+
+
+def test_betweenness_of_little(spark):
+    assert paths.betweenness(graph_of(spark, [(0, 1)]).limit(0)).count() == 0
+    assert {tuple(x) for x in paths.betweenness(graph_of(spark, [(0, 1)])).collect()} == {(0, 0.0), (1, 0.0)}
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_projection_of_heavy_groups(spark, monkeypatch, least):
+    """Groups of many blocks, repeated rows, nulls and nodes in one group give the edges of the plain definition."""
+    monkeypatch.setattr(networks, "BLOCK", 5)
+    r = random.Random(3)
+    rows = [(n, g) for g in range(6) for n in r.sample(range(60), (2, 3, 5, 11, 40, 60)[g])] + [(k, 100 + k) for k in range(20)] + [(None, 1), (7, None), (3, 5), (3, 5)]
+    inc = spark.createDataFrame(rows, "node long, grp long")
+    held = {}
+    for n, g in set(rows):
+        if n is not None and g is not None:
+            held.setdefault(g, []).append(n)
+    expected = Counter((a, b) for ns in held.values() for a in ns for b in ns if a < b)
+    found = {(x["src"], x["dst"]): x["weight"] for x in networks.project(inc, least).collect()}
+    assert found == {k: v for k, v in expected.items() if v >= least}
+
+
+def test_no_task_has_a_heavy_group_alone(spark, monkeypatch):
+    """Pairs of one group that holds all nodes are made in all partitions alike."""
+    monkeypatch.setattr(networks, "BLOCK", 50)
+    inc = spark.range(1000).selectExpr("id as node", "1 as grp")
+    edges = networks.project(inc)
+    assert edges.count() == 1000 * 999 // 2
+    inner = inc.selectExpr("grp", "node", "pmod(xxhash64(node), 20) as own").selectExpr("grp", "node", "own", "explode(sequence(0, 19)) as other").selectExpr("grp", "least(own, other) as i", "greatest(own, other) as j")
+    parts = [x["count"] for x in inner.repartition(4, "grp", "i", "j").groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(parts) == 4 and max(parts) < 2 * min(parts)
 
 
 def test_build_preview_says_why(spark):
