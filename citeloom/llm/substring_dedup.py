@@ -20,7 +20,9 @@ very many documents is combined in each task before it is sent.
 
 Defined results: null or blank text has no words; texts under SIZE words lose nothing; of equal documents
 the one with the smallest id keeps its words.  Repeats within a document are kept.  Ids are integers; rows
-with the same id count as one document for comparison and are reported each.
+with the same id count as one document for comparison, so that they take no words from each other; each is
+reported and loses the words that its own text has in common with smaller documents.  A row without an id is
+no document that others are compared with, and loses nothing.
 """
 
 from __future__ import annotations
@@ -151,9 +153,9 @@ def _marks(group: pa.Table) -> pa.Table:
 
 
 def _send_segments(tiles: int, shards: int):
-    """Rows (shard, words, sizes, docs, starts, times): different segments and where each occurs.
+    """Rows (shard, words, sizes, docs, texts, starts, times): different segments and where each occurs.
 
-    words: 32-bit word hashes; sizes: words in each segment; times: its occurrences in docs and starts."""
+    words: 32-bit word hashes; sizes: words in each segment; times: its occurrences in docs, texts (their hashes) and starts."""
 
     def pack(segments):
         by_shard: dict[int, list] = {}
@@ -161,18 +163,18 @@ def _send_segments(tiles: int, shards: int):
             by_shard.setdefault(shard, []).append((key, where))
         rows = []
         for shard, found in by_shard.items():
-            docs, starts = zip(*(w for _, where in found for w in where))
+            docs, own, starts = zip(*(w for _, where in found for w in where))
             rows.append((
                 shard, b"".join(k for k, _ in found), np.array([len(k) // 4 for k, _ in found], np.uint32).tobytes(),
-                np.array(docs, np.int64).tobytes(), np.array(starts, np.uint32).tobytes(), np.array([len(w) for _, w in found], np.uint32).tobytes(),
+                np.array(docs, np.int64).tobytes(), np.array(own, np.int64).tobytes(), np.array(starts, np.uint32).tobytes(), np.array([len(w) for _, w in found], np.uint32).tobytes(),
             ))
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k == 0 else pa.binary()) for k in range(6)], ["shard", "words", "sizes", "docs", "starts", "times"])
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k == 0 else pa.binary()) for k in range(7)], ["shard", "words", "sizes", "docs", "texts", "starts", "times"])
 
     def run(batches):
         segments: dict[bytes, tuple[int, list]] = {}
         held = 0
         for batch in batches:
-            ids, marks = batch.column(0).to_pylist(), batch.column(2)
+            ids, marks, hashes = batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist()
             for a, h, first, at, doc, code in _windows(to_bytes(batch.column(1)), tiles):
                 own = [np.sort(np.asarray(marks[a + i].values, np.int64)).view(np.uint64) for i in range(len(first) - 1)]
                 edge = np.append(_edges(doc, code), len(code))
@@ -193,10 +195,10 @@ def _send_segments(tiles: int, shards: int):
                     d = int(runs_doc[r])
                     key = words[lo[r] : hi[r]].tobytes()
                     if key in segments:
-                        segments[key][1].append((ids[a + d], int(lo[r] - first[d])))
-                        held += 3
+                        segments[key][1].append((ids[a + d], hashes[a + d], int(lo[r] - first[d])))
+                        held += 5
                     else:
-                        segments[key] = (int(shard[r]), [(ids[a + d], int(lo[r] - first[d]))])
+                        segments[key] = (int(shard[r]), [(ids[a + d], hashes[a + d], int(lo[r] - first[d]))])
                         held += len(key) // 4
                 if held > FLUSH:
                     yield pack(segments)
@@ -208,13 +210,13 @@ def _send_segments(tiles: int, shards: int):
 
 
 def _search(group: pa.Table) -> pa.Table:
-    """(doc_id, first, last): word intervals that windows of smaller documents cover."""
+    """(doc_id, h, first, last): word intervals that windows of smaller documents cover."""
     segments: dict[bytes, list] = {}
-    for _, words, sizes, docs, starts, times in zip(*(group.column(k).to_pylist() for k in range(6))):
-        docs, starts = np.frombuffer(docs, np.int64), np.frombuffer(starts, np.uint32)
+    for _, words, sizes, docs, texts, starts, times in zip(*(group.column(k).to_pylist() for k in range(7))):
+        docs, texts, starts = np.frombuffer(docs, np.int64), np.frombuffer(texts, np.int64), np.frombuffer(starts, np.uint32)
         end, p = 0, 0
         for size, n in zip(np.frombuffer(sizes, np.uint32).tolist(), np.frombuffer(times, np.uint32).tolist()):
-            segments.setdefault(words[4 * end : 4 * (end + size)], []).append((docs[p : p + n], starts[p : p + n]))
+            segments.setdefault(words[4 * end : 4 * (end + size)], []).append((docs[p : p + n], texts[p : p + n], starts[p : p + n]))
             end, p = end + size, p + n
     keys = list(segments)
     size = np.array([len(k) // 4 for k in keys])
@@ -225,8 +227,8 @@ def _search(group: pa.Table) -> pa.Table:
     inside = np.ones(len(text), bool)
     inside[head + size] = False
     text[inside] = symbols + 1
-    where = [(np.concatenate([d for d, _ in segments[k]]), np.concatenate([s for _, s in segments[k]])) for k in keys]
-    least = np.array([d.min() for d, _ in where], np.int64)
+    where = [[np.concatenate(x) for x in zip(*segments[k])] for k in keys]
+    least = np.array([d.min() for d, _, _ in where], np.int64)
 
     ids, by_age = np.unique(least, return_inverse=True)
     index = FMIndex(text, len(values) + 1, SIZE, np.repeat(by_age, size + 1))
@@ -243,8 +245,9 @@ def _search(group: pa.Table) -> pa.Table:
         edges = np.stack((at, ends), 1).ravel()
         smallest[found] = ids[np.minimum.reduceat(np.append(index.owners, index.owners[-1]), edges)[::2]][back]
 
-    times = np.array([len(d) for d, _ in where])
-    doc, start = np.concatenate([d for d, _ in where]), np.concatenate([s for _, s in where]).astype(np.int64)
+    times = np.array([len(d) for d, _, _ in where])
+    doc, own, start = (np.concatenate(x) for x in zip(*where))
+    start = start.astype(np.int64)
     segment = np.repeat(np.arange(len(keys)), times)
     per = n_windows[segment]
     offset = np.concatenate(([0], np.cumsum(per)))
@@ -254,11 +257,11 @@ def _search(group: pa.Table) -> pa.Table:
     edge = np.append(_edges(twice, occurrence), len(twice))
     runs = np.flatnonzero(twice[edge[:-1]])
     a, b = edge[:-1][runs], edge[1:][runs] - 1
-    return pa.table({"doc_id": doc[occurrence[a]], "first": start[occurrence[a]] + window[a], "last": start[occurrence[a]] + window[b] + SIZE})
+    return pa.table({"doc_id": doc[occurrence[a]], "h": own[occurrence[a]], "first": start[occurrence[a]] + window[a], "last": start[occurrence[a]] + window[b] + SIZE})
 
 
 def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, first, last): intervals of words that a smaller document repeats; they can overlap."""
+    """(doc_id, h, first, last): intervals of words that a smaller document repeats, in the text of that hash; they can overlap."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).where("doc_id is not null")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()["b"]
@@ -267,9 +270,9 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     shards = max(1, math.ceil(size / 8 / SHARD))
     anchors = rows.mapInArrow(_send_anchors(tiles), "tile long, codes binary, places binary, docs binary")
     marks = anchors.groupBy("tile").applyInArrow(_marks, "doc_id long, code long").groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
-    marked = rows.repartition(parts, "doc_id").join(marks, "doc_id").select("doc_id", "t", "codes")
-    segments = marked.mapInArrow(_send_segments(tiles, shards), "shard long, words binary, sizes binary, docs binary, starts binary, times binary")
-    return segments.groupBy("shard").applyInArrow(_search, "doc_id long, first long, last long")
+    marked = rows.repartition(parts, "doc_id").join(marks, "doc_id").select("doc_id", "t", "codes", F.xxhash64("t").alias("h"))
+    segments = marked.mapInArrow(_send_segments(tiles, shards), "shard long, words binary, sizes binary, docs binary, texts binary, starts binary, times binary")
+    return segments.groupBy("shard").applyInArrow(_search, "doc_id long, h long, first long, last long")
 
 
 def _kept(batches):
@@ -295,7 +298,7 @@ def _kept(batches):
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text) for each document."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    spans = repeated(docs, text, doc_id).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    joined = rows.join(spans, "doc_id", "left").select("doc_id", "t", "spans")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    spans = repeated(docs, text, doc_id).groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    joined = rows.join(spans, ["doc_id", "h"], "left").select("doc_id", "t", "spans")
     return joined.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

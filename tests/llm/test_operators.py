@@ -219,6 +219,26 @@ def test_substring_dedup(docs, texts, empty):
     assert sum(r["n_removed"] for r in out.values()) > 500 and substring_dedup.deduplicate(empty).count() == 0
 
 
+def test_substring_dedup_of_repeated_and_null_ids(spark):
+    """A window goes only where a smaller id has it, in the text that holds it, however often and with what else an id occurs."""
+    shared, other = sentences(1, 30, "abcdefgh").split(), sentences(2, 40, "klmnop").split()
+    rows = [
+        (1, [*shared, "tail"]), (2, ["head", *shared]), (2, other), (2, other), (3, [*other, *shared]), (3, [*sentences(3, 20, "xyz").split(), *other]),
+        (None, shared), (None, other), (5, sentences(4, 50, "rst").split()), (5, sentences(4, 50, "rst").split()),
+    ]
+    seen: dict = {}
+    for i, w in rows:
+        for k in range(len(w) - 12):
+            if i is not None:
+                seen.setdefault(tuple(w[k : k + 13]), set()).add(i)
+    expected = []
+    for i, w in rows:
+        gone = {j for k in range(len(w) - 12) if i is not None and min(seen[tuple(w[k : k + 13])]) < i for j in range(k, k + 13)}
+        expected.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest()))
+    found = substring_dedup.deduplicate(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)).drop("kept_text").collect()
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, expected)) and [x[2] for x in expected] == [0, 30, 0, 0, 70, 40, 0, 0, 0, 0]
+
+
 def test_decontamination(spark, docs, texts, empty):
     items = [(k, t) for k, t in enumerate([" ".join(WORD.findall(texts[k])[5:40]) for k in (12, 31, 60)] + ["not there at all in any text", "", None, "ONE", "日本 🎉"])]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -262,7 +282,7 @@ def test_secrets(spark, docs, texts, empty):
         assert out[k]["base_sha256"] == hashlib.sha256(",".join(f"{('assign', 'access', 'hex')[b]}:{a}:{c}" for a, b, c in want).encode()).hexdigest()
         assert [out[k][f"n_{n}"] for n in ("assign", "access", "hex")] == [sum(b == j for _, b, _ in want) for j in range(3)]
     assert out[1003]["spans"] == "novel:7:31" and out[1004]["n_novel"] == 0
-    assert (out[1004]["n_measured"], out[1004]["n_placeholder"]) == (1, 1) and out[1003]["n_placeholder"] == 0
+    assert out[1000]["n_measured"] == 2 and out[1000]["n_placeholder"] >= 1 and (out[1003]["n_measured"], out[1003]["n_placeholder"]) == (1, 0)
     clean = by_id(secrets.scan_documents(more, redact="[X]"))
     assert clean[1003]["text"] == "bearer [X] done" and "abcdefghijkl" not in clean[1000]["text"] and secrets.scan_documents(empty).count() == 0
 
