@@ -1,11 +1,12 @@
 """PII: base patterns, and bootstrapped contextual extraction of what they miss.  DataFrame functions only.
 
 Base matches (e-mail, IPv4, payment card, phone) are the seed entities.  Identifier-like words (a digit or
-``@`` in them) outside the seeds are candidates.  Both stand in lexical patterns: the word before them,
-the two words before them, and the word after them.  Patterns and instances (the strings themselves) form a bipartite graph that Spark scores
-iteratively: a pattern's confidence is the mean confidence of its distinct instances, shrunk by
-``PRIOR`` virtual doubtful ones; an unseeded instance is as sure as its patterns on average.  Candidates
-in a pattern of high confidence with enough different seeds become ``context`` spans.
+``@`` in them) outside the seeds, and outside what a base rule has examined and refused, are candidates.  Both
+stand in lexical patterns: the word before them, the two words before them, and the word after them.  Patterns
+and instances (the strings themselves) form a bipartite graph that Spark scores iteratively: a pattern's
+confidence is the sure share of all words that stand in its place in the corpus, ordinary words included,
+shrunk by ``PRIOR`` virtual doubtful ones; an unseeded instance is as sure as its patterns on average.
+Candidates in a pattern of high confidence with enough different seeds become ``context`` spans.
 
 Positions of all matches come from ``split`` and ``regexp_extract_all`` by the same pattern: lengths of
 pieces and matches add up to offsets, in code points.  Sums and maxima along an array go block by block
@@ -48,6 +49,8 @@ PRIOR = 2.0
 LEAST_CONFIDENCE = 0.6
 LEAST_SEEDS = 3
 LEAST_SIGNS = 6
+#: Patterns are broadcast to count their places up to this size in bytes; beyond it they are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 #: Characters on either side that are looked at for the words around a match: a lexical pattern is that close.
 REACH = 200
 
@@ -78,6 +81,12 @@ _VALID = {
     "card": lambda m: F.when(F.length(_digits(m)).between(14, 19), _luhn(m)).otherwise(False),
     "phone": lambda m: F.length(_digits(m)).between(10, 15),
 }
+# What a base rule refuses for what it is: a number that looks like a card, an address or a phone and isn't one.
+_REFUSED = {
+    "ip": lambda m: ~_VALID["ip"](m),
+    "card": lambda m: F.when(F.length(_digits(m)).between(14, 19), ~_luhn(m)).otherwise(False),
+    "phone": lambda m: ~_VALID["phone"](m),
+}
 _SPAN = "array<struct<s:int,e:int,m:string,l:array<string>>>"
 _GAP, _IN = r"[\x20\x09-\x0D]++", r"[^\x20\x09-\x0D]++"
 
@@ -154,9 +163,9 @@ def _outside(words: Column, base: Column) -> Column:
     return _let(F.array_sort(F.concat(F.transform(base, lambda x: event(x, 0)), F.transform(words, lambda x: event(x, 1)))), kept)
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    found = F.filter(_located(text, PATTERNS[kind]), lambda x: _VALID[kind](x["m"]))
-    return F.when(_MAYBE[kind](text), found).otherwise(F.array().cast(_SPAN))
+def base_matches(text: Column, kind: str) -> Column:
+    """All matches of a base pattern, valid or not."""
+    return F.when(_MAYBE[kind](text), _located(text, PATTERNS[kind])).otherwise(F.array().cast(_SPAN))
 
 
 def _of_kind(number: int, kind: str) -> Column:
@@ -170,29 +179,51 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     """Checkpointed (doc_id, h, base, candidates): what the texts hold, before any scoring."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     for kind in PATTERNS:
-        rows = rows.withColumn(kind, base_spans(F.col("t"), kind))
+        rows = rows.withColumn(kind, base_matches(F.col("t"), kind))
+    for kind in PATTERNS:
+        rows = rows.withColumn(f"no_{kind}", F.filter(kind, lambda x: _REFUSED[kind](x["m"])) if kind in _REFUSED else F.array().cast(_SPAN))  # noqa: B023
+        rows = rows.withColumn(kind, F.filter(kind, lambda x: _VALID[kind](x["m"])))  # noqa: B023
+    rows = rows.withColumn("examined", F.concat(*[f"{no}{kind}" for kind in PATTERNS for no in ("", "no_")]))
     rows = rows.withColumn("base", F.array_sort(F.concat(*[_of_kind(n, kind) for n, kind in enumerate(PATTERNS)])))
     words = F.when(F.col("t").rlike("[0-9@]"), _located(F.col("t"), CANDIDATE)).otherwise(F.array().cast(_SPAN))
     rows = rows.withColumn("words", F.filter(words, lambda w: (F.length(w["m"]) >= LEAST_SIGNS) & (F.size(w["l"]) > 0)))
-    return cut(rows.select("doc_id", F.xxhash64("t").alias("h"), "base", F.when(F.size("words") > 0, _outside(F.col("words"), F.col("base"))).otherwise(F.array().cast(_SPAN)).alias("candidates")))
+    return cut(rows.select("doc_id", F.xxhash64("t").alias("h"), "base", F.when(F.size("words") > 0, _outside(F.col("words"), F.col("examined"))).otherwise(F.array().cast(_SPAN)).alias("candidates")))
+
+
+def places(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(pattern, places): how many words of all ``texts`` (t) stand where each of the ``wanted`` patterns has its instance."""
+    words = texts.where("t is not null").select(F.filter(F.split(F.lower("t"), _GAP), lambda w: w != "").alias("w")).where("size(w) > 1")
+    n = F.size("w")
+    keys = F.concat(
+        F.transform(F.slice("w", 1, n - 1), lambda x: F.concat(F.lit("1 "), x)),
+        F.zip_with(F.slice("w", 1, n - 2), F.slice("w", 2, n - 2), lambda x, y: F.concat(F.lit("2 "), x, F.lit(" "), y)),
+        F.transform(F.slice("w", 2, n - 1), lambda x: F.concat(F.lit("3 "), x)),
+    )
+    size = wanted.agg(F.coalesce(F.sum(F.octet_length("pattern") + 32), F.lit(0)).alias("b")).first()["b"]
+    lookup = wanted.select("pattern")
+    found = words.select(F.explode(keys).alias("pattern")).join(F.broadcast(lookup) if size <= BROADCAST_BYTES else lookup, "pattern")
+    return found.groupBy("pattern").agg(F.count("*").alias("places"))
 
 
-def patterns(scanned: DataFrame) -> DataFrame:
-    """(pattern, confidence, seeds): the graph of patterns and instances, scored ROUNDS times."""
+def patterns(scanned: DataFrame, texts: DataFrame) -> DataFrame:
+    """(pattern, confidence, seeds): the graph of patterns and instances, scored ROUNDS times.
+
+    Only patterns with LEAST_SEEDS different seeds can be trusted; the others are left out.
+    """
     def seen(column: str, seed: int) -> DataFrame:
         spans = scanned.select(F.explode(column).alias("x")).select(F.col("x.m").alias("instance"), F.explode("x.l").alias("pattern"))
         return spans.select("pattern", "instance", F.lit(seed).alias("seed"))
 
-    edges = cut(seen("base", 1).unionByName(seen("candidates", 0)).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    instances = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("sure"), F.max("seed").alias("seed"))
+    edges = cut(seen("base", 1).unionByName(seen("candidates", 0)).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")))
+    wanted = cut(edges.groupBy("pattern").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= LEAST_SEEDS))
+    held = cut(wanted.join(places(texts, wanted), "pattern", "left"))
+    edges = cut(edges.join(wanted.select("pattern"), "pattern", "left_semi"))
+    instances = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("sure"))
     scored = None
     for _ in range(ROUNDS):
-        scored = edges.join(instances.select("instance", "sure"), "instance").groupBy("pattern").agg(
-            (F.sum("sure") / (F.count("*") + PRIOR)).alias("confidence"), F.sum("seed").alias("seeds")
-        )
-        instances = edges.join(scored, "pattern").groupBy("instance").agg(
-            F.when(F.max("seed") == 1, 1.0).otherwise(F.avg("confidence")).alias("sure"), F.max("seed").alias("seed")
-        )
+        sums = edges.join(instances, "instance").groupBy("pattern").agg(F.sum(F.col("sure") * F.col("n")).alias("sure"), F.sum("n").alias("n"))
+        scored = held.join(sums, "pattern").select("pattern", "seeds", (F.col("sure") / (F.greatest(F.coalesce("places", F.lit(0)), "n") + PRIOR)).alias("confidence"))
+        instances = edges.join(scored, "pattern").groupBy("instance").agg(F.when(F.max("seed") == 1, 1.0).otherwise(F.avg("confidence")).alias("sure"))
     return cut(scored)
 
 
@@ -204,7 +235,7 @@ def _joined(spans: Column) -> Column:
 def detect(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, n_context, base_sha256, spans) for each row of ``docs``."""
     scanned = scan(docs, text, doc_id)
-    trusted = patterns(scanned).where((F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("seeds") >= LEAST_SEEDS)).select("pattern")
+    trusted = patterns(scanned, docs.select(F.col(text).alias("t"))).where((F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("seeds") >= LEAST_SEEDS)).select("pattern")
     spans = "struct<s:int,k:int,e:int>"
     found = (
         scanned.select("doc_id", "h", F.explode("candidates").alias("x")).select("doc_id", "h", "x", F.explode("x.l").alias("pattern")).join(trusted, "pattern")

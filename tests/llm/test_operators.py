@@ -381,6 +381,21 @@ def test_pii_recall_of_planted_identifiers(spark):
     assert all(out[1000 + k]["spans"] == "" for k in range(50))
 
 
+def test_pii_trusts_no_place_of_ordinary_words_and_no_refused_number(spark):
+    """Patterns by brute force: what stands behind "id:" is mostly identifiers, what stands behind "the" is not."""
+    r = random.Random(4)
+    rows = [(k, f"the mail id: user{k}@mail.example.org of the house and the garden, the {'user' + str(k) + '@mail.example.org' if k % 4 == 0 else 'tree'} there") for k in range(80)]
+    rows += [(100, "see id: 4539148803436468 there"), (101, "see id: 300.1.1.1 there"), (102, "see id: +1234567 there"), (103, "see id: kx77-4410-b there"), (104, "see the kx77-4410-b there"), (105, "read the 88a41x0 there")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scored = {x["pattern"]: x for x in pii.patterns(pii.scan(docs), docs.selectExpr("text as t")).collect()}
+    words = [t.lower().split() for _, t in rows]
+    behind = lambda w: sum(x == w for ws in words for x in ws[:-1])
+    assert scored["1 the"]["seeds"] == 20 and scored["1 the"]["confidence"] < 22 / (behind("the") + pii.PRIOR) + 1e-9 < 0.1
+    assert scored["1 id:"]["confidence"] > 80 / (behind("id:") + pii.PRIOR) - 1e-9 > 0.9
+    out = by_id(pii.detect(docs))
+    assert [out[k]["n_context"] for k in range(100, 106)] == [0, 0, 0, 1, 0, 0] and all(out[k]["n_context"] == 0 for k in range(80))
+
+
 def test_pii_is_not_quadratic_in_the_matches(spark):
     text = "id 100000 " * 30_000 + "1.2.3.4 " * 3_000
     began = time.time()
