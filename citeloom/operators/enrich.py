@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.functions.text import last_segment
 from citeloom.operators import scent
 from citeloom.operators.networks import exploded
 
@@ -25,12 +26,44 @@ def references_metric(corpus: DataFrame, lookup: DataFrame) -> DataFrame:
     return refs.join(known, "ref", "left").agg(F.count("*").alias("total"), F.count("hit").alias("resolved"))
 
 
+def _targets(corpus: DataFrame) -> DataFrame:
+    """Accepted seeds that have a source id, by its short form."""
+    return corpus.where("is_seed and curation_status = 'accepted'").select(last_segment(F.col("source_id")).alias("target")).where("target is not null")
+
+
 def cited_by(corpus: DataFrame, works: DataFrame, cap: int | None = None, since: str | None = None) -> DataFrame:
-    """``cited_by_id`` of the seeds grown by the works that cite them, at most ``cap`` for each."""
-    targets = corpus.where("is_seed and source_id is not null").select(F.col("source_id").alias("target"))
-    grown = scent.cited_by_updates(corpus, scent.citing_batch(works, targets, cap, since)).select(F.col("id").alias("_i"), F.col("cited_by_id").alias("_c"))
-    joined = corpus.join(grown, F.col("id") == F.col("_i"), "left")
-    return joined.withColumn("cited_by_id", F.coalesce("_c", "cited_by_id")).drop("_i", "_c")
+    """``cited_by_id`` of the accepted seeds united with the works that cite them, sorted, at most ``cap`` in all.
+
+    Papers are known by the last segment of their source id, so that a URL will do.  An accepted seed that
+    nothing cites gets an empty list; all other papers keep what they have.  (Chaining grows the lists of all
+    seeds instead: :func:`citeloom.operators.scent.grown_lists`.)
+    """
+    targets = _targets(corpus).distinct()
+    none = F.array().cast("array<string>")
+    found = targets.join(scent.citing_batch(works, targets, cap, since), "target", "left").select(F.col("target").alias("_t"), F.coalesce("citers", none).alias("_c"))
+    joined = corpus.join(found, last_segment(F.col("source_id")) == F.col("_t"), "left")
+    union = F.array_sort(F.array_union(F.coalesce("cited_by_id", none), "_c"))
+    return joined.withColumn("cited_by_id", F.when(F.col("_t").isNotNull(), union if cap is None else F.slice(union, 1, cap)).otherwise(F.col("cited_by_id"))).drop("_t", "_c")
+
+
+def cited_by_metric(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: accepted seeds that were looked up, and how many citers the pass has added to lists."""
+    none = F.array().cast("array<string>")
+    old = before.select("id", F.coalesce("cited_by_id", none).alias("_o"))
+    new = after.join(old, "id").agg(F.coalesce(F.sum(F.size(F.array_except(F.coalesce("cited_by_id", none), "_o"))), F.lit(0)).cast("long").alias("resolved"))
+    return _targets(before).agg(F.count("*").alias("total")).crossJoin(new)  # one row each
+
+
+def records(before: DataFrame, after: DataFrame, lookup: DataFrame | None, passes: tuple[str, ...] = PASSES) -> dict[str, dict]:
+    """What each pass has resolved, of how many, for a manifest."""
+    out = {}
+    if "references" in passes:
+        row = references_metric(before, lookup).first()
+        out["references_doi"] = {"resolved": row["resolved"], "total_unique_refs": row["total"]}
+    if "cited_by" in passes:
+        row = cited_by_metric(before, after).first()
+        out["cited_by"] = {"resolved": row["resolved"], "total": row["total"]}
+    return out
 
 
 def enrich(corpus: DataFrame, works: DataFrame, lookup: DataFrame, passes: tuple[str, ...] = PASSES, cap: int | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.operators.networks import exploded
@@ -36,8 +36,6 @@ def citing_batch(works: DataFrame, targets: DataFrame, cap: int | None = None, s
 
     ``works`` has id, references_id and, for ``since``, publication_date.
     """
-    from pyspark.sql import Window
-
     rows = works if since is None else works.where(F.col("publication_date") >= F.lit(since))
     refs = rows.select(F.col("id").alias("citer"), F.explode("references_id").alias("target")).distinct()
     hits = refs.join(targets.select("target").distinct(), "target")
@@ -46,13 +44,17 @@ def citing_batch(works: DataFrame, targets: DataFrame, cap: int | None = None, s
     return hits.groupBy("target").agg(F.array_sort(F.collect_list("citer")).alias("citers"))
 
 
-def forward_scores(corpus: DataFrame, works: DataFrame, since: str | None = None) -> DataFrame:
-    """(id, scent): papers outside the corpus by the number of different seeds that they cite."""
+def forward_scores(corpus: DataFrame, works: DataFrame, since: str | None = None, cap: int | None = None) -> DataFrame:
+    """(id, scent): papers outside the corpus by the number of different seeds that they cite; of each seed's
+    citers the first ``cap`` by id."""
     own = known_ids(corpus)
     seeds = corpus.where("is_seed").select(F.col("id").alias("seed"), F.explode(F.array("id", "source_id")).alias("target")).where("target is not null").distinct()
     rows = works if since is None else works.where(F.col("publication_date") >= F.lit(since))
     refs = rows.select("id", F.explode("references_id").alias("target")).distinct()
-    hits = refs.join(seeds, "target").select("id", "seed").distinct().groupBy("id").agg(F.count("*").alias("scent"))
+    pairs = refs.join(seeds, "target").select("id", "seed").distinct()
+    if cap is not None:
+        pairs = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("seed").orderBy("id"))).where(F.col("_n") <= cap)
+    hits = pairs.groupBy("id").agg(F.count("*").alias("scent"))
     return hits.join(own, hits["id"] == own["ref"], "left_anti")
 
 
@@ -69,14 +71,14 @@ def ranked(scent: DataFrame, limit: int | None = None) -> DataFrame:
     return out if limit is None else out.limit(limit)
 
 
-def chain(corpus: DataFrame, works: DataFrame | None = None, direction: str = "both", limit: int | None = None, since: str | None = None, depth: int = 1) -> DataFrame:
-    """(id, scent, backward_only) of the best candidates in one or both directions."""
+def chain(corpus: DataFrame, works: DataFrame | None = None, direction: str = "both", limit: int | None = None, since: str | None = None, depth: int = 1, cap: int | None = None) -> DataFrame:
+    """(id, scent, backward_only) of the best candidates in one or both directions; ``cap`` citers of a seed count."""
     if depth > 1:
         raise NotImplementedError("chaining goes one hop at a time")
     if direction not in ("backward", "forward", "both"):
         raise ValueError(f"unknown direction {direction!r}")
     back = backward_scent(corpus) if direction != "forward" else None
-    fore = forward_scores(corpus, works, since) if direction != "backward" and works is not None else None
+    fore = forward_scores(corpus, works, since, cap) if direction != "backward" and works is not None else None
     parts = [p for p in (back, fore) if p is not None]
     if not parts:
         raise ValueError("forward chaining needs works")
@@ -113,6 +115,14 @@ def cited_by_updates(corpus: DataFrame, citers: DataFrame, cap: int | None = Non
     return joined.where("old <> cited_by_id").select("id", "cited_by_id")
 
 
+def grown_lists(corpus: DataFrame, works: DataFrame, cap: int | None = None, since: str | None = None) -> DataFrame:
+    """The corpus after a forward step: citing lists of all seeds grown by at most ``cap`` works for each."""
+    targets = corpus.where("is_seed and source_id is not null").select(F.col("source_id").alias("target"))
+    grown = cited_by_updates(corpus, citing_batch(works, targets, cap, since)).select(F.col("id").alias("_i"), F.col("cited_by_id").alias("_c"))
+    joined = corpus.join(grown, F.col("id") == F.col("_i"), "left")
+    return joined.withColumn("cited_by_id", F.coalesce("_c", "cited_by_id")).drop("_i", "_c")
+
+
 def references_doi(corpus: DataFrame, lookup: DataFrame) -> DataFrame:
     """(id, references_doi): the DOI of each reference in its place, null where the lookup has none."""
     refs = corpus.select("id", F.posexplode("references_id").alias("pos", "ref"))

@@ -287,17 +287,57 @@ def references_metric(spark, d):
     return enrich.references_metric(star.papers(spark, d), lookup)
 
 
-@query(f"""WITH c AS (SELECT DISTINCT l_partkey AS t, 'o' || l_orderkey AS o FROM lineitem JOIN orders ON o_orderkey = l_orderkey), r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY o) AS n FROM c), a AS (SELECT t, string_agg(o, ',' ORDER BY o) AS v FROM r WHERE n <= 10 GROUP BY 1)
-SELECT 'p' || p_partkey AS id, CASE WHEN p_size <= 25 THEN v END AS cited_by, CASE WHEN p_partkey % 3 = 0 THEN '10.1/' || p_size || ',-' ELSE '-,-' END AS dois FROM part LEFT JOIN a ON t = p_partkey""")
-def enrich_both(spark, d):
-    """Both passes of the dispatcher: DOIs of the references in their places, citing lists of the seeds."""
-    size = star.table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), "p_size", "p_partkey")
-    corpus = _seeded(spark, d).join(size, "id").withColumn("references_id", F.array(F.concat(F.when(F.col("p_partkey") % 3 == 0, "s").otherwise("t"), F.col("p_size").cast("string")), F.lit("far"))).drop("p_size", "p_partkey").withColumn("cited_by_id", F.lit(None).cast("array<string>"))
+_CITERS = """c AS (SELECT DISTINCT l_partkey AS t, 'o' || l_orderkey AS o FROM lineitem JOIN orders ON o_orderkey = l_orderkey), r AS (SELECT t, o, row_number() OVER (PARTITION BY t ORDER BY o) AS n FROM c),
+acc AS (SELECT p_partkey AS t FROM part WHERE p_size <= 25 AND p_partkey % 3 = 0), old AS (SELECT p_partkey AS t, unnest(['a' || p_partkey, 'z' || p_partkey]) AS o FROM part WHERE p_partkey % 2 = 0),
+u AS (SELECT t, o FROM r WHERE n <= 10 AND t IN (SELECT t FROM acc) UNION SELECT t, o FROM old WHERE t IN (SELECT t FROM acc)), k AS (SELECT t, o, row_number() OVER (PARTITION BY t ORDER BY o) AS n FROM u)"""
+
+
+def _to_enrich(spark, d):
+    """Parts with references, a third of them accepted, half of them with a citing list, a fifth with URLs as source ids."""
+    size = star.table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), "p_size", F.col("p_partkey").alias("k"))
+    joined = _seeded(spark, d).join(size, "id")
+    k = F.col("k").cast("string")
+    refs = F.array(F.concat(F.when(F.col("k") % 3 == 0, "s").otherwise("t"), F.col("p_size").cast("string")), F.lit("far"))
+    corpus = joined.withColumn("references_id", refs).withColumn("curation_status", F.when(F.col("k") % 3 == 0, "accepted").otherwise("candidate"))
+    corpus = corpus.withColumn("cited_by_id", F.when(F.col("k") % 2 == 0, F.array(F.concat(F.lit("a"), k), F.concat(F.lit("z"), k))))
+    corpus = corpus.withColumn("source_id", F.when(F.col("k") % 5 == 0, F.concat(F.lit("https://works.example.org/"), k)).otherwise(k))
     lookup = size.select(F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("id"), F.concat(F.lit("10.1/"), F.col("p_size").cast("string")).alias("doi")).distinct()
+    return corpus.drop("p_size", "k"), lookup
+
+
+@query(f"""WITH {_CITERS}, grown AS (SELECT t, string_agg(o, ',' ORDER BY o) AS v FROM k WHERE n <= 10 GROUP BY 1), kept AS (SELECT t, string_agg(o, ',' ORDER BY o) AS v FROM old GROUP BY 1)
+SELECT 'p' || p_partkey AS id, CASE WHEN p_partkey IN (SELECT t FROM acc) THEN coalesce(grown.v, '') ELSE kept.v END AS cited_by, CASE WHEN p_partkey % 3 = 0 THEN '10.1/' || p_size || ',-' ELSE '-,-' END AS dois FROM part LEFT JOIN grown ON grown.t = p_partkey LEFT JOIN kept ON kept.t = p_partkey""")
+def enrich_both(spark, d):
+    """Both passes: DOIs of the references in their places; citing lists of accepted seeds, united with what they
+    hold and capped at ten, while seeds that are candidates keep theirs."""
+    corpus, lookup = _to_enrich(spark, d)
     out = enrich.enrich(corpus, _dated(spark, d), lookup, cap=10)
     return out.select("id", F.array_join("cited_by_id", ",").alias("cited_by"), F.array_join("references_doi", ",", "-").alias("dois"))
 
 
+@query(f"WITH {_CITERS} SELECT (SELECT count(*) FROM acc) AS total, (SELECT count(*) FROM k WHERE n <= 10 AND (t, o) NOT IN (SELECT t, o FROM old)) AS resolved")
+def enrich_cited_by_metric(spark, d):
+    """What the pass over citing lists records: accepted seeds, and citers that it has added."""
+    corpus, _ = _to_enrich(spark, d)
+    return enrich.cited_by_metric(corpus, enrich.cited_by(corpus, _dated(spark, d), 10))
+
+
+@query(f"""WITH {_CITERS}, e AS (SELECT t, o FROM r WHERE n <= 10 UNION SELECT t, o FROM old), m AS (SELECT t, o, row_number() OVER (PARTITION BY t ORDER BY o) AS n FROM e WHERE t IN (SELECT t FROM acc) AND t IN (SELECT t FROM c) AND t % 5 <> 0)
+SELECT 'p' || t AS id, string_agg(o, ',' ORDER BY o) AS cited_by FROM m WHERE n <= 4 GROUP BY 1""")
+def citing_lists_capped(spark, d):
+    """Citing lists of accepted seeds after a forward step, cut to four; source ids are compared as they stand."""
+    corpus, _ = _to_enrich(spark, d)
+    citers = scent.citing_batch(_dated(spark, d), corpus.select(F.col("source_id").alias("target")), 10)
+    return scent.cited_by_updates(corpus, citers, cap=4, accepted_only=True).select("id", F.array_join("cited_by_id", ",").alias("cited_by"))
+
+
+@query(f"""WITH {REFS}, {_SEEDS}, h AS (SELECT DISTINCT part, 'o' || paper AS o FROM refs JOIN seeds USING (part) JOIN orders ON o_orderkey = paper), n AS (SELECT o, row_number() OVER (PARTITION BY part ORDER BY o) AS n FROM h)
+SELECT o AS id, count(*) AS scent FROM n WHERE n <= 3 GROUP BY 1""")
+def forward_scores_capped(spark, d):
+    """Candidates of a forward step that takes three citers of each seed."""
+    return scent.forward_scores(_seeded(spark, d), _dated(spark, d), cap=3)
+
+
 # Node tables --------------------------------------------------------------------------------
 
 

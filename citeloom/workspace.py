@@ -26,6 +26,8 @@ from citeloom.store import Snapshot, Store, StoreError, now, write_snapshot
 
 
 LIVE = "live"
+#: Citing works that a step forward or an enrichment takes for each seed, unless told otherwise.
+MOST_CITING = 50
 
 
 class WorkspaceNotFound(LibraryError):
@@ -103,13 +105,15 @@ class Workspace:
 
     def seed_from_equation(self, works: DataFrame, equation: search.EquationSpec) -> dict:
         """Seed with the papers of ``works`` that an equation finds, and tell what the search can't carry over."""
-        found = search.matches(works, equation)
         told = self.preview_seed(equation)
+        found = search.matches(works, equation)
         return {**self.seed(found.withColumn("is_seed", F.lit(True))), "translation": told["translation"]}
 
     @staticmethod
     def preview_seed(equation: search.EquationSpec) -> dict:
-        """The filter that an equation becomes, without running it."""
+        """The filter that an equation becomes, without running it; one without a query is an error, not everything."""
+        if not (equation.query or "").strip():
+            raise DataError("the equation has no query")
         executed, notes = search.translate(equation.query, equation.native, equation.exclude, equation.min_year, equation.max_year)
         return {"preview": True, "executed_query": executed, "translation": notes}
 
@@ -118,20 +122,21 @@ class Workspace:
         with self.store(readonly=True) as store:
             return {"direction": direction, **scent.growth_estimate(store.papers(), direction, limit).first().asDict()}
 
-    def chain(self, works: DataFrame | None = None, direction: str = "both", limit: int | None = 300, since: date | None = None, lookup: DataFrame | None = None) -> dict:
-        """Rank candidates, merge those that were fetched and grow the citing lists of the seeds; ``since`` looks
-        forward only, as monitoring.  With ``lookup`` (id, doi) the DOIs of the references are filled in too."""
+    def chain(self, works: DataFrame | None = None, direction: str = "both", limit: int | None = 300, since: date | None = None, lookup: DataFrame | None = None, max_citing: int | None = MOST_CITING) -> dict:
+        """Rank candidates, merge those that were fetched and grow the citing lists of the seeds, by ``max_citing``
+        works for each; ``since`` looks forward only, as monitoring.  With ``lookup`` (id, doi) the DOIs of the
+        references are filled in too."""
         direction = "forward" if since else direction
         with self.store() as store:
             corpus = store.papers()
-            ranking = cut(scent.chain(corpus, works, direction, limit, since.isoformat() if since else None))
+            ranking = cut(scent.chain(corpus, works, direction, limit, since.isoformat() if since else None, cap=max_citing))
             ahead = ranking.where("not backward_only")
             found = scent.forward_rows(ahead, works).select(*COLUMNS) if works is not None else corpus.limit(0).select(*COLUMNS)
             known = corpus.select("id")
             new = found.select("id").distinct().join(known, "id", "left_anti").count()
             grown = corpus
             if works is not None and direction != "backward":
-                grown = enrich.cited_by(corpus, works.where("id is not null"), since=since.isoformat() if since else None)
+                grown = scent.grown_lists(corpus, works.where("id is not null"), max_citing, since=since.isoformat() if since else None)
             merged = merging.merge(grown, found)
             if lookup is not None:
                 merged = enrich.references(merged, lookup)
@@ -141,6 +146,24 @@ class Workspace:
             top = [(r["id"], r["scent"]) for r in scent.ranked(ranking, 10).collect()]
         return {"new_candidates": new, "round": round_, "top": top}
 
+    def enrich(self, works: DataFrame | None = None, lookup: DataFrame | None = None, max_citing: int | None = MOST_CITING) -> dict[str, dict]:
+        """Fill in DOIs of references from ``lookup`` and citing lists of accepted seeds from ``works``; what each
+        pass has resolved, of how many, is told and kept with the next snapshot."""
+        passes = tuple(p for p, given in (("references", lookup), ("cited_by", works)) if given is not None)
+        with self.store() as store:
+            before = cut(store.papers())
+            after = cut(enrich.enrich(before, works, lookup, passes, max_citing))
+            told = enrich.records(before, after, lookup, passes)
+            store.replace(after)
+        held = {**self.enrichers(), **{name: {k: str(v) for k, v in params.items()} for name, params in told.items()}}
+        (self.root / "enrichers.json").write_text(json.dumps(held, sort_keys=True), encoding="utf-8")
+        return told
+
+    def enrichers(self) -> dict[str, dict]:
+        """What the last pass of each enrichment has resolved; a later pass replaces the record of an earlier one."""
+        path = self.root / "enrichers.json"
+        return json.loads(path.read_text(encoding="utf-8")) if path.exists() else {}
+
     def filter(self, **limits) -> list[filters.FilterStep]:
         with self.store() as store:
             df, steps = filters.apply_filters(store.papers(), filters.standard_criteria(**limits), now().isoformat())
@@ -211,7 +234,7 @@ class Workspace:
             raise UsageError(f"{LIVE!r} names the library itself")
         with self.store(readonly=True) as store:
             corpus = store.load()
-            out = write_snapshot(corpus, self.snapshots / name, {"maturity": aggregates.maturity_block(corpus, "all")})
+            out = write_snapshot(corpus, self.snapshots / name, {"maturity": aggregates.maturity_block(corpus, "all"), "enrichers": self.enrichers()})
             if not is_stale(self.networks, corpus_hash(corpus)):
                 for kind, measures in self._measures(self.networks).items():
                     folder = self.snapshots / name / "networks" / kind
