@@ -70,39 +70,61 @@ def similar_pairs(values: DataFrame, threshold: float) -> DataFrame:
     """(a, b) with a < b: variants whose token-sort similarity reaches ``threshold`` (0 to 1).
 
     No pair is lost.  With similarity 2*LCS/(m+n) >= t, the edit distance by insertions and deletions is at
-    most d = (1-t)*(m+n), and d is below (1-t)*(1+r)*n with r = t/(2-t) the least ratio of the lengths.
-    Cutting the longer string into d+1 pieces leaves one piece untouched, so the shorter string holds it,
-    shifted by at most d.  Variants meet in blocks of (length, piece number, piece); lengths, then shared
-    characters, are compared before the similarity itself.
+    most d = (1-t)*(m+n), where m >= r*n with r = t/(2-t).  The longer string is cut into k pieces of about
+    two characters, more than d if it has so many characters.  An edit spoils at most one piece, so the shorter
+    string holds k-d of them, each shifted by at most d, and at least one of any d+1.  Variants meet in blocks of
+    (length, piece number, piece) on the d+1 pieces of the longer one that are rarest among all variants, so
+    that a beginning that very many have in common brings nobody together while the rest tells them apart.  A
+    pair is made at the first of these pieces that it has in common, and goes on to the similarity only if
+    enough of all pieces are.
     """
     t = threshold
     ratio = t / (2 - t)
-    v = values.select("value", _sorted_tokens(F.col("value")).alias("s")).withColumn("n", F.length("s"))
-    # Pieces of every length a partner's may have are looked up on the shorter side.
-    def pieces(n: Column) -> Column:
-        return F.greatest(F.lit(1), F.floor((1 - t) * 2 * n + 1e-9).cast("int") + 1)
+    v = cut(values.select("value", _sorted_tokens(F.col("value")).alias("s")).withColumn("n", F.length("s")))
 
-    def piece(s: Column, n: Column, k: Column, i: Column, shift: Column) -> Column:
-        start = F.floor(n * i / k).cast("int")
-        return s.substr(start + 1 + shift, F.floor(n * (i + 1) / k).cast("int") - start)
+    def edits(of: Column) -> Column:
+        return F.floor((1 - t) * of + 1e-9).cast("int")
 
-    k = F.least(pieces(F.col("n")), F.greatest(F.col("n"), F.lit(1)))
-    long_side = v.where("n > 0").select("value", "s", "n", k.alias("k")).select("value", "s", "n", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
-    long_side = long_side.select(F.col("value").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"), "i", piece(F.col("s"), F.col("n"), F.col("k"), F.col("i"), F.lit(0)).alias("p"))
+    def pieces(n: Column) -> Column:
+        """How many pieces a longer string of n characters is cut into."""
+        return F.greatest(F.lit(1), F.least(n, F.greatest(edits(2 * n) + 1, F.floor(n / 2).cast("int"))))
+
+    def bound(n: Column, k: Column, i: Column) -> Column:
+        return F.floor(n * i / k).cast("int")
+
+    def cut_up(x: Column, n: Column, k: Column) -> Column:
+        """(number, start, piece) of all pieces."""
+        one = lambda i: F.struct(i.alias("i"), bound(n, k, i).alias("at"), x.substr(bound(n, k, i) + 1, bound(n, k, i + 1) - bound(n, k, i)).alias("p"))
+        return F.transform(F.sequence(F.lit(0), k - 1), one)
+
+    whole = v.where("n > 0").withColumn("k", pieces(F.col("n"))).withColumn("all", cut_up(F.col("s"), F.col("n"), F.col("k")))
+    flat = whole.select("value", "n", F.explode("all").alias("x")).select("value", "n", "x.i", "x.at", "x.p")
+    times = cut(flat.groupBy("n", "i", "p").agg(F.count("*").alias("times")))
+    rare = flat.join(times, ["n", "i", "p"]).groupBy("value").agg(F.array_sort(F.collect_list(F.struct("times", "i", "at", "p"))).alias("rare"))
+    chosen = F.slice("rare", 1, F.least(F.col("k"), edits(2 * F.col("n")) + 1))
+    index = whole.join(rare, "value").select(F.col("value").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"), "k", "all", chosen.alias("rare"))
+    index = index.select("b", "sb", "nb", "k", "all", "rare", F.posexplode("rare").alias("place", "x")).select("b", "sb", "nb", "k", "all", F.slice("rare", F.lit(1), F.col("place")).alias("earlier"), "x.i", "x.p")
+
+    # Pieces of every length that a longer partner may have are looked up on the shorter side.
     sizes = F.sequence(F.col("n"), F.greatest(F.col("n"), F.floor(F.col("n") / ratio + 1e-9).cast("int")))
-    short = v.where("n > 0").select("value", "s", "n", F.explode(sizes).alias("nb")).withColumn("k", F.least(pieces(F.col("nb")), F.col("nb")))
-    short = short.withColumn("d", F.floor((1 - t) * (F.col("n") + F.col("nb")) + 1e-9).cast("int"))
+    short = v.where("n > 0").select("value", "s", "n", F.explode(sizes).alias("nb")).withColumn("k", pieces(F.col("nb"))).withColumn("d", edits(F.col("n") + F.col("nb")))
     short = short.select("value", "s", "n", "nb", "k", "d", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
-    short = short.select("*", F.explode(F.sequence(-F.col("d"), F.col("d"))).alias("shift"))
-    start = F.floor(F.col("nb") * F.col("i") / F.col("k")).cast("int")
-    size = F.floor(F.col("nb") * (F.col("i") + 1) / F.col("k")).cast("int") - start
-    short = short.where((start + F.col("shift") >= 0) & (start + F.col("shift") + size <= F.col("n")))
-    short = short.select(F.col("value").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na"), "nb", "i", piece(F.col("s"), F.col("nb"), F.col("k"), F.col("i"), F.col("shift")).alias("p")).distinct()
-    met = short.join(long_side, ["nb", "i", "p"]).where("a <> b and (na < nb or a < b)")
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sa", "sb").dropDuplicates(["a", "b"])
+    at, size = bound(F.col("nb"), F.col("k"), F.col("i")), bound(F.col("nb"), F.col("k"), F.col("i") + 1) - bound(F.col("nb"), F.col("k"), F.col("i"))
+    starts = F.filter(F.sequence(at - F.col("d"), at + F.col("d")), lambda x: (x >= 0) & (x + size <= F.col("n")))
+    found = F.array_distinct(F.transform(starts, lambda x: F.col("s").substr(x + 1, size)))
+    short = short.select(F.col("value").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na"), "nb", "i", "d", F.explode(found).alias("p"))
+
+    def held(x: Column) -> Column:
+        """Whether the shorter string has a piece, shifted by at most d."""
+        first = F.greatest(F.lit(0), x["at"] - F.col("d"))
+        return F.contains(F.col("sa").substr(first + 1, F.least(F.col("na"), x["at"] + F.length(x["p"]) + F.col("d")) - first), x["p"])
+
+    met = short.join(index, ["nb", "i", "p"]).where("a <> b and (na < nb or a < b)").where(~F.exists("earlier", held))
+    likely = met.where(F.size(F.filter("all", held)) >= F.col("k") - F.col("d"))
     blank = v.where("n = 0").select("value")
     empty_pairs = blank.agg(F.min("value").alias("m")).join(blank, F.col("m") < F.col("value")).select(F.col("m").alias("a"), F.col("value").alias("b"))
-    return pairs.where(_similarity("sa", "sb") >= 100 * t).select("a", "b").unionAll(empty_pairs)
+    close = likely.where(_similarity("sa", "sb") >= 100 * t)
+    return close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionAll(empty_pairs)
 
 
 def variant_clusters(frequency: DataFrame, threshold: float, spare: str | None = None) -> DataFrame:

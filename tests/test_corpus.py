@@ -1,6 +1,8 @@
 """Identity, merge, curation, filters, scent, preprocessing and storage."""
 
 import hashlib
+import random
+
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -129,6 +131,36 @@ def test_fuzzy_pairs_lose_none(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("t", [0.6, 0.9, 1.0])
+def test_fuzzy_pairs_by_brute_force(spark, t):
+    """Variants of all lengths, many with one beginning, each pair once."""
+    r = random.Random(11)
+    names = {"", "  ", "a", "ab", "b a", "ba", "aa aa"}
+    for k in range(70):
+        base = r.choice(["university of ", "", "inst "]) + "".join(r.choice("abcde ") for _ in range(r.randint(1, 14)))
+        names.add(base)
+        for _ in range(2):
+            x = list(base)
+            for _ in range(r.randint(0, 3)):
+                x[r.randrange(len(x) + 1) : r.randrange(len(x) + 1)] = r.choice(["", "a", "xy"])
+            names.add("".join(x))
+    names = sorted(names)
+    rows = spark.createDataFrame([(x, 1) for x in names], "value string, n long")
+    found = [tuple(x) for x in preprocess.similar_pairs(rows, t).collect()]
+    blank = sorted(x for x in names if not x.strip())
+    expected = {(a, b) for a in names for b in names if a < b and a.strip() and b.strip() and text.token_sort_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))) >= 100 * t}
+    assert len(found) == len(set(found)) and set(found) == expected | {(blank[0], x) for x in blank[1:]}
+
+
+def test_a_common_beginning_makes_no_large_block(spark):
+    """Of 3,000 names that all begin alike, only few pairs are made before the similarity."""
+    r = random.Random(12)
+    names = sorted({"department of " + "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20)) for _ in range(3000)})
+    twin = names[5][:-1] + "#"
+    rows = spark.createDataFrame([(x, 1) for x in [*names, twin]], "value string, n long")
+    assert [tuple(x) for x in preprocess.similar_pairs(rows, 0.92).collect()] == [tuple(sorted((names[5], twin)))]
+
+
 def test_thesaurus(spark):
     entries = {"unequal_exchange": {"en": ["Unequal exchange"], "es": ["Intercambio ecológico desigual"]}}
     c = corpus(spark, {"id": "A", "keywords_raw": ["unequal Exchange", "intercambio ecologico desigual", "Ótro"]}, {"id": "B", "keywords_id": ["kept"]})
