@@ -60,11 +60,17 @@ def fold_duplicates(batch: DataFrame) -> DataFrame:
     return grouped.withColumn("_f", folded).select(*[F.col("_f.s").alias(c) if c == "curation_status" else F.col("_f.p").alias(c) if c == "provenance" else F.col(c) for c in COLUMNS], SEQ)
 
 
-def merge(corpus: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Full outer merge by id, with ``_seq``: known papers keep theirs, new ones follow in order."""
+def merge(corpus: DataFrame, incoming: DataFrame, last: int | None = None) -> DataFrame:
+    """Full outer merge by id, with ``_seq``: known papers keep theirs, new ones follow in order.
+
+    New ones follow the ``last`` number if it is told, as for a part of a corpus, else the highest there is.
+    """
     a, b = with_sequence(corpus).alias("a"), fold_duplicates(incoming).alias("b")
-    last = with_sequence(corpus).agg(F.coalesce(F.max(SEQ), F.lit(0)).alias("_last"))
-    both = a.join(b, F.col("a.id") == F.col("b.id"), "full_outer").crossJoin(F.broadcast(last))  # one row
+    both = a.join(b, F.col("a.id") == F.col("b.id"), "full_outer")
+    if last is not None:
+        both = both.withColumn("_last", F.lit(last).cast("long"))
+    else:
+        both = both.crossJoin(F.broadcast(with_sequence(corpus).agg(F.coalesce(F.max(SEQ), F.lit(0)).alias("_last"))))  # one row
     x, y = prov.parse(F.col("a.provenance")), prov.parse(F.col("b.provenance"))
     out = []
     for f in CORPUS_SCHEMA:

@@ -1,7 +1,9 @@
 """A library on disk: versions of the paper table behind a pointer file, append-only logs, one writer.
 
-``persist`` and ``replace`` write a complete new version and then move the pointer, so a reader sees the
-old table or the new one, and a failed write leaves the old.
+Papers are dealt to buckets by a hash of their id.  A version is a list of bucket folders; ``persist`` writes
+new folders for the buckets that its papers fall into and takes the others over from the version before, so
+that its cost follows what it touches.  The pointer moves last: a reader sees the old table or the new one,
+and a failed write leaves the old.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.operators.merge import SEQ, latest_by, merge, unseen, with_sequence
+from citeloom.plans.checkpoint import cut
 from citeloom.schema import COLUMNS, CORPUS_SCHEMA, validate
 
 # The tables beside the papers.
@@ -31,6 +34,12 @@ LOGS = {
 
 #: Versions of the papers that stay on disk, so that frames read before a write can still be used after it.
 KEPT_VERSIONS = 5
+#: Papers in a bucket of a table that is written anew, and buckets at most.
+BUCKET_ROWS, MOST_BUCKETS = 50_000, 4096
+
+
+def _bucket(id_, buckets: int):
+    return F.pmod(F.xxhash64(id_), F.lit(buckets)).cast("int")
 
 
 class StoreError(RuntimeError):
@@ -71,30 +80,60 @@ class Store:
         pointer = self.path / "CURRENT"
         return pointer.read_text().strip() if pointer.exists() else None
 
-    def _point(self, version: str) -> None:
+    def _listed(self, version: str) -> dict | None:
+        """The list of a version; None for one of the older layout, a folder of its own."""
+        path = self.path / f"{version}.json"
+        return json.loads(path.read_text(encoding="utf-8")) if path.exists() else None
+
+    def _point(self, listed: dict) -> None:
+        version = f"list-{uuid.uuid4().hex}"
+        (self.path / f"{version}.json").write_text(json.dumps(listed), encoding="utf-8")
         old = self._version()
         temporary = self.path / f".{version}"
         temporary.write_text(version)
         os.replace(temporary, self.path / "CURRENT")
-        kept = sorted(self.path.glob("papers-*"), key=lambda f: f.stat().st_mtime, reverse=True)
-        for folder in kept[KEPT_VERSIONS:]:
-            if folder.name not in (old, version):
+        found = sorted([*self.path.glob("list-*.json"), *self.path.glob("papers-*")], key=lambda f: f.stat().st_mtime, reverse=True)
+        kept = [f for k, f in enumerate(found) if k < KEPT_VERSIONS or f.name in (old, f"{old}.json", f"{version}.json")]
+        for f in found:
+            if f not in kept:
+                shutil.rmtree(f) if f.is_dir() else f.unlink()
+        used = {folder for f in kept if f.suffix == ".json" for folder in json.loads(f.read_text(encoding="utf-8"))["buckets"].values()}
+        for folder in self.path.glob("data-*/bucket=*"):
+            if str(folder.relative_to(self.path)) not in used:
+                shutil.rmtree(folder, ignore_errors=True)
+        for folder in self.path.glob("data-*"):
+            if not any(folder.glob("bucket=*")):
                 shutil.rmtree(folder, ignore_errors=True)
 
-    def _write(self, papers: DataFrame) -> None:
+    def _put(self, papers: DataFrame, buckets: int) -> tuple[dict[str, str], int]:
+        """Write papers into bucket folders of their own; the folder of each bucket, and the last number."""
         if self.readonly:
             raise StoreError("the library is open for reading only")
-        version = f"papers-{uuid.uuid4().hex}"
-        papers.select(*COLUMNS, SEQ).write.parquet(str(self.path / version))
-        self._point(version)
+        name = f"data-{uuid.uuid4().hex}"
+        rows = papers.select(*COLUMNS, SEQ, _bucket(F.col("id"), buckets).alias("bucket"))
+        rows.repartition(min(buckets, 200), "bucket").write.partitionBy("bucket").parquet(str(self.path / name))
+        found = {f.name.removeprefix("bucket="): f"{name}/{f.name}" for f in (self.path / name).glob("bucket=*")}
+        last = self._read(list(found.values())).agg(F.max(SEQ)).first()[0] if found else 0
+        return found, last or 0
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], f"struct<{CORPUS_SCHEMA.simpleString()[7:-1]},{SEQ}:bigint>")
+        return self.spark.read.parquet(*[str(self.path / f) for f in sorted(folders)])
+
+    def _write(self, papers: DataFrame) -> None:
+        rows = cut(papers.select(*COLUMNS, SEQ))
+        buckets = min(MOST_BUCKETS, max(1, -(-rows.count() // BUCKET_ROWS)))
+        found, last = self._put(rows, buckets)
+        self._point({"n": buckets, "last": last, "buckets": found})
 
     def papers(self) -> DataFrame:
         """The table with ``_seq``; a column of an older layout is renamed on reading."""
-        schema = CORPUS_SCHEMA.simpleString()[7:-1]
         version = self._version()
         if version is None:
-            return self.spark.createDataFrame([], f"struct<{schema},{SEQ}:bigint>")
-        found = self.spark.read.parquet(str(self.path / version))
+            return self._read([])
+        listed = self._listed(version)
+        found = self._read([version] if listed is None else list(listed["buckets"].values()))
         if "openalex_id" in found.columns and "source_id" not in found.columns:
             found = found.withColumnRenamed("openalex_id", "source_id")
         return with_sequence(found).select(*COLUMNS, SEQ)
@@ -104,7 +143,17 @@ class Store:
         return self.papers().orderBy(SEQ).select(*COLUMNS)
 
     def persist(self, corpus: DataFrame) -> None:
-        self._write(merge(self.papers(), validate(corpus)) if self._version() else with_sequence(validate(corpus)))
+        """Merge papers into the table; only buckets that they fall into are read and written again."""
+        version = self._version()
+        listed = self._listed(version) if version else None
+        if listed is None:
+            self._write(merge(self.papers(), validate(corpus)) if version else with_sequence(validate(corpus)))
+            return
+        new = cut(with_sequence(validate(corpus)))
+        touched = {str(r["b"]) for r in new.select(_bucket(F.col("id"), listed["n"]).alias("b")).distinct().collect()}
+        old = self._read([f for b, f in listed["buckets"].items() if b in touched]).select(*COLUMNS, SEQ)
+        found, last = self._put(merge(old, new, listed["last"]), listed["n"])
+        self._point({"n": listed["n"], "last": max(last, listed["last"]), "buckets": {**listed["buckets"], **found}})
 
     def replace(self, corpus: DataFrame) -> None:
         """All papers are exchanged; the logs stay."""
@@ -160,6 +209,10 @@ class Store:
     def set_filters(self, steps: list, at: datetime | None = None) -> None:
         self._exchange("filter_log", [(s.name, s.name, s.count_before, s.count_after, at or now()) for s in steps])
 
+    def enrichers(self) -> dict[str, dict[str, str]]:
+        """What the last pass of each enrichment has recorded."""
+        return {r["name"]: dict(r["params"]) for r in self.log("enricher_log").collect()}
+
     def set_enrichers(self, refs: dict[str, dict[str, str]], at: datetime | None = None) -> None:
         self._exchange("enricher_log", [(n, p, at or now()) for n, p in refs.items()])
 

@@ -155,15 +155,9 @@ class Workspace:
             after = cut(enrich.enrich(before, works, lookup, passes, max_citing))
             told = enrich.records(before, after, lookup, passes)
             store.replace(after)
-        held = {**self.enrichers(), **{name: {k: str(v) for k, v in params.items()} for name, params in told.items()}}
-        (self.root / "enrichers.json").write_text(json.dumps(held, sort_keys=True), encoding="utf-8")
+            store.set_enrichers({**store.enrichers(), **{name: {k: str(v) for k, v in params.items()} for name, params in told.items()}})
         return told
 
-    def enrichers(self) -> dict[str, dict]:
-        """What the last pass of each enrichment has resolved; a later pass replaces the record of an earlier one."""
-        path = self.root / "enrichers.json"
-        return json.loads(path.read_text(encoding="utf-8")) if path.exists() else {}
-
     def filter(self, **limits) -> list[filters.FilterStep]:
         with self.store() as store:
             df, steps = filters.apply_filters(store.papers(), filters.standard_criteria(**limits), now().isoformat())
@@ -234,7 +228,7 @@ class Workspace:
             raise UsageError(f"{LIVE!r} names the library itself")
         with self.store(readonly=True) as store:
             corpus = store.load()
-            out = write_snapshot(corpus, self.snapshots / name, {"maturity": aggregates.maturity_block(corpus, "all"), "enrichers": self.enrichers()})
+            out = write_snapshot(corpus, self.snapshots / name, {"maturity": aggregates.maturity_block(corpus, "all"), "enrichers": store.enrichers()})
             if not is_stale(self.networks, corpus_hash(corpus)):
                 for kind, measures in self._measures(self.networks).items():
                     folder = self.snapshots / name / "networks" / kind

@@ -218,6 +218,47 @@ def test_store_restart_and_lock(spark, tmp_path):
         Store(spark, tmp_path / "none", readonly=True)
 
 
+def test_persist_writes_only_the_buckets_it_touches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("citeloom.store.BUCKET_ROWS", 10)
+    papers = corpus(spark, *[{"id": f"P{k}", "doi": f"10.1/{k}", "year": 2000} for k in range(80)])
+    with Store(spark, tmp_path / "lib") as store:
+        store.persist(papers.df)
+        first = store._listed(store._version())
+        before = store.papers()
+        store.persist(corpus(spark, {"id": "P7", "doi": "10.1/7", "year": 2021}, {"id": "NEW", "doi": "10.1/new"}, {"id": "P7", "title": "again"}).df)
+        second = store._listed(store._version())
+        changed = [b for b in second["buckets"] if second["buckets"][b] != first["buckets"].get(b)]
+        assert first["n"] == 8 and 1 <= len(changed) <= 2
+        rows = {r["id"]: r for r in store.papers().collect()}
+        assert len(rows) == 81 and rows["P7"]["year"] == 2021 and rows["P7"]["title"] == "again" and rows["P7"]["_seq"] == 8 and rows["NEW"]["_seq"] > 80 and second["last"] == rows["NEW"]["_seq"]
+        assert ids(store.load())[-1] == "NEW" and {r["year"] for r in before.collect()} == {2000}  # a reader of the version before
+        whole = {r["id"]: r for r in merge.merge(papers.df, corpus(spark, {"id": "P7", "doi": "10.1/7", "year": 2021}, {"id": "NEW", "doi": "10.1/new"}, {"id": "P7", "title": "again"}).df).collect()}
+        assert {k: tuple(r[c] for c in ("doi", "year", "title", "curation_status")) for k, r in rows.items()} == {k: tuple(r[c] for c in ("doi", "year", "title", "curation_status")) for k, r in whole.items()}
+        for k in range(7):  # folders that no kept version names go
+            store.persist(corpus(spark, {"id": "P7", "year": 2030 + k}).df)
+        named = {f for p in store.path.glob("list-*.json") for f in store._listed(p.stem)["buckets"].values()}
+        assert {str(f.relative_to(store.path)) for f in store.path.glob("data-*/bucket=*")} == named and store.papers().where("year = 2036").count() == 1
+
+
+def test_enrichment_records(spark, tmp_path):
+    ws = Workspace.init(spark, tmp_path / "ws")
+    rows = [
+        {"id": "A", "source_id": "https://x.org/W1", "curation_status": "accepted", "references_id": ["R1", "R2"], "cited_by_id": ["z9"]},
+        {"id": "B", "source_id": "W2", "references_id": ["R1"], "cited_by_id": ["z9"]}, {"id": "C", "source_id": "W3", "curation_status": "accepted"},
+    ]
+    with ws.store() as store:
+        store.replace(corpus(spark, *rows).df)
+    works = spark.createDataFrame([(f"c{k}", ["W1", "W2"]) for k in range(5)], "id string, references_id array<string>")
+    lookup = spark.createDataFrame([("R1", "10.1/r")], "id string, doi string")
+    assert ws.enrich(works, lookup, max_citing=3) == {"references_doi": {"resolved": 1, "total_unique_refs": 2}, "cited_by": {"resolved": 3, "total": 2}}
+    with ws.store(readonly=True) as store:
+        found = {r["id"]: r for r in store.papers().collect()}
+        assert [found[k]["cited_by_id"] for k in "ABC"] == [["c0", "c1", "c2"], ["z9"], []] and found["A"]["references_doi"] == ["10.1/r", None]
+        assert store.enrichers()["cited_by"] == {"resolved": "3", "total": "2"}
+    with pytest.raises(DataError, match="no query"):
+        ws.preview_seed(search.EquationSpec("  "))
+
+
 def test_workspace_loop(spark, tmp_path):
     ws = Workspace.init(spark, tmp_path / "ws")
     data = [{"id": f"P{k}", "source_id": f"W{k}", "year": 2000 + k, "references_id": ["R1", "R2", f"R{k}"], "authors_id": [f"A{k}", "B"]} for k in range(3)]
