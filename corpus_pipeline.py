@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from citeloom.llm import byte_bpe, decontaminate, language_id, ngram_join, secrets
 from citeloom.llm.common import fold_of, small_batches, table
-from citeloom.plans.checkpoint import shared_folder
+from citeloom.plans.checkpoint import remove, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose language is less sure than this is rejected.
@@ -77,13 +77,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each keeps is written to the shared checkpoint folder."""
+    """All stages over ``documents``; what each keeps is written to the shared checkpoint folder, and deleted
+    when the next stage has been written."""
     shared_folder(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
 
 
