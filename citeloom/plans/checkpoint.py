@@ -41,10 +41,15 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing will read any more."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def discard(table: DataFrame | None) -> None:
-    """Delete a table made by :func:`written` that nothing will read any more; others are left alone."""
+    """Delete a table made by :func:`written`; others are left alone."""
     path = getattr(table, "written_to", None)
     if path is not None:
-        context = table.sparkSession.sparkContext
-        place = context._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+        remove(table.sparkSession, path)
