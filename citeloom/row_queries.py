@@ -81,6 +81,21 @@ def works_by_ids(spark, d):
     return works_json.by_ids(_works(spark, d), ids).select("id")
 
 
+@query("SELECT 'W' || p_partkey AS id, 1990 + p_size AS publication_year FROM part WHERE p_size BETWEEN 5 AND 12")
+def works_api_years(spark, d):
+    """Parts saved as works and asked for by year through the data source: eight partitions, two columns."""
+    from citeloom.sources.api import WorksApi
+
+    p = star.table(spark, d, "part")
+    path = f"{shared_folder(spark)}/works-{uuid.uuid4().hex}"
+    p.select(F.concat(F.lit("W"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("title"), (F.lit(1990) + F.col("p_size")).alias("publication_year")).write.json(path)
+    session = spark.newSession()  # the setting for pushdown is not the caller's
+    session.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    session.dataSource.register(WorksApi)
+    works = session.read.format("works_api").schema("id string, publication_year int").option("fetch", "citeloom.sources.api:replay").option("path", path).load()
+    return works.where("publication_year >= 1995 and publication_year < 2003")
+
+
 @query("""SELECT CASE WHEN p_partkey % 2 = 0 THEN '10.1/p' || p_partkey END AS doi, p_name AS title, CASE WHEN p_partkey % 3 <> 0 THEN 1990 + p_size END AS year, CASE WHEN p_partkey % 5 <> 0 THEN p_type ELSE p_brand END AS source, p_brand || ', A.|Zoë ' || p_type AS authors, 'red thing|' || p_brand || CASE WHEN p_size > 25 THEN '|big' ELSE '' END AS words,
 CASE WHEN p_partkey % 2 = 0 THEN 'doi:' || left(sha256('10.1/p' || p_partkey), 16) ELSE 'tt:' || left(sha256(lower(p_name) || '|' || CASE WHEN p_partkey % 3 <> 0 THEN CAST(1990 + p_size AS VARCHAR) ELSE 'None' END), 16) END AS id FROM part WHERE p_partkey % 11 <> 0""")
 def bibtex_rows(spark, d):

@@ -10,7 +10,6 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from citeloom.schema import SchemaError
 
@@ -146,41 +145,3 @@ def matches(df: DataFrame, spec: EquationSpec) -> DataFrame:
     if spec.max_year is not None:
         keep = keep & F.coalesce(F.col("year") <= spec.max_year, F.lit(False))
     return df.where(keep).orderBy("id").limit(spec.max_results)
-
-
-class _Files(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-
-class _WorksReader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.options = options
-
-    def partitions(self):
-        return [_Files(p.strip()) for p in self.options["path"].split(",") if p.strip()]
-
-    def read(self, partition):
-        import json
-
-        left = int(self.options.get("limit", 1 << 60))
-        with open(partition.path, encoding="utf-8") as f:
-            for work in json.load(f):
-                if left <= 0:
-                    return
-                left -= 1
-                yield (str(work.get("id") or ""), json.dumps(work, ensure_ascii=False, sort_keys=True))
-
-
-class WorksSource(DataSource):
-    """``spark.read.format("works")``: (id, work as JSON) from saved pages; one partition a file."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "works"
-
-    def schema(self) -> str:
-        return "id string, work string"
-
-    def reader(self, schema):
-        return _WorksReader(self.options)

@@ -1,9 +1,9 @@
 """Identity, merge, curation, filters, scent, preprocessing and storage."""
 
 import hashlib
+import json
 import random
 
-
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -201,6 +201,35 @@ def test_search(tmp_path):
         search.with_retry(lambda: (404, {}))
 
 
+def test_works_api_pushes_conditions_and_columns(spark, tmp_path):
+    from citeloom.sources.api import WorksApi
+
+    (tmp_path / "log").mkdir()
+    rows = [(f"W{k}", f"t{k}", 2000 + k % 4, k) for k in range(250)] + [("W900", "no year", None, 1)]
+    spark.createDataFrame(rows, "id string, title string, publication_year int, cited_by_count long").write.json(f"{tmp_path}/works")
+    session = spark.newSession()
+    session.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    session.dataSource.register(WorksApi)
+
+    def asked():
+        out = sorted((tuple(json.loads(p.read_text()).values()) for p in (tmp_path / "log").iterdir()), key=str)
+        for p in (tmp_path / "log").iterdir():
+            p.unlink()
+        return out
+
+    def api(schema):
+        return session.read.format("works_api").schema(schema).option("fetch", "citeloom.sources.api:replay").option("path", f"{tmp_path}/works").option("log", f"{tmp_path}/log").load()
+
+    found = api("id string, publication_year int").where("publication_year between 2001 and 2002").collect()
+    assert sorted(map(tuple, found)) == sorted((x[0], x[2]) for x in rows if x[2] in (2001, 2002))
+    assert asked() == [(f"from_publication_date:{y}-01-01,to_publication_date:{y}-12-31", "id,publication_year", "*") for y in (2001, 2002)]
+    wanted = [f"W{k}" for k in range(120)]
+    assert sorted(r["id"] for r in api("id string, title string").where(F.col("id").isin(wanted)).collect()) == sorted(wanted)
+    assert len(asked()) == 2  # batches of a hundred ids
+    whole = api("id string, work string").collect()
+    assert len(whole) == 251 and json.loads(whole[0]["work"])["id"] == whole[0]["id"] and [x[2] for x in asked()] == ["*", "100", "200"]
+
+
 def test_store_restart_and_lock(spark, tmp_path):
     with Store(spark, tmp_path / "lib") as s:
         s.persist(corpus(spark, {"id": "A"}, {"id": "B"}).df)
