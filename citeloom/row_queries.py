@@ -363,6 +363,19 @@ def decorate_papers(spark, d):
     return out.select("node", "degree", "label", "year", "is_seed", "curation_status", F.col("cited_by_count").cast("long").alias("cited_by_count"))
 
 
+@query(f"""WITH {HEADS}, {edges_cte('coupling', 2)}, {BOTH}, a AS (SELECT l_orderkey AS o, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), '|' ORDER BY CAST(l_suppkey AS VARCHAR)) AS authors, string_agg(DISTINCT p_brand, '|' ORDER BY p_brand) AS keywords FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)
+SELECT CAST(node AS VARCHAR) AS node, degree, round(degree / (SELECT count(*) - 1 FROM deg), 6) AS degree_centrality, 'Order ' || node || ' (' || year || ')' AS label, year, is_seed, curation_status, CASE WHEN node % 2 = 0 THEN '10.1/' || node END AS doi,
+CASE WHEN node % 2 = 0 THEN '{text.DOI_URL}10.1/' || node WHEN node % 3 = 0 THEN '{text.WORK_URL}W' || node END AS url, 'J' || node % 7 AS venue, authors, keywords, CASE WHEN node % 5 > 0 THEN node % 5 END AS cited_by_count FROM deg JOIN heads ON k = node LEFT JOIN a ON o = node""")
+def decorate_all_fields(spark, d):
+    """Every field that a node of a paper network carries."""
+    k = F.col("id").cast("long")
+    corpus = star.papers(spark, d).withColumn("doi", F.when(k % 2 == 0, F.concat(F.lit("10.1/"), "id"))).withColumn("source_id", F.when(k % 3 == 0, F.concat(F.lit("W"), "id")))
+    corpus = corpus.withColumn("source", F.concat(F.lit("J"), (k % 7).cast("string"))).withColumn("cited_by_id", F.array_repeat(F.lit("c"), (k % 5).cast("int")))
+    edges = networks.project(star.coupling(spark, d).select(F.col("node").cast("string").alias("node"), "grp"), 2)
+    out = aggregates.decorate(edges, corpus, "bibliographic_coupling").withColumn("degree_centrality", F.round("degree_centrality", 6))
+    return out.withColumn("cited_by_count", F.col("cited_by_count").cast("long")).select("node", "degree", "degree_centrality", "label", "year", "is_seed", "curation_status", "doi", "url", "venue", "authors", "keywords", "cited_by_count")
+
+
 @query(f"""WITH {edges_cte('authors')}, {BOTH} SELECT CAST(node AS VARCHAR) AS node, degree, 'author ' || node AS label FROM deg""")
 def decorate_authors(spark, d):
     edges = networks.project(star.authors(spark, d).withColumn("node", F.col("node").cast("string")))
