@@ -191,7 +191,7 @@ def repeated(rows: DataFrame) -> DataFrame:
     twice_bits = max(8, min(once_bits, MOST_BITS // segments))
     codes = rows.mapInArrow(lean(_send(segments)), "segment long, codes binary, twice binary")
     built = codes.repartition(segments, "segment").mapInArrow(lean(_filter(once_bits, twice_bits)), "segment long, filter binary")
-    filters = spark.sparkContext.broadcast({r["segment"]: bytes(r["filter"]) for r in built.toLocalIterator()})
+    filters = spark.sparkContext.broadcast({r["segment"]: bytes(r["filter"]) for r in built.collect()})  # MOST_BITS together
     lines = written(rows.mapInArrow(lean(_suspects(filters, twice_bits, segments)), "id long, key binary"))
     first = lines.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
     first = written(first.select("key", "first"))  # else the join would use the aggregate's shuffle, which can't be split
