@@ -76,11 +76,13 @@ def similar_pairs(values: DataFrame, threshold: float) -> DataFrame:
     (length, piece number, piece) on the d+1 pieces of the longer one that are rarest among all variants, so
     that a beginning that very many have in common brings nobody together while the rest tells them apart.  A
     pair is made at the first of these pieces that it has in common, and goes on to the similarity only if
-    enough of all pieces are.
+    enough of all pieces are.  Values that repeat count once.  Both sides meet by a shuffle: a table of pieces is
+    small in a shuffle and many times as large in memory, so it is never broadcast.
     """
     t = threshold
     ratio = t / (2 - t)
-    v = cut(values.select("value", _sorted_tokens(F.col("value")).alias("s")).withColumn("n", F.length("s")))
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    v = cut(values.select("value").distinct().repartition(parts, "value").select("value", _sorted_tokens(F.col("value")).alias("s")).withColumn("n", F.length("s")))
 
     def edits(of: Column) -> Column:
         return F.floor((1 - t) * of + 1e-9).cast("int")
@@ -100,9 +102,9 @@ def similar_pairs(values: DataFrame, threshold: float) -> DataFrame:
     whole = v.where("n > 0").withColumn("k", pieces(F.col("n"))).withColumn("all", cut_up(F.col("s"), F.col("n"), F.col("k")))
     flat = whole.select("value", "n", F.explode("all").alias("x")).select("value", "n", "x.i", "x.at", "x.p")
     times = cut(flat.groupBy("n", "i", "p").agg(F.count("*").alias("times")))
-    rare = flat.join(times, ["n", "i", "p"]).groupBy("value").agg(F.array_sort(F.collect_list(F.struct("times", "i", "at", "p"))).alias("rare"))
+    rare = flat.join(times.hint("merge"), ["n", "i", "p"]).groupBy("value").agg(F.array_sort(F.collect_list(F.struct("times", "i", "at", "p"))).alias("rare"))
     chosen = F.slice("rare", 1, F.least(F.col("k"), edits(2 * F.col("n")) + 1))
-    index = whole.join(rare, "value").select(F.col("value").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"), "k", "all", chosen.alias("rare"))
+    index = whole.join(rare.hint("merge"), "value").select(F.col("value").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"), "k", "all", chosen.alias("rare"))
     index = index.select("b", "sb", "nb", "k", "all", "rare", F.posexplode("rare").alias("place", "x")).select("b", "sb", "nb", "k", "all", F.slice("rare", F.lit(1), F.col("place")).alias("earlier"), "x.i", "x.p")
 
     # Pieces of every length that a longer partner may have are looked up on the shorter side.
@@ -119,7 +121,7 @@ def similar_pairs(values: DataFrame, threshold: float) -> DataFrame:
         first = F.greatest(F.lit(0), x["at"] - F.col("d"))
         return F.contains(F.col("sa").substr(first + 1, F.least(F.col("na"), x["at"] + F.length(x["p"]) + F.col("d")) - first), x["p"])
 
-    met = short.join(index, ["nb", "i", "p"]).where("a <> b and (na < nb or a < b)").where(~F.exists("earlier", held))
+    met = short.repartition(parts, "nb", "i", "p").join(index.repartition(parts, "nb", "i", "p").hint("merge"), ["nb", "i", "p"]).where("a <> b and (na < nb or a < b)").where(~F.exists("earlier", held))
     likely = met.where(F.size(F.filter("all", held)) >= F.col("k") - F.col("d"))
     blank = v.where("n = 0").select("value")
     empty_pairs = blank.agg(F.min("value").alias("m")).join(blank, F.col("m") < F.col("value")).select(F.col("m").alias("a"), F.col("value").alias("b"))
@@ -129,8 +131,9 @@ def similar_pairs(values: DataFrame, threshold: float) -> DataFrame:
 
 def variant_clusters(frequency: DataFrame, threshold: float, spare: str | None = None) -> DataFrame:
     """(value, canonical) for the variants that change: of each connected group of similar ones the most
-    frequent, ties by value.  Values matching the pattern ``spare`` are left alone."""
-    rows = cut(frequency if spare is None else frequency.where(~F.col("value").rlike(spare)))
+    frequent, ties by value.  Values matching the pattern ``spare`` are left alone; of a value that repeats the counts are added."""
+    every = frequency if spare is None else frequency.where(~F.col("value").rlike(spare))
+    rows = cut(every.groupBy("value").agg(F.sum("n").alias("n")))
     groups = connected_components(cut(similar_pairs(rows, threshold)), "a", "b")
     held = groups.join(rows, groups["node"] == rows["value"]).select("value", "n", "component")
     best = held.groupBy("component").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("canonical"))
