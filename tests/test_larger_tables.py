@@ -1,6 +1,8 @@
 """Steps whose memory, time or traffic grew faster than their input."""
 
-from citeloom.operators import preprocess
+import random
+
+from citeloom.operators import communities, graph, paths, preprocess
 
 
 def test_repeated_names_count_once_and_no_piece_table_is_broadcast(spark):
@@ -12,3 +14,51 @@ def test_repeated_names_count_once_and_no_piece_table_is_broadcast(spark):
     assert [tuple(r) for r in pairs.collect()] == [("Supplier#000000017", "Supplier#000000018")]
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+def _cliques(spark):
+    """Three rings of cliques and a pair, apart from each other, with names that aren't in order."""
+    rows = []
+    for part, size in enumerate((4, 5, 6)):
+        name = lambda c, i: (c * 37 + i * 5 + 1) * 10 + part  # noqa: B023, E731
+        for c in range(5):
+            rows += [(name(c, i), name(c, j), 2) for i in range(size) for j in range(i)]
+            rows.append((name(c, 0), name((c + 1) % 5, 1), 1))
+    rows.append((9_000_001, 9_000_002, 1))
+    return spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in rows], "src long, dst long, weight long"), {(min(a, b), max(a, b)) for a, b, _ in rows}
+
+
+def _members(found, name="community"):
+    return {r["node"]: r[name] for r in found.collect()}
+
+
+def test_betweenness_by_components(spark):
+    edges, _ = _cliques(spark)
+    by_joins = _members(paths.betweenness(edges, 10**9), "betweenness")
+    for one_task in (1_000, 60):  # all components in a task each; the largest by joins
+        found = _members(paths.betweenness(edges, one_task=one_task), "betweenness")
+        assert found.keys() == by_joins.keys() and all(abs(found[v] - by_joins[v]) < 1e-12 for v in found)
+
+
+def test_communities_by_components(spark, monkeypatch):
+    edges, _ = _cliques(spark)
+    steps = []
+    for name in ("_mutual_merges",):
+        monkeypatch.setattr(communities, name, lambda *a: steps.append(a) or 1 / 0)
+    whole, parts = (_members(communities.greedy_modularity(edges, one_task=k)) for k in (1_000, 90))
+    assert whole == parts and not steps  # before, these edges went through rounds of joins
+    monkeypatch.undo()
+    whole = _members(communities.louvain(edges, one_task=1_000))
+    for one_task in (90, 60):  # the second leaves the largest component to joins
+        found = communities.louvain(edges, one_task=one_task)
+        assert _members(found).keys() == whole.keys()
+        assert communities.modularity(edges, found).first()[0] > 0.9 * communities.modularity(edges, communities.louvain(edges, one_task=1_000)).first()[0]
+
+
+def test_labels_by_components_are_those_by_joins(spark):
+    edges, _ = _cliques(spark)
+    draw = random.Random(5)
+    noise = spark.createDataFrame([(min(p), max(p), 1) for p in {tuple(draw.sample(range(10**6, 10**6 + 60), 2)) for _ in range(150)}], "src long, dst long, weight long")
+    both = edges.unionAll(noise)
+    whole, by_joins, mixed = (_members(graph.label_propagation(both, one_task=k)) for k in (1_000, 0, 60))
+    assert whole == by_joins == mixed
