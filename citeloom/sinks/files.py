@@ -120,8 +120,17 @@ def write_curation_sheet(corpus: DataFrame, path: str | Path, scope: str = "cand
     return n
 
 
+def write_curation_sheet_parts(corpus: DataFrame, folder: str, scope: str = "candidates") -> None:
+    """The sheet as a folder of CSV files in the order of ids, each with a header, written where its rows are.
+
+    For corpora that are too large to pass through the driver; :func:`read_curation_sheet` takes either form.
+    """
+    rows = curation_rows(corpus, scope).orderBy("id")
+    rows.write.option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+
+
 def read_curation_sheet(corpus: DataFrame, path: str) -> DataFrame:
-    """(id, decision) of a sheet; a byte order mark in front is fine, an unknown decision is an error."""
+    """(id, decision) of a sheet, a file or a folder of files; a byte order mark in front is fine, an unknown decision is an error."""
     spark = corpus.sparkSession
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     rows = rows.toDF(*[c.lstrip("﻿").strip().strip('"') for c in rows.columns])
