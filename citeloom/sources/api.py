@@ -109,21 +109,32 @@ def http(params: dict) -> tuple[int, dict]:
 def replay(params: dict) -> tuple[int, dict]:
     """Answer from works saved as JSON lines under ``path``, page by page, by the conditions of the request.
 
-    For work without a network; ``log`` names a folder in which each request leaves a file."""
+    A cursor is the number of a file and the place in it where the next page begins, so that no page reads again what
+    the ones before it have read.  For work without a network; ``log`` names a folder in which each request leaves a file."""
     wanted = dict(part.split(":", 1) for part in params["filter"].split(",") if part)
     ids = set(wanted["ids"].split("|")) if "ids" in wanted else None
     low, high = (int(wanted[k][:4]) if k in wanted else None for k in ("from_publication_date", "to_publication_date"))
     select = params["select"].split(",") if "select" in params else None
-    skip, found = 0 if params["cursor"] == "*" else int(params["cursor"]), []
-    for path in sorted(Path(params["path"].removeprefix("file:")).glob("*.json")):
-        for line in path.open(encoding="utf-8"):
-            work = json.loads(line)
-            year = work.get("publication_year")
-            if (ids is None or work["id"] in ids) and (low is None or (year or low - 1) >= low) and (high is None or (year or high + 1) <= high):
-                found.append(work if select is None else {k: work.get(k) for k in select})
+    paths = sorted(Path(params["path"].removeprefix("file:")).glob("*.json"))
+    first, at = (0, 0) if params["cursor"] == "*" else map(int, params["cursor"].split(":"))
+    page, ahead = [], None
+    for k in range(first, len(paths)):
+        with paths[k].open("rb") as file:
+            file.seek(at if k == first else 0)
+            place = file.tell()
+            for line in file:
+                work = json.loads(line)
+                year = work.get("publication_year")
+                if (ids is None or work["id"] in ids) and (low is None or (year or low - 1) >= low) and (high is None or (year or high + 1) <= high):
+                    if len(page) == params["per_page"]:
+                        ahead = f"{k}:{place}"
+                        break
+                    page.append(work if select is None else {c: work.get(c) for c in select})
+                place += len(line)
+        if ahead:
+            break
     if "log" in params:
         import uuid
 
         Path(params["log"], uuid.uuid4().hex).write_text(json.dumps({k: params.get(k) for k in ("filter", "select", "cursor")}))
-    page, last = found[skip : skip + params["per_page"]], skip + params["per_page"]
-    return 200, {"results": page, "meta": {"next_cursor": str(last) if last < len(found) else None}}
+    return 200, {"results": page, "meta": {"next_cursor": ahead}}
