@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,19 +93,26 @@ def entries(text: str) -> Iterator[dict[str, str]]:
         at = text.find("@", at)
 
 
+#: Entries that leave a parsing task at a time.
+ENTRIES_AT_ONCE = 2_000
+
+
+def parsed(texts: Iterable[str], files: Iterable[str], most: int = ENTRIES_AT_ONCE) -> Iterator:
+    """Frames (file, place, fields) of at most ``most`` entries."""
+    import pandas as pd
+
+    rows = ((file, k, *(e.get(f) for f in FIELDS)) for text, file in zip(texts, files) for k, e in enumerate(entries(text.removeprefix("\ufeff"))))
+    while some := list(islice(rows, most)):
+        yield pd.DataFrame(some, columns=["file", "place", *FIELDS])
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(file, place, fields) of every entry; each file is parsed where it is read."""
+    """(file, place, fields) of every entry; each file is parsed where it is read, a file at a time."""
     files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
 
     def run(batches):
-        import pandas as pd
-
         for batch in batches:
-            out = []
-            for text, file in zip(batch["value"], batch["file"]):
-                for k, e in enumerate(entries(text.removeprefix("﻿"))):
-                    out.append((file, k, *(e.get(f) for f in FIELDS)))
-            yield pd.DataFrame(out, columns=["file", "place", *FIELDS])
+            yield from parsed(batch["value"], batch["file"])
 
     return files.mapInPandas(run, "file string, place int, " + ", ".join(f"{f} string" for f in FIELDS))
 

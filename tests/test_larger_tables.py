@@ -1,7 +1,16 @@
 """Steps whose memory, time or traffic grew faster than their input."""
 
+import csv
+import json
 import random
 
+from pyspark.sql import functions as F
+
+from citeloom import file_queries
+from citeloom.llm import secrets
+from citeloom.schema import conform
+from citeloom.sinks import files
+from citeloom.sources import api, bibtex
 from citeloom.operators import communities, graph, paths, preprocess
 
 
@@ -56,9 +65,60 @@ def test_communities_by_components(spark, monkeypatch):
 
 
 def test_labels_by_components_are_those_by_joins(spark):
-    edges, _ = _cliques(spark)
     draw = random.Random(5)
-    noise = spark.createDataFrame([(min(p), max(p), 1) for p in {tuple(draw.sample(range(10**6, 10**6 + 60), 2)) for _ in range(150)}], "src long, dst long, weight long")
-    both = edges.unionAll(noise)
-    whole, by_joins, mixed = (_members(graph.label_propagation(both, one_task=k)) for k in (1_000, 0, 60))
-    assert whole == by_joins == mixed
+    pairs = {tuple(sorted(draw.sample(range(10**6, 10**6 + 24), 2))) for _ in range(50)}
+    edges = spark.createDataFrame([(*p, 1) for p in sorted(pairs)] + [(1, 2, 1)], "src long, dst long, weight long")
+    assert _members(graph.label_propagation(edges, one_task=1_000)) == _members(graph.label_propagation(edges, one_task=0))
+
+
+def test_hashes_of_rounds_are_those_of_spark(spark):
+    rows = spark.range(-3, 40).select("id", F.xxhash64("id").alias("held"), F.xxhash64("id", F.lit(31)).alias("h")).toPandas()
+    assert (graph._hashed_on(rows["held"].to_numpy(), 31) == rows["h"].to_numpy()).all()
+
+
+def test_works_files_grow_in_number_not_in_size(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(file_queries, "WORKS_OF_A_FILE", 100)
+    monkeypatch.setattr(file_queries, "_folder", lambda _: str(tmp_path / "works"))
+    rows = file_queries.works_file_rows(spark, "/root/testdata/sf0.01")
+    assert rows.count() == spark.read.parquet("/root/testdata/sf0.01/orders.parquet").count()
+    sizes = [len(json.loads(f.read_text())) for f in (tmp_path / "works").glob("part-*.txt")]
+    assert len(sizes) > 120 and max(sizes) < 180  # 40 files of some 375 before
+
+
+def test_replay_reads_on_from_its_cursor(tmp_path, monkeypatch):
+    for k in range(3):
+        (tmp_path / f"{k}.json").write_text("".join(json.dumps({"id": f"W{k * 100 + i}", "publication_year": 2000 + i % 2, "title": "é"}) + "\n" for i in range(100)))
+    told, loads = [], json.loads
+    monkeypatch.setattr(api.json, "loads", lambda line: told.append(line) or loads(line))
+    found, cursor, asked = [], "*", 0
+    while cursor is not None:
+        _, answer = api.replay({"path": str(tmp_path), "filter": "from_publication_date:2001-01-01", "cursor": cursor, "per_page": 10})
+        found += [w["id"] for w in answer["results"]]
+        cursor, asked = answer["meta"]["next_cursor"], asked + 1
+    assert found == [f"W{k}" for k in range(300) if k % 2] and asked == 15
+    assert len(told) <= 300 + asked  # each line once and what is looked ahead at; before, all lines for every page
+
+
+def test_sheet_in_parts(spark, tmp_path):
+    rows = spark.range(50).select(F.format_string("p%02d", "id").alias("id"), F.lit('a "b", c\nd').alias("title"), F.lit("candidate").alias("curation_status"), F.lit(False).alias("is_seed"))
+    corpus = conform(rows)
+    files.write_curation_sheet(corpus, tmp_path / "one.csv")
+    files.write_curation_sheet_parts(corpus, str(tmp_path / "parts"))
+    one, parts = (files.read_curation_sheet(corpus, str(tmp_path / n)).collect() for n in ("one.csv", "parts"))
+    assert sorted(one) == sorted(parts) and len(one) == 50
+    told = [list(csv.reader(f.open(encoding="utf-8-sig", newline=""))) for f in sorted((tmp_path / "parts").glob("part-*.csv"))]
+    assert [r for t in told for r in t[1:]] == list(csv.reader((tmp_path / "one.csv").open(encoding="utf-8-sig", newline="")))[1:]
+
+
+def test_bibtex_entries_leave_a_task_in_parts(spark, tmp_path):
+    sizes = []
+    texts = ["@string{j = {J}}\n" + "".join(f"@article{{k{i}, title = {{T {i}}}, journal = j}}\n" for i in range(25))] * 2
+    for part in bibtex.parsed(texts, ["a", "b"], 10):
+        sizes.append(len(part))
+        assert set(part["journal"]) == {"J"}
+    assert sum(sizes) == 50 and max(sizes) <= 10
+
+
+def test_dictionary_counts_all_documents(spark):
+    docs = spark.createDataFrame([(i, "common words " + ("rarest_name" if i % 1000 == 7 else "other")) for i in range(6000)], "doc_id long, text string")
+    assert "rarest_name" in secrets.identifiers(docs).split()  # in six documents: a sample of 2,000 hardly holds five of them
