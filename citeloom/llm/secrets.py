@@ -6,7 +6,7 @@ compressed by zstandard primed with a dictionary of identifiers and the code aro
 adds almost as many bytes as random characters would, it is reported.  The values of base matches are measured
 alike, to count the placeholders among them.  What it is made of and how long it is
 decide only through those bytes: a short token must add more for each of its characters.  The dictionary is a fixed list
-and, before it, the words and identifiers that most documents of a bounded sample hold (:func:`identifiers`).
+and, before it, the words and identifiers that most of all documents hold (:func:`identifiers`).
 
 Positions are code points, ends exclusive.  Defined results: null counts as an empty text; a text without
 matches gives zero counts, no spans and the hash of the empty string.  Rows that repeat are reported as
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_share, lean
+from .common import lean
 
 KINDS = ("assign", "access", "hex", "novel")
 # The base patterns, letters in either case in the first, and least sizes.
@@ -35,8 +35,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
 
-#: Bounds of the sample that the dictionary is learned from: documents, and words taken; a word must be in so many of them.
-SAMPLE_ROWS, SAMPLE_WORDS, LEAST_DOCS = 2_000, 400, 5
+#: Words of the dictionary, those in most documents; each must be in so many.
+DICTIONARY_WORDS, LEAST_DOCS = 400, 5
 #: A candidate of the method: a run of key characters, so close behind a sensitive word.
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}")
 _SENSITIVE = re.compile(r"password|passwd|pwd|secret|token|api.?key|private.?key|access.?key|credential|auth|bearer|signature", re.ASCII | re.IGNORECASE)
@@ -116,14 +116,12 @@ def _value(text: str, span: tuple[int, int, int]) -> int:
 
 
 def identifiers(docs: DataFrame, text: str = "text") -> str:
-    """A dictionary for :func:`scan_documents`: words without digits that most documents of a sample hold, the fixed list behind them.
+    """A dictionary for :func:`scan_documents`: words without digits that most documents hold, the fixed list behind them.
 
-    The sample takes about SAMPLE_ROWS documents by a hash of the text, so that copies count once at most.
+    Words are counted over all documents; copies count each.
     """
-    share = SAMPLE_ROWS / max(1, docs.count())
-    sample = docs.select(F.col(text).alias("t")).where(hash_share(F.col("t"), 23) < share).distinct()
-    words = sample.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"\b([A-Za-z][A-Za-z_]{3,23})\b"), F.lit(1)))).alias("w"))
-    held = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "w").limit(SAMPLE_WORDS).collect()
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"\b([A-Za-z][A-Za-z_]{3,23})\b"), F.lit(1)))).alias("w"))
+    held = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "w").limit(DICTIONARY_WORDS).collect()
     return " ".join([*(r["w"] for r in reversed(held)), IDENTIFIERS])
 
 
