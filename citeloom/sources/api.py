@@ -106,17 +106,24 @@ def http(params: dict) -> tuple[int, dict]:
         return e.code, {}
 
 
+#: Where the page behind so many works of a search begins, for searches going on in this process.
+_places: dict[tuple, tuple[int, int]] = {}
+MOST_PLACES = 1024
+
+
 def replay(params: dict) -> tuple[int, dict]:
     """Answer from works saved as JSON lines under ``path``, page by page, by the conditions of the request.
 
-    A cursor is the number of a file and the place in it where the next page begins, so that no page reads again what
-    the ones before it have read.  For work without a network; ``log`` names a folder in which each request leaves a file."""
+    A cursor is the number of works before the page.  The process remembers the file and the place in it where the next
+    page begins, so that a search reads each line once; where that isn't known, it reads from the first line.  For work without a network; ``log`` names a folder in which each request leaves a file."""
     wanted = dict(part.split(":", 1) for part in params["filter"].split(",") if part)
     ids = set(wanted["ids"].split("|")) if "ids" in wanted else None
     low, high = (int(wanted[k][:4]) if k in wanted else None for k in ("from_publication_date", "to_publication_date"))
     select = params["select"].split(",") if "select" in params else None
     paths = sorted(Path(params["path"].removeprefix("file:")).glob("*.json"))
-    first, at = (0, 0) if params["cursor"] == "*" else map(int, params["cursor"].split(":"))
+    done = 0 if params["cursor"] == "*" else int(params["cursor"])
+    search = (params["path"], params["filter"])
+    first, at, skip = (*_places[search, done], 0) if done and (search, done) in _places else (0, 0, done)
     page, ahead = [], None
     for k in range(first, len(paths)):
         with paths[k].open("rb") as file:
@@ -127,9 +134,11 @@ def replay(params: dict) -> tuple[int, dict]:
                 year = work.get("publication_year")
                 if (ids is None or work["id"] in ids) and (low is None or (year or low - 1) >= low) and (high is None or (year or high + 1) <= high):
                     if len(page) == params["per_page"]:
-                        ahead = f"{k}:{place}"
+                        ahead = (k, place)
                         break
-                    page.append(work if select is None else {c: work.get(c) for c in select})
+                    skip -= 1
+                    if skip < 0:
+                        page.append(work if select is None else {c: work.get(c) for c in select})
                 place += len(line)
         if ahead:
             break
@@ -137,4 +146,9 @@ def replay(params: dict) -> tuple[int, dict]:
         import uuid
 
         Path(params["log"], uuid.uuid4().hex).write_text(json.dumps({k: params.get(k) for k in ("filter", "select", "cursor")}))
-    return 200, {"results": page, "meta": {"next_cursor": ahead}}
+    last = done + len(page)
+    if ahead:
+        _places[search, last] = ahead
+        while len(_places) > MOST_PLACES:
+            del _places[next(iter(_places))]
+    return 200, {"results": page, "meta": {"next_cursor": str(last) if ahead else None}}
