@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.operators.components import connected_components
-from citeloom.plans.checkpoint import cut
+from citeloom.operators.parts import ONE_TASK_EDGES, Graph, split
+from citeloom.plans.checkpoint import cut, written
 
 #: Rounds of label propagation in which any half of the nodes may move; later only nodes apart from each other.
 FREE_ROUNDS = 24
@@ -110,15 +113,65 @@ def community_composition(communities: DataFrame, nodes: DataFrame, attribute: s
     return full.select("community", "category", (F.coalesce("n", F.lit(0)) / F.col("size")).alias("fraction"))
 
 
-def label_propagation(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def label_propagation(edges: DataFrame, most_rounds: int = 1000, one_task: int | None = None) -> DataFrame:
     """(node, community): every node ends with a label most common among its neighbours; ties go to the own
     label, then the smallest.  Communities are numbered by their smallest node.
 
     In the first rounds a fresh half of the nodes (by hash) moves, so labels cannot swap for ever in step.
     After those, of neighbours that want to move only the one of smallest hash does: each move then adds to
-    the edges inside communities, so the rounds come to an end.
+    the edges inside communities, so the rounds come to an end.  No label leaves a connected component: one of at
+    most ``ONE_TASK_EDGES`` edges goes through the same rounds in one task, the others do by joins.
     """
-    links = cut(both_ways(edges).select("a", "b"))
+    most = ONE_TASK_EDGES if one_task is None else one_task
+    near, far = split(edges.select("src", "dst").where("src is not null and dst is not null"), "src", "dst", most)
+    kind = near.schema["src"].dataType.simpleString()
+    hashed = near.select("pack", "src", "dst", F.xxhash64("src").alias("x"), F.xxhash64("dst").alias("y"))
+    done = written(hashed.groupBy("pack").applyInPandas(lambda part: _settled(part, most_rounds), f"node {kind}, community {kind}"))
+    return done.unionAll(_by_joins(far, most_rounds)) if far.take(1) else done
+
+
+def _hashed_on(held: np.ndarray, i: int) -> np.ndarray:
+    """Spark's xxhash64 of (x, i) from the hashes of x, for an int i."""
+    one, two, three, five = (np.uint64(k) for k in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    with np.errstate(over="ignore"):
+        h = (held.astype(np.int64).view(np.uint64) + five + np.uint64(4)) ^ (np.uint64(i) * one)
+        h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * two + three
+        h = (h ^ (h >> np.uint64(33))) * two
+        h = (h ^ (h >> np.uint64(29))) * three
+        return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def _settled(part: pd.DataFrame, most_rounds: int) -> pd.DataFrame:
+    """(node, community) of the edges (src, dst, x, y) of whole components, by the rounds of :func:`label_propagation`."""
+    graph = Graph(part["src"], part["dst"])
+    held = np.empty(graph.n, np.int64)
+    held[graph.sources()] = np.concatenate([part["x"], part["y"]])[graph.order]
+    ends, label = graph.sources(), np.arange(graph.n)
+    for i in range(most_rounds):
+        cells, votes = np.unique(ends * graph.n + label[graph.to], return_counts=True)
+        node, told = cells // graph.n, cells % graph.n
+        order = np.lexsort((told, told != label[node], -votes, node))
+        best = told[order[np.unique(node[order], return_index=True)[1]]]
+        wants = best != label
+        if not wants.any():
+            break
+        rank = _hashed_on(held, i)
+        if i < FREE_ROUNDS:
+            turn = rank % 2 == 0
+        else:
+            a, b = ends, graph.to
+            earlier = wants[a] & wants[b] & ((rank[b] < rank[a]) | ((rank[b] == rank[a]) & (b < a)))
+            turn = np.ones(graph.n, bool)
+            turn[a[earlier]] = False
+        label = np.where(turn, best, label)
+    else:
+        raise RuntimeError(f"labels did not settle in {most_rounds} rounds")
+    _, first, where = np.unique(label, return_index=True, return_inverse=True)
+    return pd.DataFrame({"node": graph.names, "community": graph.names[first[where]]})
+
+
+def _by_joins(edges: DataFrame, most_rounds: int) -> DataFrame:
+    links = cut(both_ways(edges.withColumn("weight", F.lit(1))).select("a", "b"))
     labels = links.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
     for i in range(most_rounds):
         votes = links.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a", "label").agg(F.count("*").alias("n"))
