@@ -126,7 +126,10 @@ def label_propagation(edges: DataFrame, most_rounds: int = 1000, one_task: int |
     near, far = split(edges.select("src", "dst").where("src is not null and dst is not null"), "src", "dst", most)
     kind = near.schema["src"].dataType.simpleString()
     hashed = near.select("pack", "src", "dst", F.xxhash64("src").alias("x"), F.xxhash64("dst").alias("y"))
-    done = written(hashed.groupBy("pack").applyInPandas(lambda part: _settled(part, most_rounds), f"node {kind}, community {kind}"))
+    free = FREE_ROUNDS
+    done = written(hashed.groupBy("pack").applyInPandas(lambda part: _settled(part, most_rounds, free), f"node {kind}, community {kind}"))
+    if done.where("community is null").take(1):
+        raise RuntimeError(f"labels did not settle in {most_rounds} rounds")
     return done.unionAll(_by_joins(far, most_rounds)) if far.take(1) else done
 
 
@@ -141,8 +144,8 @@ def _hashed_on(held: np.ndarray, i: int) -> np.ndarray:
         return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
-def _settled(part: pd.DataFrame, most_rounds: int) -> pd.DataFrame:
-    """(node, community) of the edges (src, dst, x, y) of whole components, by the rounds of :func:`label_propagation`."""
+def _settled(part: pd.DataFrame, most_rounds: int, free_rounds: int) -> pd.DataFrame:
+    """(node, community) of the edges (src, dst, x, y) of whole components, by the rounds of :func:`label_propagation`; null communities if they didn't settle."""
     graph = Graph(part["src"], part["dst"])
     held = np.empty(graph.n, np.int64)
     held[graph.sources()] = np.concatenate([part["x"], part["y"]])[graph.order]
@@ -156,7 +159,7 @@ def _settled(part: pd.DataFrame, most_rounds: int) -> pd.DataFrame:
         if not wants.any():
             break
         rank = _hashed_on(held, i)
-        if i < FREE_ROUNDS:
+        if i < free_rounds:
             turn = rank % 2 == 0
         else:
             a, b = ends, graph.to
@@ -165,7 +168,7 @@ def _settled(part: pd.DataFrame, most_rounds: int) -> pd.DataFrame:
             turn[a[earlier]] = False
         label = np.where(turn, best, label)
     else:
-        raise RuntimeError(f"labels did not settle in {most_rounds} rounds")
+        return pd.DataFrame({"node": graph.names, "community": pd.Series([None] * graph.n, dtype=object)})
     _, first, where = np.unique(label, return_index=True, return_inverse=True)
     return pd.DataFrame({"node": graph.names, "community": graph.names[first[where]]})
 
