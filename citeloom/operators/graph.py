@@ -13,6 +13,8 @@ from citeloom.plans.checkpoint import cut, written
 
 #: Rounds of label propagation in which any half of the nodes may move; later only nodes apart from each other.
 FREE_ROUNDS = 24
+#: Nodes whose triangles are counted by their matrix, and wedges that a task looks up at a time.
+CORE, WEDGES = 2048, 1_000_000
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -39,23 +41,87 @@ def density(edges: DataFrame) -> DataFrame:
     return counts.withColumn("density", F.when(F.col("nodes") > 1, 2 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))).otherwise(0.0))
 
 
-def clustering(edges: DataFrame) -> DataFrame:
+def clustering(edges: DataFrame, one_task: int | None = None) -> DataFrame:
     """(node, triangles, clustering), unweighted.
 
-    Every triangle is found once: edges point from the smaller degree to the larger, so that no node,
-    however connected, has many outgoing edges, and two outgoing edges of a node are closed by a third.
+    No wedge leaves a task.  A network of at most ``ONE_TASK_EDGES`` edges is counted in one task, a component
+    of that size too; larger components are dealt to tiles, for each three colours of nodes the edges between
+    them, where every triangle lies in one tile.
     """
-    d = degrees(edges).select("node", "degree")
-    ranked = edges.join(d.select(F.col("node").alias("src"), F.col("degree").alias("ds")), "src").join(d.select(F.col("node").alias("dst"), F.col("degree").alias("dd")), "dst")
-    forward = F.struct("ds", "src") < F.struct("dd", "dst")
-    out = ranked.select(F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("v"))
-    wedges = out.alias("x").join(out.alias("y"), F.col("x.u") == F.col("y.u")).where("x.v < y.v").select(F.col("x.u").alias("u"), F.col("x.v").alias("src"), F.col("y.v").alias("dst"))
-    corners = wedges.join(edges.select("src", "dst"), ["src", "dst"]).select(F.explode(F.array("u", "src", "dst")).alias("node"))
-    counts = corners.groupBy("node").agg(F.count("*").alias("triangles"))
+    most = ONE_TASK_EDGES if one_task is None else one_task
+    held = written(edges.select("src", "dst"))
+    kind = held.schema["src"].dataType.simpleString()
+    found = f"node {kind}, triangles long"
+    n = held.count()
+    if n <= most // 4:
+        counts = held.withColumn("pack", F.lit(0)).groupBy("pack").applyInPandas(_triangles, found)
+    else:
+        near, far = split(held, "src", "dst", most)
+        counts = near.groupBy("pack").applyInPandas(_triangles, found)
+        large = far.count()
+        if large:
+            tiles = _tiles(far, int(np.ceil(3 * np.sqrt(large / most))))
+            counts = counts.unionAll(tiles.groupBy("i", "j", "k").applyInPandas(_triangles_of_tile, found)).groupBy("node").agg(F.sum("triangles").alias("triangles"))
+    d = degrees(held.withColumn("weight", F.lit(1))).select("node", "degree")
     t = F.coalesce("triangles", F.lit(0))
     return d.join(counts, "node", "left").select("node", t.alias("triangles"), F.when(F.col("degree") > 1, 2 * t / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0).alias("clustering"))
 
 
+def _tiles(edges: DataFrame, colours: int) -> DataFrame:
+    """(i, j, k, src, dst): every edge with the colours of its ends and each third one, in order."""
+    colour = lambda c: F.pmod(F.xxhash64(c), F.lit(colours)).cast("int")
+    dealt = edges.select("src", "dst", colour("src").alias("a"), colour("dst").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(colours - 1))).alias("c"))
+    tile = F.array_sort(F.array("a", "b", "c"))
+    return dealt.select(*[tile[n].alias(c) for n, c in enumerate("ijk")], "src", "dst", (F.col("a") == F.col("b")).alias("same"))
+
+
+def _triangles_of_tile(part: pd.DataFrame) -> pd.DataFrame:
+    """Triangles of exactly the three colours of a tile; those of a colour that stands twice there lie in a tile of their own."""
+    counts = _triangles(part)
+    if part["i"].iat[0] == part["k"].iat[0] or not part["same"].any():
+        return counts
+    within = _triangles(part[part["same"]]).set_index("node")["triangles"]
+    counts["triangles"] -= counts["node"].map(within).fillna(0).astype(np.int64)
+    return counts[counts["triangles"] > 0]
+
+
+def _triangles(part: pd.DataFrame) -> pd.DataFrame:
+    """(node, triangles) of the edges (src, dst) in a task, by the order of degrees.
+
+    Triangles among the ``CORE`` nodes of most neighbours come from a product of their matrix, the others from
+    the wedges of their node of fewest neighbours, some millions at a time.
+    """
+    codes, names = pd.factorize(pd.concat([part["src"], part["dst"]], ignore_index=True))
+    n, half = len(names), len(part)
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(np.bincount(codes, minlength=n), kind="stable")] = np.arange(n)
+    x, y = rank[codes[:half]], rank[codes[half:]]
+    keys = np.unique(np.minimum(x, y) * n + np.maximum(x, y))  # each edge from its lower rank to its higher
+    low, high = keys // n, keys % n
+    total, first = np.zeros(n, np.int64), max(0, n - CORE)
+    inner = low >= first
+    m = np.zeros((n - first, n - first), np.float32)
+    m[low[inner] - first, high[inner] - first] = 1
+    m += m.T
+    for k in range(0, len(m), 256):
+        total[first + k : first + k + 256] = ((m[k : k + 256] @ m) * m[k : k + 256]).sum(axis=1, dtype=np.float64).astype(np.int64) // 2
+    start = np.searchsorted(low, np.arange(n + 1))
+    later = np.where(inner, 0, start[low + 1] - np.arange(len(low)) - 1)  # wedges that an edge opens with those behind it
+    cut_at = np.searchsorted(np.cumsum(later), np.arange(0, later.sum() + WEDGES, WEDGES), side="right")
+    for a, b in zip(cut_at[:-1], cut_at[1:]):
+        at = np.repeat(np.arange(a, b), later[a:b])
+        if len(at):
+            ends = np.cumsum(later[a:b])
+            other = at + 1 + np.arange(len(at)) - np.repeat(ends - later[a:b], later[a:b])
+            wanted = high[at] * n + high[other]
+            place = np.searchsorted(keys, wanted)
+            hit = keys[np.minimum(place, len(keys) - 1)] == wanted
+            for corner in (low[at[hit]], high[at[hit]], high[other[hit]]):
+                total += np.bincount(corner, minlength=n)
+    told = total[rank]
+    return pd.DataFrame({"node": np.asarray(names)[told > 0], "triangles": told[told > 0]})
+
+
 def average_clustering(edges: DataFrame) -> DataFrame:
     return clustering(edges).agg(F.coalesce(F.avg("clustering"), F.lit(0.0)).alias("average_clustering"))
 

@@ -4,6 +4,7 @@ import csv
 import json
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from citeloom import file_queries
@@ -122,3 +123,22 @@ def test_bibtex_entries_leave_a_task_in_parts(spark, tmp_path):
 def test_dictionary_counts_all_documents(spark):
     docs = spark.createDataFrame([(i, "common words " + ("rarest_name" if i % 1000 == 7 else "other")) for i in range(6000)], "doc_id long, text string")
     assert "rarest_name" in secrets.identifiers(docs).split()  # in six documents: a sample of 2,000 hardly holds five of them
+
+
+def test_triangles_by_components_and_tiles(spark, monkeypatch):
+    draw = random.Random(3)
+    pairs = sorted({tuple(sorted(draw.sample(range(60), 2))) for _ in range(500)} | {(a, b) for a in range(100, 106) for b in range(a + 1, 106)} | {(200, 201)})
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    expected = {v: sum(b in near[a] for a in m for b in m if a < b) for v, m in near.items()}
+    edges = spark.createDataFrame([(a, b, 1) for a, b in pairs], "src long, dst long, weight long")
+    for core, wedges in ((2048, 4_000_000), (10, 50), (0, 7)):
+        monkeypatch.setattr(graph, "CORE", core)
+        monkeypatch.setattr(graph, "WEDGES", wedges)
+        rows = graph._triangles(pd.DataFrame(pairs, columns=["src", "dst"]))
+        assert dict(zip(rows["node"], rows["triangles"])) == {v: t for v, t in expected.items() if t}
+    monkeypatch.undo()
+    for one_task in (10_000, 600, 100):  # one task, one a component, and tiles for the larger component
+        assert _members(graph.clustering(edges, one_task), "triangles") == expected
