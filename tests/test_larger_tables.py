@@ -5,14 +5,18 @@ import json
 import random
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from citeloom import file_queries
+from citeloom import file_queries, queries, row_queries
 from citeloom.llm import secrets
 from citeloom.schema import conform
 from citeloom.sinks import files
 from citeloom.sources import api, bibtex
-from citeloom.operators import communities, graph, paths, preprocess
+from citeloom.store import Store, write_snapshot
+from citeloom.functions import identity
+from citeloom.operators import communities, graph, networks, paths, preprocess
+from citeloom.plans import star
 
 
 def test_repeated_names_count_once_and_no_piece_table_is_broadcast(spark):
@@ -142,3 +146,67 @@ def test_triangles_by_components_and_tiles(spark, monkeypatch):
     monkeypatch.undo()
     for one_task in (10_000, 600, 100):  # one task, one a component, and tiles for the larger component
         assert _members(graph.clustering(edges, one_task), "triangles") == expected
+
+
+def _partitions(df):
+    """Partitions that hold rows, and the most rows of one."""
+    held = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return len(held), max(held)
+
+
+def test_papers_are_dealt_by_their_number(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    before = sorted(map(repr, star.papers(spark, d).collect()))
+    monkeypatch.setattr(star, "LINES_OF_A_TASK", 100, raising=False)
+    parts, most = _partitions(star.papers(spark, d))
+    assert parts > 40 and most < 70  # four partitions of some 375 papers before
+    assert sorted(map(repr, star.papers(spark, d).collect())) == before
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(networks, "PAIRS_OF_A_TASK", 2_000, raising=False)
+    edges = networks.project(star.coupling(spark, "/root/testdata/sf0.001"))
+    parts, most = _partitions(edges)
+    assert edges.count() == 84_761 and parts > 40 and most < 2_400  # four partitions before
+    few = networks.project(star.institutions(spark, "/root/testdata/sf0.001"))
+    assert "REPARTITION_BY_NUM" not in few._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(src")[0]
+
+
+def test_corpora_are_computed_once_for_files(spark, tmp_path):
+    told = spark.sparkContext.accumulator(0)
+
+    def name(i):
+        told.add(1)
+        return f"title {i}"
+
+    title = F.udf(name, "string").asNondeterministic()
+    corpus = conform(spark.range(40).select(F.col("id").cast("string").alias("id"), title("id").alias("title"), (F.col("id") + 1).alias("_seq"))).withColumn("_seq", F.col("id").cast("long") + 1)
+    held = write_snapshot(corpus, tmp_path / "snapshot")
+    assert told.value == 40 and held.manifest["corpus_hash"] == identity.corpus_hash(held.corpus)
+    with Store(spark, tmp_path / "store") as store:
+        store.replace(corpus)
+        assert told.value == 80
+        store.persist(corpus)
+        assert told.value == 120 and store.papers().count() == 40
+
+
+def test_hashed_corpora_are_read_not_computed(spark, monkeypatch):
+    hashed, own = [], identity.corpus_hash
+    monkeypatch.setattr(identity, "corpus_hash", lambda df: hashed.append(df) or own(df))
+    assert tuple(row_queries.content_hash_invariants(spark, "/root/testdata/sf0.001").first()) == (True, True, True, False, False)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in hashed]
+    assert len(plans) == 6 and not any("Aggregate" in p or "RepartitionByExpression [year#" in p and ", 7" in p for p in plans)
+
+
+def test_few_texts_at_a_time_are_held_as_words():
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(100)), "text": [f"a b{i} a\tc\u00a0d" for i in range(100)]})
+    found = list(queries._inverted([batch]))
+    assert max(b.num_rows for b in found) <= queries.ABSTRACTS_AT_ONCE < 100
+    rows = [r for b in found for r in b.to_pylist()]
+    assert [r["doc_id"] for r in rows] == list(range(100)) and rows[7]["ix"] == [("a", [0, 2]), ("b7", [1]), ("c\u00a0d", [3])]
+
+
+def test_works_are_parsed_once(spark):
+    found = row_queries.works_institutions(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and "aggregate(" not in plan
