@@ -52,11 +52,8 @@ EVENT = T.StructType([
 ])
 
 
-def validate(df: DataFrame) -> DataFrame:
-    """``df`` itself if it has every column with its exact type and no null in a required one.
-
-    Columns beyond the 23 are tolerated.  One aggregation counts the nulls of all required columns.
-    """
+def check_columns(df: DataFrame) -> None:
+    """An error unless ``df`` has every column with its exact type; columns beyond the 23 are tolerated."""
     have = {f.name: f.dataType for f in df.schema}
     missing = sorted(set(COLUMNS) - have.keys())
     if missing:
@@ -64,6 +61,14 @@ def validate(df: DataFrame) -> DataFrame:
     for field in CORPUS_SCHEMA:
         if have[field.name].simpleString() != field.dataType.simpleString():
             raise SchemaError(f"column {field.name}: {have[field.name].simpleString()} instead of {field.dataType.simpleString()}")
+
+
+def validate(df: DataFrame) -> DataFrame:
+    """``df`` itself if it has every column with its exact type and no null in a required one.
+
+    One aggregation counts the nulls of all required columns.
+    """
+    check_columns(df)
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in REQUIRED]).first().asDict()
     for c in REQUIRED:
         if nulls[c]:

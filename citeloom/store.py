@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.operators.merge import SEQ, latest_by, merge, unseen, with_sequence
-from citeloom.plans.checkpoint import cut
-from citeloom.schema import COLUMNS, CORPUS_SCHEMA, validate
+from citeloom.plans.checkpoint import discard, written
+from citeloom.schema import COLUMNS, CORPUS_SCHEMA, check_columns, validate
 
 # The tables beside the papers.
 LOGS = {
@@ -121,12 +121,21 @@ class Store:
             return self.spark.createDataFrame([], f"struct<{CORPUS_SCHEMA.simpleString()[7:-1]},{SEQ}:bigint>")
         return self.spark.read.parquet(*[str(self.path / f) for f in sorted(folders)])
 
-    def _write(self, papers: DataFrame) -> None:
-        rows = cut(papers.select(*COLUMNS, SEQ))
+    def _write(self, rows: DataFrame) -> None:
         buckets = min(MOST_BUCKETS, max(1, -(-rows.count() // BUCKET_ROWS)))
         found, last = self._put(rows, buckets)
         self._point({"n": buckets, "last": last, "buckets": found})
 
+    def _held(self, corpus: DataFrame) -> DataFrame:
+        """Papers computed once, with ``_seq``: they are counted, checked and put from their columns on disk."""
+        check_columns(corpus)
+        rows = written(with_sequence(corpus).select(*COLUMNS, SEQ))
+        try:
+            return validate(rows)
+        except Exception:
+            discard(rows)
+            raise
+
     def papers(self) -> DataFrame:
         """The table with ``_seq``; a column of an older layout is renamed on reading."""
         version = self._version()
@@ -146,18 +155,24 @@ class Store:
         """Merge papers into the table; only buckets that they fall into are read and written again."""
         version = self._version()
         listed = self._listed(version) if version else None
+        new = self._held(corpus)
         if listed is None:
-            self._write(merge(self.papers(), validate(corpus)) if version else with_sequence(validate(corpus)))
-            return
-        new = cut(with_sequence(validate(corpus)))
-        touched = {str(r["b"]) for r in new.select(_bucket(F.col("id"), listed["n"]).alias("b")).distinct().collect()}
-        old = self._read([f for b, f in listed["buckets"].items() if b in touched]).select(*COLUMNS, SEQ)
-        found, last = self._put(merge(old, new, listed["last"]), listed["n"])
-        self._point({"n": listed["n"], "last": max(last, listed["last"]), "buckets": {**listed["buckets"], **found}})
+            rows = written(merge(self.papers(), new)) if version else new
+            self._write(rows)
+            if version:
+                discard(rows)
+        else:
+            touched = {str(r["b"]) for r in new.select(_bucket(F.col("id"), listed["n"]).alias("b")).distinct().collect()}
+            old = self._read([f for b, f in listed["buckets"].items() if b in touched]).select(*COLUMNS, SEQ)
+            found, last = self._put(merge(old, new, listed["last"]), listed["n"])
+            self._point({"n": listed["n"], "last": max(last, listed["last"]), "buckets": {**listed["buckets"], **found}})
+        discard(new)
 
     def replace(self, corpus: DataFrame) -> None:
         """All papers are exchanged; the logs stay."""
-        self._write(with_sequence(validate(corpus)))
+        rows = self._held(corpus)
+        self._write(rows)
+        discard(rows)
 
     def sql(self, query: str) -> DataFrame:
         """Any SELECT over ``corpus`` and the logs."""
@@ -246,7 +261,8 @@ def write_snapshot(corpus: DataFrame, path: str | Path, manifest: dict | None =
     path = Path(path)
     path.mkdir(parents=True, exist_ok=True)
     corpus.select(*COLUMNS).write.mode("overwrite").parquet(str(path / "corpus.parquet"))
-    held = {"schema_version": SNAPSHOT_VERSION, "lib_version": __version__, **(manifest or {}), "corpus_hash": corpus_hash(corpus), "created_at": now().isoformat()}
+    written = corpus.sparkSession.read.parquet(str(path / "corpus.parquet"))  # the corpus isn't computed again for its hash
+    held = {"schema_version": SNAPSHOT_VERSION, "lib_version": __version__, **(manifest or {}), "corpus_hash": corpus_hash(written), "created_at": now().isoformat()}
     (path / "manifest.json").write_text(json.dumps(held, ensure_ascii=False, indent=2, sort_keys=True), encoding="utf-8")
     return Snapshot(corpus.sparkSession, path)
 
