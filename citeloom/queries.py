@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from citeloom.sinks.files import curation_rows
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Texts that a task turns into inverted indexes at a time.
+ABSTRACTS_AT_ONCE = 32
 
 
 def query(sql: str | None = None):
@@ -497,26 +500,28 @@ def thesaurus_map(spark, d):
     return out.select("id", F.array_join(F.array_sort("keywords_id"), ",").alias("words"))
 
 
-@query("SELECT doc_id, abstract FROM (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS abstract FROM documents) WHERE abstract <> ''")
-def abstract_rebuild(spark, d):
-    """Whole texts turned into inverted indexes {word: positions}, where they are read, and back by the operator."""
+def _inverted(batches):
+    """(doc_id, ix) of texts, {word: positions}; a few texts at a time are held as words."""
     import pyarrow as pa
 
-    from citeloom.sources.works_json import abstract
-
-    def index(batches):
-        for batch in batches:
-            held = []
-            for words in batch.column("words").to_pylist():
+    for batch in batches:
+        for k in range(0, batch.num_rows, ABSTRACTS_AT_ONCE):
+            some, held = batch.slice(k, ABSTRACTS_AT_ONCE), []
+            for told in some.column("text").to_pylist():
                 places: dict[str, list[int]] = {}
-                for i, w in enumerate(words or []):
+                for i, w in enumerate(w for w in re.split(r"[ \t\n\x0b\f\r]+", told) if w):
                     places.setdefault(w, []).append(i)
                 held.append(list(places.items()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held, pa.map_(pa.string(), pa.list_(pa.int32())))], ["doc_id", "ix"])
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(held, pa.map_(pa.string(), pa.list_(pa.int32())))], ["doc_id", "ix"])
+
+
+@query("SELECT doc_id, abstract FROM (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS abstract FROM documents) WHERE abstract <> ''")
+def abstract_rebuild(spark, d):
+    """Whole texts turned into inverted indexes {word: positions}, where they are read, and back by the operator."""
+    from citeloom.sources.works_json import abstract
 
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    rows = star.table(spark, d, "documents").select("doc_id", words.alias("words")).where("size(words) > 0")
-    return rows.mapInArrow(index, "doc_id long, ix map<string,array<int>>").select("doc_id", abstract(F.col("ix")).alias("abstract"))
+    rows = star.table(spark, d, "documents").select("doc_id", "text").where(F.col("text").rlike(r"\S"))
+    return rows.mapInArrow(_inverted, "doc_id long, ix map<string,array<int>>").select("doc_id", abstract(F.col("ix")).alias("abstract"))
 
 
 # Without SQL --------------------------------------------------------------------------------
