@@ -22,13 +22,16 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import lean
 
-#: Pieces whose ids each worker remembers; a full cache takes no more.
-CACHE = 250_000
+#: Pieces whose ids a task remembers; a full cache takes no more. About 15 MB with the pre-tokens.
+CACHE = 1 << 16
+#: Bytes of text that are encoded and handed on together; a longer text stands alone.
+TOGETHER = 1 << 18
 #: Marks that the pattern makes a pre-token of their own after letters.
 _MARKS = frozenset(".,;:!?")
 #: White space beside a space, and white space outside ASCII (with the separators that Python counts).
@@ -164,22 +167,25 @@ class Codec:
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(self.tokens[ids].tolist())
 
+    def forget(self) -> None:
+        """Empty the caches: the process serves other stages too."""
+        self.cache, self.words = {}, {}
+
 
 @lru_cache(maxsize=4)
 def codec(path: str, pattern: str) -> Codec:
     return Codec(load_ranks(path), pattern)
 
 
-def runs(texts: list[str], most: int = 1 << 20):
-    """Consecutive texts of about ``most`` characters together."""
+def parts(batch: pa.RecordBatch, at: int, most: int = TOGETHER):
+    """The batch in parts of consecutive rows with about ``most`` bytes in column ``at`` together."""
     first, held = 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > most:
-            yield first, i
+    for i, size in enumerate(pc.binary_length(batch.column(at)).to_pylist()):
+        if held and held + (size or 0) > most:
+            yield batch.slice(first, i - first)
             first, held = i, 0
-        held += len(t)
-    if first < len(texts):
-        yield first, len(texts)
+        held += size or 0
+    yield batch.slice(first)
 
 
 def _digest(data: bytes) -> str:
@@ -203,10 +209,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, outputs: list[str
 
     def run(batches):
         c = codec(path, pattern)
-        for batch in batches:
+        for part in (p for batch in batches for p in parts(batch, at)):
             got: dict[str, list] = {name: [] for name in outputs}
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            for ids in (x for a, b in runs(texts) for x in c.encode_batch(texts[a:b])):
+            for ids in c.encode_batch([t or "" for t in part.column(at).to_pylist()]):
                 decoded = c.decode(ids) if "decoded" in got or "decoded_sha256" in got else b""
                 for name, value in (
                     ("ids", lambda: ids.astype(np.int32)), ("decoded", lambda: decoded), ("n_tokens", lambda: len(ids)),
@@ -215,7 +220,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, outputs: list[str
                     if name in got:
                         got[name].append(value())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(got[n], _ARROW[n]) for n in outputs)], [*keep, *outputs]
+                [*part.columns, *(pa.array(got[n], _ARROW[n]) for n in outputs)], [*keep, *outputs]
             )
+        c.forget()
 
     return docs.select(*keep).mapInArrow(lean(run), schema)

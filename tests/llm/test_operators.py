@@ -6,10 +6,12 @@ import math
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -118,6 +120,28 @@ def test_byte_bpe(docs, texts, empty):
     assert byte_bpe.encode_documents(empty, path, public_tokenizers.PATTERN, names).count() == 0
 
 
+def test_byte_bpe_memory():
+    """Batches are encoded in small parts, and what a task remembers is bounded and given back."""
+    texts = [None, "", *("word " * k for k in (9, 70_000, 30_000, 1, 30_000)), None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    parts = list(byte_bpe.parts(batch, 1))
+    assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist() and [p.num_rows for p in parts] == [3, 1, 2, 2]
+    assert [p.num_rows for p in byte_bpe.parts(batch.slice(0, 0), 1)] == [0]
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
+    codec = byte_bpe.Codec(byte_bpe.load_ranks(path), public_tokenizers.PATTERN)
+    tracemalloc.start()
+    for k in range(0, 200_000, 10_000):
+        text = " ".join(f"{n}x{n % 97}" for n in range(k, k + 10_000))
+        assert codec.encode(text).tolist() == own.encode_ordinary(text)
+    held = tracemalloc.get_traced_memory()[0]
+    codec.forget()
+    left = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 25e6 and left < 2e6
+    assert codec.encode("7x7 and more").tolist() == own.encode_ordinary("7x7 and more")
+
+
 @pytest.mark.parametrize("t", ["", " a", "a ", "a  b", "x \n y", "\n\na b", "don't I'LL", "<|endoftext|>", "a　b \xa0 c", ". a. ,b 's x's,", "\x00\x01 \x1c a"])
 def test_byte_bpe_white_space(t):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
