@@ -210,3 +210,21 @@ def test_works_are_parsed_once(spark):
     found = row_queries.works_institutions(spark, "/root/testdata/sf0.001")
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1 and "aggregate(" not in plan
+
+
+def _joined_cliques(spark):
+    """Two cliques of twelve with a bridge, in one component of 133 edges."""
+    pairs = [(c * 100 + i, c * 100 + j) for c in (1, 2) for i in range(12) for j in range(i + 1, 12)] + [(103, 207)]
+    return spark.createDataFrame([(*p, 1) for p in pairs], "src long, dst long, weight long")
+
+
+def test_betweenness_of_dense_components_needs_no_joins(spark, monkeypatch):
+    edges = _joined_cliques(spark)
+    by_joins = _members(paths.betweenness(edges, 10**9), "betweenness")
+    monkeypatch.setattr(paths, "ONE_TASK_EDGES", 20)
+    monkeypatch.setattr(paths, "_levels", lambda *a: 1 / 0)  # before, a component of that many edges went by joins, whatever its nodes
+    found = _members(paths.betweenness(edges), "betweenness")
+    assert found.keys() == by_joins.keys() and all(abs(found[v] - by_joins[v]) < 1e-12 for v in found)
+    graph_ = paths.Graph(*(edges.toPandas()[c] for c in ("src", "dst")))
+    one_by_one = sum(paths._hanging(graph_, v) for v in range(graph_.n))
+    assert abs(paths._hanging_of_all(graph_, paths.np.arange(graph_.n)) - one_by_one).max() < 1e-9
