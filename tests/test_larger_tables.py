@@ -228,3 +228,23 @@ def test_betweenness_of_dense_components_needs_no_joins(spark, monkeypatch):
     graph_ = paths.Graph(*(edges.toPandas()[c] for c in ("src", "dst")))
     one_by_one = sum(paths._hanging(graph_, v) for v in range(graph_.n))
     assert abs(paths._hanging_of_all(graph_, paths.np.arange(graph_.n)) - one_by_one).max() < 1e-9
+
+
+def test_greedy_modularity_of_dense_components_needs_no_joins(spark, monkeypatch):
+    edges = _joined_cliques(spark)
+    whole = _members(communities.greedy_modularity(edges, one_task=1_000))
+    monkeypatch.setattr(communities, "ONE_TASK_EDGES", 20)
+    monkeypatch.setattr(communities, "_mutual_merges", lambda *a: 1 / 0)  # before, a component of that many edges went by joins, whatever its nodes
+    assert _members(communities.greedy_modularity(edges)) == whole and len(set(whole.values())) == 2
+
+
+def test_greedy_modularity_by_matrix_is_that_by_heap():
+    for seed in range(20):
+        draw = random.Random(seed)
+        pairs = sorted({tuple(sorted(draw.sample(range(20), 2))) for _ in range(60)} | {(i, i + 1) for i in range(19)})
+        x, y = (paths.np.array(c) for c in zip(*pairs))
+        graph_ = {v: {} for v in range(20)}
+        for a, b in pairs:
+            graph_[a][b] = graph_[b][a] = 1.0
+        found = communities._finish_greedy(graph_, {}, 2.0 * len(pairs))
+        assert [found[v] for v in range(20)] == communities._finish_greedy_matrix(x, y, paths.np.ones(len(x)), 20, 2.0 * len(pairs)).tolist()
