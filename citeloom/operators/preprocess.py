@@ -13,11 +13,13 @@ from pyspark.sql import types as T
 from citeloom.functions.text import fold_text, normalize_language, normalize_list, token_sort_ratio
 from citeloom.operators.aggregates import document_frequency
 from citeloom.operators.components import connected_components
-from citeloom.plans.checkpoint import cut
+from citeloom.plans.checkpoint import cut, written
 
 AUTHOR_THRESHOLD, KEYWORD_THRESHOLD = 0.92, 0.90
 #: A lookup is broadcast up to this size in bytes; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Characters of texts that are listed without one, and without two, of their characters.
+MOST_LISTED, MOST_LISTED_TWICE = 64, 20
 
 
 def normalize(corpus: DataFrame) -> DataFrame:
@@ -66,8 +68,42 @@ def _sorted_tokens(c: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(c, r"\s+"), lambda x: x != "")), " ")
 
 
-def similar_pairs(values: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) with a < b: variants whose token-sort similarity reaches ``threshold`` (0 to 1).
+def _least_common(t: float, m: Column, n: Column) -> Column:
+    """Length of the common subsequence from which on texts of m and n characters are similar."""
+    least = F.ceil(t * (m + n) / 2 - 1e-6).cast("int")
+    return F.when(200.0 * least / (m + n) >= 100 * t, least).otherwise(least + 1)
+
+
+def _near(t: float, m: Column, n: Column) -> Column:
+    """Whether texts of m <= n characters that are similar are alike but for so few characters that all texts without them can be listed."""
+    away = n - _least_common(t, m, n)
+    return (n <= MOST_LISTED) & ((away <= 1) | ((away == 2) & (n <= MOST_LISTED_TWICE)))
+
+
+def near_links(values: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) that join what the similar pairs among :func:`_near` lengths join, without making these pairs.
+
+    Texts of m and n characters are similar if a text of the least common length is left of both when characters are
+    taken away.  For each two lengths that occur, texts are listed with what can be left of them; all that share
+    it hang on the smallest.  Rows are in proportion to the texts, however many are similar to each other.
+    """
+    t, m, n = threshold, F.col("m"), F.col("n")
+    v = values.select("value").distinct().select("value", _sorted_tokens(F.col("value")).alias("s")).withColumn("held", F.length("s")).where(F.col("held").between(1, MOST_LISTED))
+    lengths = v.select("held").distinct()
+    two = lengths.select(F.col("held").alias("m")).crossJoin(lengths.select(F.col("held").alias("n"))).where("m <= n")  # lengths up to MOST_LISTED
+    two = two.withColumn("least", _least_common(t, m, n)).where((F.col("least") <= m) & _near(t, m, n))
+    sides = two.select("m", "n", "least", F.explode(F.array_distinct(F.array("m", "n"))).alias("held"))
+    without = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(x.substr(F.lit(1), i - 1), x.substr(i + 1, F.length(x))))
+    s, away = F.col("s"), F.col("held") - F.col("least")
+    left = F.when(away == 0, F.array(s)).when(away == 1, without(s)).otherwise(F.flatten(F.transform(without(s), without)))
+    listed = cut(v.join(F.broadcast(sides), "held").select("value", "m", "n", "held", F.explode(F.array_distinct(left)).alias("left")))
+    met = listed.groupBy("m", "n", "left").agg(F.min("value").alias("to"), F.count("*").alias("k"), F.min("held").alias("low"), F.max("held").alias("high"))
+    met = met.where((F.col("k") > 1) & (F.col("low") == m) & (F.col("high") == n)).select("m", "n", "left", "to")
+    return listed.join(met, ["m", "n", "left"]).where("value <> to").select(F.col("to").alias("a"), F.col("value").alias("b"))
+
+
+def similar_pairs(values: DataFrame, threshold: float, far: bool = False) -> DataFrame:
+    """(a, b) with a < b: variants whose token-sort similarity reaches ``threshold`` (0 to 1); with ``far`` only those that :func:`near_links` leaves out.
 
     No pair is lost.  With similarity 2*LCS/(m+n) >= t, the edit distance by insertions and deletions is at
     most d = (1-t)*(m+n), where m >= r*n with r = t/(2-t).  The longer string is cut into k pieces of about
@@ -99,7 +135,11 @@ def similar_pairs(values: DataFrame, threshold: float) -> DataFrame:
         one = lambda i: F.struct(i.alias("i"), bound(n, k, i).alias("at"), x.substr(bound(n, k, i) + 1, bound(n, k, i + 1) - bound(n, k, i)).alias("p"))
         return F.transform(F.sequence(F.lit(0), k - 1), one)
 
-    whole = v.where("n > 0").withColumn("k", pieces(F.col("n"))).withColumn("all", cut_up(F.col("s"), F.col("n"), F.col("k")))
+    def asked(m: Column, n: Column) -> Column:
+        return (_least_common(t, m, n) <= m) & ~_near(t, m, n) if far else F.lit(True)
+
+    longer = v.where("n > 0").where(F.exists(F.sequence(F.greatest(F.lit(1), F.floor(F.col("n") * ratio).cast("int")), F.col("n")), lambda m: asked(m, F.col("n"))))
+    whole = longer.withColumn("k", pieces(F.col("n"))).withColumn("all", cut_up(F.col("s"), F.col("n"), F.col("k")))
     flat = whole.select("value", "n", F.explode("all").alias("x")).select("value", "n", "x.i", "x.at", "x.p")
     times = cut(flat.groupBy("n", "i", "p").agg(F.count("*").alias("times")))
     rare = flat.join(times.hint("merge"), ["n", "i", "p"]).groupBy("value").agg(F.array_sort(F.collect_list(F.struct("times", "i", "at", "p"))).alias("rare"))
@@ -109,7 +149,7 @@ def similar_pairs(values: DataFrame, threshold: float) -> DataFrame:
 
     # Pieces of every length that a longer partner may have are looked up on the shorter side.
     sizes = F.sequence(F.col("n"), F.greatest(F.col("n"), F.floor(F.col("n") / ratio + 1e-9).cast("int")))
-    short = v.where("n > 0").select("value", "s", "n", F.explode(sizes).alias("nb")).withColumn("k", pieces(F.col("nb"))).withColumn("d", edits(F.col("n") + F.col("nb")))
+    short = v.where("n > 0").select("value", "s", "n", F.explode(sizes).alias("nb")).where(asked(F.col("n"), F.col("nb"))).withColumn("k", pieces(F.col("nb"))).withColumn("d", edits(F.col("n") + F.col("nb")))
     short = short.select("value", "s", "n", "nb", "k", "d", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
     at, size = bound(F.col("nb"), F.col("k"), F.col("i")), bound(F.col("nb"), F.col("k"), F.col("i") + 1) - bound(F.col("nb"), F.col("k"), F.col("i"))
     starts = F.filter(F.sequence(at - F.col("d"), at + F.col("d")), lambda x: (x >= 0) & (x + size <= F.col("n")))
@@ -134,7 +174,8 @@ def variant_clusters(frequency: DataFrame, threshold: float, spare: str | None =
     frequent, ties by value.  Values matching the pattern ``spare`` are left alone; of a value that repeats the counts are added."""
     every = frequency if spare is None else frequency.where(~F.col("value").rlike(spare))
     rows = cut(every.groupBy("value").agg(F.sum("n").alias("n")))
-    groups = connected_components(cut(similar_pairs(rows, threshold)), "a", "b")
+    links = written(similar_pairs(rows, threshold, far=True).unionAll(near_links(rows, threshold)))
+    groups = connected_components(links, "a", "b", forests=True)
     held = groups.join(rows, groups["node"] == rows["value"]).select("value", "n", "component")
     best = held.groupBy("component").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("canonical"))
     return held.join(best, "component").where("value <> canonical").select("value", "canonical")

@@ -248,3 +248,30 @@ def test_greedy_modularity_by_matrix_is_that_by_heap():
             graph_[a][b] = graph_[b][a] = 1.0
         found = communities._finish_greedy(graph_, {}, 2.0 * len(pairs))
         assert [found[v] for v in range(20)] == communities._finish_greedy_matrix(x, y, paths.np.ones(len(x)), 20, 2.0 * len(pairs)).tolist()
+
+
+def test_names_alike_but_for_few_characters_are_joined_without_pairs(spark, monkeypatch):
+    draw = random.Random(3)
+    words = ["".join(draw.choices("ab01", k=draw.randint(1, 5))) for _ in range(12)]
+    names = sorted({" ".join(draw.sample(words, draw.randint(1, 5))) for _ in range(150)} | {"", " "})
+    rows = spark.createDataFrame([(v, 1 + draw.randrange(3)) for v in names], "value string, n long")
+    for t in (0.92, 0.85):
+        pairs = [tuple(r) for r in preprocess.similar_pairs(rows, t).collect()]
+        links = [tuple(r) for f in (preprocess.similar_pairs(rows, t, far=True), preprocess.near_links(rows, t)) for r in f.collect()]
+
+        def groups(edges):
+            name = {v: v for v in names}
+            for a, b in edges:
+                if name[a] == name[b]:
+                    continue
+                x, y = sorted((name[a], name[b]))
+                name = {v: x if c == y else c for v, c in name.items()}
+            return name
+
+        assert groups(pairs) == groups(links) and len(pairs) > 20
+    row = spark.range(400).select(F.format_string("Supplier#%09d", "id").alias("value"), F.lit(1).cast("long").alias("n"))
+    similar = preprocess.similar_pairs
+    seen = []
+    monkeypatch.setattr(preprocess, "similar_pairs", lambda *a, **k: seen.append(similar(*a, **k).count()) or similar(*a, **k))
+    found = {r["value"]: r["canonical"] for r in preprocess.variant_clusters(row, 0.92).collect()}
+    assert len(found) == 399 and set(found.values()) == {"Supplier#000000000"} and seen == [0]  # before, thousands of pairs
