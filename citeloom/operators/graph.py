@@ -15,6 +15,10 @@ from citeloom.plans.checkpoint import cut, written
 FREE_ROUNDS = 24
 #: Nodes whose triangles are counted by their matrix, and wedges that a task looks up at a time.
 CORE, WEDGES = 2048, 1_000_000
+#: Nodes of a task whose neighbours are held as bits, words of them that are looked at at a time, and words that take as long as a wedge.
+BIT_NODES, BIT_WORDS, WORDS_OF_A_WEDGE = 32_768, 65_536, 16
+#: Edges of a tile, on average.
+TILE_EDGES = 6_000_000
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -60,7 +64,7 @@ def clustering(edges: DataFrame, one_task: int | None = None) -> DataFrame:
         counts = near.groupBy("pack").applyInPandas(_triangles, found)
         large = far.count()
         if large:
-            tiles = _tiles(far, int(np.ceil(3 * np.sqrt(large / most))))
+            tiles = _tiles(far, int(np.ceil(3 * np.sqrt(large / (TILE_EDGES if one_task is None else most)))))
             counts = counts.unionAll(tiles.groupBy("i", "j", "k").applyInPandas(_triangles_of_tile, found)).groupBy("node").agg(F.sum("triangles").alias("triangles"))
     d = degrees(held.withColumn("weight", F.lit(1))).select("node", "degree")
     t = F.coalesce("triangles", F.lit(0))
@@ -68,28 +72,55 @@ def clustering(edges: DataFrame, one_task: int | None = None) -> DataFrame:
 
 
 def _tiles(edges: DataFrame, colours: int) -> DataFrame:
-    """(i, j, k, src, dst): every edge with the colours of its ends and each third one, in order."""
+    """(i, j, k, src, far, same): every edge with the colours of its ends and each third one, in order; the far ends of a node and a colour go as one list."""
     colour = lambda c: F.pmod(F.xxhash64(c), F.lit(colours)).cast("int")
-    dealt = edges.select("src", "dst", colour("src").alias("a"), colour("dst").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(colours - 1))).alias("c"))
+    lists = edges.groupBy("src", colour("dst").alias("b")).agg(F.collect_list("dst").alias("far"))
+    dealt = lists.select("src", "far", colour("src").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.lit(colours - 1))).alias("c"))
     tile = F.array_sort(F.array("a", "b", "c"))
-    return dealt.select(*[tile[n].alias(c) for n, c in enumerate("ijk")], "src", "dst", (F.col("a") == F.col("b")).alias("same"))
+    return dealt.select(*[tile[n].alias(c) for n, c in enumerate("ijk")], "src", "far", (F.col("a") == F.col("b")).alias("same"))
 
 
 def _triangles_of_tile(part: pd.DataFrame) -> pd.DataFrame:
     """Triangles of exactly the three colours of a tile; those of a colour that stands twice there lie in a tile of their own."""
-    counts = _triangles(part)
-    if part["i"].iat[0] == part["k"].iat[0] or not part["same"].any():
+    one_colour = part["i"].iat[0] == part["k"].iat[0]
+    held = part["far"].str.len()
+    ends = pd.DataFrame({"src": part["src"].repeat(held).to_numpy(), "dst": np.concatenate(part["far"].to_list())})
+    same = part["same"].repeat(held).to_numpy()
+    counts = _triangles(ends)
+    if one_colour or not same.any():
         return counts
-    within = _triangles(part[part["same"]]).set_index("node")["triangles"]
+    within = _triangles(ends[same]).set_index("node")["triangles"]
     counts["triangles"] -= counts["node"].map(within).fillna(0).astype(np.int64)
     return counts[counts["triangles"] > 0]
 
 
+def _by_bits(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
+    """Triangles of each node, from the neighbours that both ends of every edge have in common: rows of bits, laid over each other."""
+    words, first = -(-n // 64), np.searchsorted(low, np.arange(n + 1))
+    order = np.argsort(high, kind="stable")
+    back, behind = low[order], np.searchsorted(high[order], np.arange(n + 1))
+    bits, total = np.zeros((n, words), np.uint64), np.zeros(n, np.int64)
+    for a in range(0, n, 512):
+        z = min(n, a + 512)
+        row = np.zeros((z - a, words * 64), bool)
+        row[low[first[a] : first[z]] - a, high[first[a] : first[z]]] = True
+        row[high[order[behind[a] : behind[z]]] - a, back[behind[a] : behind[z]]] = True
+        bits[a:z] = np.packbits(row, axis=1).view(np.uint64)
+    step, one = max(1, BIT_WORDS // words), np.ones(words, np.float32)
+    for u in range(n):
+        for k in range(first[u], first[u + 1], step):
+            far = high[k : min(first[u + 1], k + step)]
+            both = (np.bitwise_count(bits[far] & bits[u]).astype(np.float32) @ one).astype(np.int64)  # at most n, exact
+            total[far] += both
+            total[u] += both.sum()
+    return total // 2
+
+
 def _triangles(part: pd.DataFrame) -> pd.DataFrame:
     """(node, triangles) of the edges (src, dst) in a task, by the order of degrees.
 
-    Triangles among the ``CORE`` nodes of most neighbours come from a product of their matrix, the others from
-    the wedges of their node of fewest neighbours, some millions at a time.
+    Where wedges are many, common neighbours are counted by bits.  Else triangles among the ``CORE`` nodes of most neighbours
+    come from a product of their matrix, the others from the wedges of their node of fewest neighbours, some millions at a time.
     """
     codes, names = pd.factorize(pd.concat([part["src"], part["dst"]], ignore_index=True))
     n, half = len(names), len(part)
@@ -98,6 +129,11 @@ def _triangles(part: pd.DataFrame) -> pd.DataFrame:
     x, y = rank[codes[:half]], rank[codes[half:]]
     keys = np.unique(np.minimum(x, y) * n + np.maximum(x, y))  # each edge from its lower rank to its higher
     low, high = keys // n, keys % n
+    start = np.searchsorted(low, np.arange(n + 1))
+    opened = start[low + 1] - np.arange(len(low)) - 1  # wedges that an edge opens with those behind it
+    if n <= BIT_NODES and len(low) * (n // 64 + 1) < WORDS_OF_A_WEDGE * opened.sum():
+        told = _by_bits(low, high, n)[rank]
+        return pd.DataFrame({"node": np.asarray(names)[told > 0], "triangles": told[told > 0]})
     total, first = np.zeros(n, np.int64), max(0, n - CORE)
     inner = low >= first
     m = np.zeros((n - first, n - first), np.float32)
@@ -105,8 +141,7 @@ def _triangles(part: pd.DataFrame) -> pd.DataFrame:
     m += m.T
     for k in range(0, len(m), 256):
         total[first + k : first + k + 256] = ((m[k : k + 256] @ m) * m[k : k + 256]).sum(axis=1, dtype=np.float64).astype(np.int64) // 2
-    start = np.searchsorted(low, np.arange(n + 1))
-    later = np.where(inner, 0, start[low + 1] - np.arange(len(low)) - 1)  # wedges that an edge opens with those behind it
+    later = np.where(inner, 0, opened)
     cut_at = np.searchsorted(np.cumsum(later), np.arange(0, later.sum() + WEDGES, WEDGES), side="right")
     for a, b in zip(cut_at[:-1], cut_at[1:]):
         at = np.repeat(np.arange(a, b), later[a:b])

@@ -275,3 +275,18 @@ def test_names_alike_but_for_few_characters_are_joined_without_pairs(spark, monk
     monkeypatch.setattr(preprocess, "similar_pairs", lambda *a, **k: seen.append(similar(*a, **k).count()) or similar(*a, **k))
     found = {r["value"]: r["canonical"] for r in preprocess.variant_clusters(row, 0.92).collect()}
     assert len(found) == 399 and set(found.values()) == {"Supplier#000000000"} and seen == [0]  # before, thousands of pairs
+
+
+def test_triangles_by_bits_and_tiles_of_lists(spark, monkeypatch):
+    draw = random.Random(8)
+    pairs = sorted({tuple(sorted(draw.sample(range(10**6, 10**6 + 90), 2))) for _ in range(1500)})
+    edges = spark.createDataFrame([(*p, 1) for p in pairs], "src long, dst long, weight long")
+    frame = pd.DataFrame(pairs, columns=["src", "dst"])
+    told = []
+    for wedge in (10**9, 0):  # by bits, and not
+        monkeypatch.setattr(graph, "WORDS_OF_A_WEDGE", wedge)
+        told.append(graph._triangles(frame).sort_values("node").reset_index(drop=True))
+    pd.testing.assert_frame_equal(*told)
+    tiles = graph._tiles(edges.select("src", "dst"), 3)
+    assert tiles.count() < len(pairs) and tiles.agg(F.sum(F.size("far"))).first()[0] == 3 * len(pairs)  # a row for each copy of an edge before
+    assert _members(graph.clustering(edges, one_task=100), "triangles") == _members(graph.clustering(edges), "triangles") == dict(zip(told[0]["node"], told[0]["triangles"]))
