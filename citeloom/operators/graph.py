@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from citeloom.operators.components import connected_components
 from citeloom.operators.parts import ONE_TASK_EDGES, Graph, split
-from citeloom.plans.checkpoint import cut, written
+from citeloom.plans.checkpoint import BROADCAST_ROWS, bucketed, cut, discard, written
 
 #: Rounds of label propagation in which any half of the nodes may move; later only nodes apart from each other.
 FREE_ROUNDS = 24
@@ -276,26 +276,33 @@ def _settled(part: pd.DataFrame, most_rounds: int, free_rounds: int) -> pd.DataF
 
 
 def _by_joins(edges: DataFrame, most_rounds: int) -> DataFrame:
-    links = cut(both_ways(edges.withColumn("weight", F.lit(1))).select("a", "b"))
-    labels = links.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
+    """Rounds over links that were dealt by their near end once; up to ``BROADCAST_ROWS`` labels go to where the links are."""
+    both = both_ways(edges.withColumn("weight", F.lit(1))).select("a", "b")
+    links = bucketed(both, "a", 2 * edges.count())
+    labels = written(links.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
+    beside = F.broadcast if labels.count() <= BROADCAST_ROWS else lambda x: x
+    state = None
     for i in range(most_rounds):
-        votes = links.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a", "label").agg(F.count("*").alias("n"))
+        votes = links.join(beside(labels.withColumnRenamed("node", "b")), "b").groupBy("a", "label").agg(F.count("*").alias("n"))
         own = labels.select(F.col("node").alias("a"), F.col("label").alias("own"))
-        best = votes.join(own, "a").groupBy("a", "own").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label") != F.col("own"), "label")).alias("label"))
-        state = cut(best.withColumn("open", F.col("label") != F.col("own")))
+        best = votes.join(beside(own), "a").groupBy("a", "own").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label") != F.col("own"), "label")).alias("label"))
+        held, state = (labels, state), written(best.withColumn("open", F.col("label") != F.col("own")))
+        for table in held:
+            discard(table)
         if not state.where("open").take(1):
             break
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(i)), F.col(c))  # noqa: B023, E731
         if i < FREE_ROUNDS:
-            turn = F.pmod(F.xxhash64("a", F.lit(i)), F.lit(2)) == 0
+            told, turn = state, F.pmod(F.xxhash64("a", F.lit(i)), F.lit(2)) == 0
         else:
             wants = state.where("open").select("a")
-            near = links.join(wants, "a").join(wants.withColumnRenamed("a", "b"), "b")
+            near = links.join(beside(wants), "a").join(beside(wants.withColumnRenamed("a", "b")), "b")
             waits = near.where(rank("b") < rank("a")).select("a").distinct().withColumn("waits", F.lit(True))
-            state, turn = state.join(waits, "a", "left"), F.col("waits").isNull()
-        labels = state.select(F.col("a").alias("node"), F.when(turn, F.col("label")).otherwise(F.col("own")).alias("label"))
+            told, turn = state.join(waits, "a", "left"), F.col("waits").isNull()
+        labels = written(told.select(F.col("a").alias("node"), F.when(turn, F.col("label")).otherwise(F.col("own")).alias("label")))
     else:
         raise RuntimeError(f"labels did not settle in {most_rounds} rounds")
+    discard(links)
     labels = state.select(F.col("a").alias("node"), "label")
     first = labels.groupBy("label").agg(F.min("node").alias("first"))
     return labels.join(first, "label").select("node", F.col("first").alias("community"))

@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of a bucket, on average, and rows of a small table that are sent to all tasks rather than joined by a shuffle.
+ROWS_OF_A_BUCKET, BROADCAST_ROWS = 2_000_000, 2_000_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Make checkpoint() usable and name its folder: the cluster's ``spark.checkpoint.dir``.
 
@@ -41,6 +45,17 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, by: str, rows: int) -> DataFrame:
+    """``df`` as a table in the shared folder, dealt by a column once: joins with broadcast tables and groups by that column send none of its rows."""
+    spark, name = df.sparkSession, f"dealt_{uuid.uuid4().hex}"
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_OF_A_BUCKET + 1)
+    path = f"{shared_folder(spark)}/table-{name}"
+    df.repartition(parts, by).write.bucketBy(parts, by).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.written_to, out.named = path, name
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that nothing will read any more."""
     context = spark.sparkContext
@@ -49,7 +64,9 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def discard(table: DataFrame | None) -> None:
-    """Delete a table made by :func:`written`; others are left alone."""
+    """Delete a table made by :func:`written` or :func:`bucketed`; others are left alone."""
     path = getattr(table, "written_to", None)
+    if hasattr(table, "named"):
+        table.sparkSession.sql(f"DROP TABLE IF EXISTS {table.named}")
     if path is not None:
         remove(table.sparkSession, path)

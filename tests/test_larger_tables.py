@@ -16,7 +16,7 @@ from citeloom.sources import api, bibtex
 from citeloom.store import Store, write_snapshot
 from citeloom.functions import identity
 from citeloom.operators import communities, graph, networks, paths, preprocess
-from citeloom.plans import star
+from citeloom.plans import checkpoint, star
 
 
 def test_repeated_names_count_once_and_no_piece_table_is_broadcast(spark):
@@ -290,3 +290,16 @@ def test_triangles_by_bits_and_tiles_of_lists(spark, monkeypatch):
     tiles = graph._tiles(edges.select("src", "dst"), 3)
     assert tiles.count() < len(pairs) and tiles.agg(F.sum(F.size("far"))).first()[0] == 3 * len(pairs)  # a row for each copy of an edge before
     assert _members(graph.clustering(edges, one_task=100), "triangles") == _members(graph.clustering(edges), "triangles") == dict(zip(told[0]["node"], told[0]["triangles"]))
+
+
+def test_rounds_send_no_links(spark, monkeypatch):
+    edges = _joined_cliques(spark)
+    links = checkpoint.bucketed(graph.both_ways(edges).select("a", "b"), "a", 266)
+    labels = F.broadcast(links.select(F.col("a").alias("b")).distinct().withColumn("label", F.col("b")))
+    plan = links.join(labels, "b").groupBy("a", "label").count()
+    assert plan.agg(F.sum("count")).first()[0] == 266 and "Exchange hashpartitioning" not in plan._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(graph, "cut", lambda *a: 1 / 0)  # before, links were checkpointed and sent in every round
+    found = _members(graph.label_propagation(edges, one_task=0))
+    assert found == _members(graph.label_propagation(edges, one_task=1_000)) and len(found) == 24
+    checkpoint.discard(links)
+    assert not spark.catalog.tableExists(links.named)
