@@ -303,3 +303,10 @@ def test_rounds_send_no_links(spark, monkeypatch):
     assert found == _members(graph.label_propagation(edges, one_task=1_000)) and len(found) == 24
     checkpoint.discard(links)
     assert not spark.catalog.tableExists(links.named)
+
+
+def test_decorated_pairs_are_sent_as_numbers(spark, monkeypatch):
+    kinds, project = [], queries.networks.project
+    monkeypatch.setattr(queries.networks, "project", lambda inc, *a: kinds.append(dict(inc.dtypes)["node"]) or project(inc, *a))
+    out = row_queries.decorate_all_fields(spark, "/root/testdata/sf0.001")
+    assert kinds == ["bigint"] and dict(out.dtypes)["node"] == "string"  # strings before
